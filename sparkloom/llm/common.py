@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 import numpy as np
@@ -14,6 +13,7 @@ from pyspark.sql import types as T
 #: Bytes of text that the vectorised kernels take at a time; a longer document is a block of its own.
 BLOCK_BYTES = 2 << 20
 BLOOM_BITS = 1 << 26
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Work:
@@ -31,17 +31,14 @@ class Work:
         return f"{self.base}/{name}"
 
     def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Writes df and reads it back; shuffle files that only its making needed become collectable."""
-        df.write.option("compression", codec).mode("overwrite").parquet(self.path(name))
-        schema = df.schema
-        del df
-        self.release()
-        return self.spark.read.schema(schema).parquet(self.path(name))
-
-    def release(self) -> None:
-        """Lets Spark's context cleaner drop shuffle files of finished jobs now, not at some later collection."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Writes df and reads it back; the shuffle files of its making go when it is written."""
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", codec).mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
