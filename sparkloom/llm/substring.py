@@ -127,7 +127,8 @@ def repeated_spans(work: Work, docs: DataFrame, window: int = WINDOW, phrase: in
     confirmed = work.table(seen.where("first < last").select("a", "w1", "w2", "first"), "confirmed")
 
     # an anchor with a large share of all stretches goes to several tasks; there are at most HOT_PARTS such
-    per_anchor = work.table(stretches.groupBy("a").agg(F.count("*").alias("n"), F.min_by("words", F.struct("doc_id", "key", "at")).alias("words"), F.min_by("skip", F.struct("doc_id", "key", "at")).alias("skip")).join(confirmed.select("a").distinct(), "a", "left_semi"), "phrases")
+    per_anchor = stretches.groupBy("a").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"))
+    per_anchor = work.table(per_anchor.join(confirmed.select("a").distinct(), "a", "left_semi"), "phrases")
     total = per_anchor.agg(F.sum("n")).first()[0] or 0
     share = max(1, total // HOT_PARTS)
     hot = F.broadcast(per_anchor.where(F.col("n") > share).select("a", F.ceil(F.col("n") / share).cast("int").alias("salts")))
@@ -145,36 +146,42 @@ def repeated_spans(work: Work, docs: DataFrame, window: int = WINDOW, phrase: in
             *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in names.items()],
         )
 
-    useful = stretches.join(per_anchor.select("a"), "a", "left_semi")
-    inputs = dealt(per_anchor.select("a", "skip", "words"), 0, False).union(dealt(confirmed, 1, False)).union(dealt(useful, 2, True))
-    inputs = inputs.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    # an anchor's smallest document has no earlier one and loses nothing by it
+    useful = stretches.join(per_anchor.select("a", "lo"), "a").where("doc_id > lo").drop("lo")
+    inputs = dealt(confirmed, 1, False).union(dealt(useful, 2, True))
+    inputs = inputs.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "a")
 
     o_schema, o_arrow = arrow_schema("doc_id long, key long, start int, end int")
 
     def locate(batches):
-        shard, machine, firsts, compiled, lookup = None, None, [], False, None
+        shard, firsts, lookup = None, [], None
         for batch in batches:
             where, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cuts = np.flatnonzero(np.concatenate([[True], (np.diff(where) != 0) | (np.diff(kinds) != 0)])) if batch.num_rows else []
             for i, j in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
                 part = batch.slice(int(i), int(j - i))
                 if where[i] != shard:
-                    shard, machine, firsts, compiled, lookup = where[i], ahocorasick.Automaton(), [], False, None
+                    shard, firsts, lookup = where[i], [], None
                 col = {n: part.column(k) for k, n in enumerate(part.schema.names)}
-                if kinds[i] == 0:
-                    for skip, data in zip(col["skip"].to_pylist(), col["words"].to_pylist(), strict=True):
-                        text = b" ".join(data.split(b" ")[skip : skip + phrase])
-                        machine.add_word(f" {text.decode('latin-1')} ", 1)
-                elif kinds[i] == 1:
+                if kinds[i] == 1:
                     firsts.append([col[c].to_numpy() for c in ("w1", "w2", "first")])
-                else:
-                    if not compiled:
-                        machine.make_automaton()
-                        w1, w2, first = ([np.concatenate(x) for x in zip(*firsts, strict=True)]) if firsts else [np.zeros(0, np.int64)] * 3
-                        order = np.lexsort((w2, w1))
-                        lookup, compiled = (w1[order], w2[order], first[order]), True
-                    if len(machine) and len(lookup[0]):
-                        yield from _located(part, col, machine, lookup)
+                    continue
+                if lookup is None:
+                    w1, w2, first = ([np.concatenate(x) for x in zip(*firsts, strict=True)]) if firsts else [np.zeros(0, np.int64)] * 3
+                    order = np.lexsort((w2, w1))
+                    lookup = (w1[order], w2[order], first[order])
+                yield from _located(part, col, compiled(col), lookup)
+
+    def compiled(col):
+        """The automaton of the confirmed phrases that come next: a shard's stretches are sorted by anchor."""
+        machine = ahocorasick.Automaton()
+        _, at = np.unique(col["a"].to_numpy(), return_index=True)
+        for i in at.tolist():
+            skip = col["skip"][i].as_py()
+            text = b" ".join(col["words"][i].as_py().split(b" ")[skip : skip + phrase])
+            machine.add_word(f" {text.decode('latin-1')} ", 1)
+        machine.make_automaton()
+        return machine
 
     def _located(part, col, machine, lookup):
         ids, keys, ats, texts = col["doc_id"].to_numpy(), col["key"].to_numpy(), col["at"].to_numpy(), col["words"].to_pylist()
