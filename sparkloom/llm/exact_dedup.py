@@ -46,13 +46,15 @@ def stateful_groups(work: Work, digests: DataFrame, files_per_batch: int | None
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{work.path('states')}/batch={number}")
 
-    names = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")
-    before = spark.conf.get(names[0])
+    wanted = {"spark.sql.streaming.stateStore.providerClass": STORE, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
-        spark.conf.set(names[0], STORE)
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         query = states.writeStream.outputMode("update").option("checkpointLocation", work.path("stream")).foreachBatch(write).trigger(availableNow=True).start()
     finally:
-        spark.conf.set(names[0], before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
     schema = states.schema.add("batch", "integer")
     if not query.lastProgress:  # no file in the stream: an empty table
