@@ -23,7 +23,7 @@ MARK = "▁"
 #: Pre-tokens of more characters are scored alone, so that a trie's depth stays bounded.
 LONGEST = 64
 #: Nodes of a worker's trie; at this number it starts again.
-MOST_NODES = 400_000
+MOST_NODES = 1_000_000
 
 
 def zipf_scores(n: int) -> list[float]:
@@ -44,13 +44,13 @@ def pieces(path: str) -> tuple[dict[str, float], float]:
 
 
 class Trie:
-    """Forward scores of prefixes. A node is [score, pieces, children, prefix's character, parent]."""
+    """Forward scores of prefixes. A node is [score, pieces, children or None]."""
 
     def __init__(self, vocabulary: dict[str, float], byte_score: float) -> None:
         self.vocabulary, self.byte_score = vocabulary, byte_score
-        self.longest = max(map(len, vocabulary), default=1)
+        self.suffixes = {p[k:] for p in vocabulary for k in range(len(p))}
         self.made = 0
-        self.root: list = [0.0, 0, {}, None]
+        self.root: list = [0.0, 0, {}]
         self.ends: dict[str, tuple[int, float]] = {}
 
     def _extend(self, path: list, word: str, i: int) -> tuple[float, int]:
@@ -60,8 +60,11 @@ class Trie:
         """
         size = len(word[i].encode())
         best = (path[i][0] + size * self.byte_score, -(path[i][1] + size))
-        for j in range(max(0, i + 1 - self.longest), i + 1):
-            score = self.vocabulary.get(word[j : i + 1])
+        for j in range(i, -1, -1):
+            part = word[j : i + 1]
+            if part not in self.suffixes:  # then nothing longer ends here either
+                break
+            score = self.vocabulary.get(part)
             if score is not None:
                 best = max(best, (path[j][0] + score, -(path[j][1] + 1)))
         return best[0], -best[1]
@@ -77,14 +80,16 @@ class Trie:
                 path.append(self._extend(path, word, i))
             return path[-1][1], path[-1][0]
         if self.made > MOST_NODES:
-            self.root, self.made = [0.0, 0, {}, None], 0
+            self.root, self.made = [0.0, 0, {}], 0
             self.ends = {}
         node, path = self.root, [self.root]
         for i, ch in enumerate(word):
-            child = node[2].get(ch)
+            child = node[2].get(ch) if node[2] else None
             if child is None:
                 score, n = self._extend(path, word, i)
-                child = node[2][ch] = [score, n, {}]
+                if node[2] is None:
+                    node[2] = {}
+                child = node[2][ch] = [score, n, None]
                 self.made += 1
             node = child
             path.append(node)
