@@ -520,7 +520,9 @@ def test_pipeline(spark, sf, tmp_path):
     assert seen["language"] >= 0.99 * (docs.count() + 20)
     assert seen["exact"] <= seen["language"] - 20 and seen["near"] <= seen["exact"]
     assert now.select("doc_id").distinct().count() == seen["passages"]
-    assert {r.doc_id for r in now.collect()}.isdisjoint({r.doc_id for r in copies.collect()})
+    ids = {r.doc_id for r in now.select("doc_id").collect()}
+    # the copy has one more character and goes before its original, unless it is dropped as the copy of another
+    assert not any(r.doc_id in ids and r.doc_id - 1_000_000 in ids for r in copies.collect())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
 
 
