@@ -169,7 +169,13 @@ class Words:
         return self.data[self.starts[start] : self.ends[end - 1]] if end > start else b""
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get at most 1,000 rows at a time in this session: texts are long, and the default is 10,000."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
