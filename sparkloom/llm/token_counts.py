@@ -8,6 +8,7 @@ pre-token ends, its count is the node's.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections import Counter
 from functools import lru_cache
@@ -111,7 +112,7 @@ def token_counts(docs: DataFrame, model: str | None = None) -> DataFrame:
     model = model or tokenizer_path("piece_bpe_32k.model")
     schema, arrow = arrow_schema("doc_id long, n_words long, n_tokens long, score double")
 
-    def run(batches):
+    def count(batches):
         t = trie(model)
         for batch in batches:
             words, tokens, scores = [], [], []
@@ -128,4 +129,11 @@ def token_counts(docs: DataFrame, model: str | None = None) -> DataFrame:
                 scores.append(math.fsum(parts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64()), pa.array(scores, pa.float64())], schema=arrow)
 
+    def run(batches):
+        gc.disable()  # a trie has no cycles, and looking for them takes a third of the time
+        try:
+            yield from count(batches)
+        finally:
+            gc.enable()
+
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
