@@ -45,57 +45,67 @@ def pieces(path: str) -> tuple[dict[str, float], float]:
 
 
 class Trie:
-    """Forward scores of prefixes. A node is [score, pieces, children or None]."""
+    """Forward scores of prefixes. A node is [score, pieces, children or None, longest end that starts a piece]."""
 
     def __init__(self, vocabulary: dict[str, float], byte_score: float) -> None:
-        self.vocabulary, self.byte_score = vocabulary, byte_score
-        self.suffixes = {p[k:] for p in vocabulary for k in range(len(p))}
+        self.byte_score = byte_score
+        self.vocabulary = vocabulary
+        # every start of a piece; its value, made when first needed, is the pieces that end with it: (length, log-probability)
+        self.starts: dict[str, tuple | None] = dict.fromkeys((p[:k] for p in vocabulary for k in range(len(p) + 1)), None)
         self.made = 0
-        self.root: list = [0.0, 0, {}]
-        self.ends: dict[str, tuple[int, float]] = {}
+        self.root: list = [0.0, 0, {}, ""]
+        self.ends: dict[bytes, tuple[int, float]] = {}
 
-    def _extend(self, path: list, word: str, i: int) -> tuple[float, int]:
-        """The best score and piece count of word[: i + 1], given those of its prefixes in path.
+    def _extend(self, path: list, word: str, i: int) -> list:
+        """The node of word[: i + 1], given those of its prefixes in path.
 
         Equal scores: fewer pieces. A character that no piece covers costs its UTF-8 bytes.
         """
-        size = len(word[i].encode())
-        best = (path[i][0] + size * self.byte_score, -(path[i][1] + size))
-        for j in range(i, -1, -1):
-            part = word[j : i + 1]
-            if part not in self.suffixes:  # then nothing longer ends here either
-                break
-            score = self.vocabulary.get(part)
-            if score is not None:
-                best = max(best, (path[j][0] + score, -(path[j][1] + 1)))
-        return best[0], -best[1]
-
-    def count(self, word: str) -> tuple[int, float]:
-        """Pieces and log-probability of a pre-token."""
-        found = self.ends.get(word)
+        starts, ch = self.starts, word[i]
+        end = path[i][3] + ch
+        while end not in starts:
+            end = end[1:]
+        found = starts[end]
+        if found is None:
+            ends = [(k, self.vocabulary.get(end[len(end) - k :])) for k in range(1, len(end) + 1)]
+            found = starts[end] = tuple(e for e in ends if e[1] is not None)
+        top, n = -math.inf, 0
+        if not found or found[0][0] > 1:  # a piece of this character alone is always better than its bytes
+            size = len(ch.encode())
+            top, n = path[i][0] + size * self.byte_score, path[i][1] + size
+        for k, score in found:
+            before = path[i + 1 - k]
+            total = before[0] + score
+            if total > top or (total == top and before[1] < n - 1):
+                top, n = total, before[1] + 1
+        return [top, n, None, end]
+
+    def count(self, raw: bytes) -> tuple[int, float]:
+        """Pieces and log-probability of a pre-token, given without its mark as UTF-8."""
+        found = self.ends.get(raw)
         if found is not None:
             return found
+        word = MARK + raw.decode()
         if len(word) > LONGEST:
-            path = [(0.0, 0)]
+            path = [[0.0, 0, None, ""]]
             for i in range(len(word)):
                 path.append(self._extend(path, word, i))
             return path[-1][1], path[-1][0]
         if self.made > MOST_NODES:
-            self.root, self.made = [0.0, 0, {}], 0
+            self.root, self.made = [0.0, 0, {}, ""], 0
             self.ends = {}
         node, path = self.root, [self.root]
         for i, ch in enumerate(word):
             child = node[2].get(ch) if node[2] else None
             if child is None:
-                score, n = self._extend(path, word, i)
                 if node[2] is None:
                     node[2] = {}
-                child = node[2][ch] = [score, n, None]
+                child = node[2][ch] = self._extend(path, word, i)
                 self.made += 1
             node = child
             path.append(node)
-        self.ends[word] = (node[1], node[0])
-        return self.ends[word]
+        found = self.ends[raw] = (node[1], node[0])
+        return found
 
 
 @lru_cache(maxsize=1)
@@ -121,7 +131,7 @@ def token_counts(docs: DataFrame, model: str | None = None) -> DataFrame:
                 n = total = 0
                 parts = []
                 for w, k in counts.items():
-                    c, s = t.count(MARK + w.decode())
+                    c, s = t.count(w)
                     n, total = n + k, total + c * k
                     parts.append(s * k)
                 words.append(n)
