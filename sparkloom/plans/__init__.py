@@ -1 +1,3 @@
+"""Queries of the library."""
 
+from sparkloom.plans import catalog, extended  # noqa: F401
