@@ -36,3 +36,26 @@ def community_overlap(before: DataFrame, after: DataFrame) -> DataFrame:
     pairs = before.select("id", F.col("community").alias("a")).distinct().join(after.select("id", F.col("community").alias("b")).distinct(), "id").groupBy("a", "b").agg(F.count("*").alias("both"))
     out = pairs.join(size(before, "na").withColumnRenamed("community", "a"), "a").join(size(after, "nb").withColumnRenamed("community", "b"), "b")
     return out.select("a", "b", "both", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
+
+
+def shortest_paths(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """node, path: of the shortest paths from a root (node) within depth steps, the first in order.
+
+    Each level keeps one path a node, so the rows of a level are at most the nodes.
+    """
+    found = roots.select("node", F.array("node").alias("path")).groupBy("node").agg(F.min("path").alias("path"))
+    frontier = found
+    steps = edges.select("from_id", "to_id").distinct()
+    for _ in range(depth):
+        new = frontier.join(steps, frontier.node == steps.from_id).select(F.col("to_id").alias("node"), F.concat("path", F.array("to_id")).alias("path"))
+        frontier = new.join(found.select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
+        found = found.union(frontier)
+    return found
+
+
+def second_hop(edges: DataFrame) -> DataFrame:
+    """node, transitive, deep: users of a node's users, and whether there are any."""
+    a = edges.select("from_id", "to_id").distinct()
+    b = a.select(F.col("from_id").alias("mid"), F.col("to_id").alias("node"))
+    pairs = a.join(b, a.to_id == b.mid).select("node", "from_id").distinct()
+    return pairs.groupBy("node").agg(F.count("*").alias("transitive")).withColumn("deep", F.col("transitive") > 0)

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sparkloom.plans.catalog import _E, query
-from sparkloom.sources.tables import events, outcomes, read
+from sparkloom.functions import text as X
+from sparkloom.operators import graph as G
+from sparkloom.operators import retrieval as S
+from sparkloom.plans.catalog import _E, _G, _TOK, QUERY, query
+from sparkloom.sources.tables import events, graph, outcomes, read
+from sparkloom.streaming import jobs as J
+from sparkloom.streaming import sessions as ST
 
 # aggregations
 
@@ -337,3 +342,100 @@ def l29_record_rules(spark, sf_dir):
     """Each record with the first rule it breaks."""
     bad = F.when(F.col("p_name").isNull() | (F.trim("p_name") == ""), "no name").when(F.col("p_size") <= 0, "no size").when(F.col("p_retailprice") < 950, "no fact")
     return read(spark, sf_dir, "part").select("p_partkey", F.coalesce(bad, F.lit("ok")).alias("verdict"))
+
+
+# graphs
+
+
+@query(_G + """, p AS (SELECT 'o:1' AS node, ['o:1'] AS path, 0 AS d UNION ALL SELECT to_id, list_append(path, to_id), d + 1 FROM p JOIN g ON from_id = node WHERE d < 4)
+    SELECT node, array_to_string(arg_min(path, (d, path)), ' > ') AS path FROM p GROUP BY 1""")
+def g08_dependency_path(spark, sf_dir):
+    found = G.shortest_paths(graph(spark, sf_dir), spark.createDataFrame([("o:1",)], "node string"), 4)
+    return found.select("node", F.array_join("path", " > ").alias("path"))
+
+
+@query(_G + " SELECT b.to_id AS node, count(DISTINCT a.from_id) AS transitive, true AS deep FROM g a JOIN g b ON a.to_id = b.from_id GROUP BY 1")
+def g11_transitive_impact(spark, sf_dir):
+    return G.second_hop(graph(spark, sf_dir))
+
+
+@query("""WITH s AS (SELECT c_nationkey, avg((c_acctbal < 0)::INT) AS drift FROM customer GROUP BY 1)
+    SELECT c_nationkey, CASE WHEN drift >= 0.5 THEN 3.0 WHEN drift >= 0.3 THEN 2.0 WHEN drift >= 0.1 THEN 1.5 ELSE 1.0 END::DOUBLE AS weight, drift >= 0.3 AS high FROM s""")
+def g13_priority_weights(spark, sf_dir):
+    s = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.avg((F.col("c_acctbal") < 0).cast("int")).alias("drift"))
+    d = F.col("drift")
+    weight = F.when(d >= 0.5, 3.0).when(d >= 0.3, 2.0).when(d >= 0.1, 1.5).otherwise(1.0)
+    return s.select("c_nationkey", weight.alias("weight"), (d >= 0.3).alias("high"))
+
+
+# ranking with term weights
+
+
+@query(f"""WITH p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK % 3}) AS term FROM documents) GROUP BY 1, 2),
+    f AS (SELECT term, ln((SELECT count(*) FROM documents) * 1.0 / count(*)) + 1 AS idf FROM p GROUP BY 1),
+    w AS (SELECT doc_id, term, tf * idf AS w, CASE WHEN term IN ('that', 'therein', 'reation') THEN idf ELSE 0 END AS q FROM p JOIN f USING (term)),
+    z AS (SELECT sqrt(sum(idf * idf)) AS qn FROM f WHERE term IN ('that', 'therein', 'reation'))
+    SELECT doc_id, round(sum(w * q) / (sqrt(sum(w * w)) * any_value(qn)), 6) AS cosine FROM w, z GROUP BY 1 HAVING sum(w * q) > 0""")
+def r10_tfidf_cosine(spark, sf_dir):
+    """Documents by the cosine of their weighted terms with a query's; weights are tf (ln(n / df) + 1)."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    p = S.postings(d).select("doc_id", "term", "tf")
+    idf = p.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(d.agg(F.count("*").alias("n")))).select("term", (F.log(F.col("n") / F.col("df")) + 1).alias("idf"))
+    wanted = F.col("term").isin(*QUERY)
+    size = idf.where(wanted).agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("qn"))
+    w = p.join(idf, "term").select("doc_id", (F.col("tf") * F.col("idf")).alias("w"), F.when(wanted, F.col("idf")).otherwise(0.0).alias("q"))
+    agg = w.groupBy("doc_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("dot > 0")
+    return agg.crossJoin(F.broadcast(size)).select("doc_id", F.round(F.col("dot") / (F.col("norm") * F.col("qn")), 6).alias("cosine"))
+
+
+@query(f"""WITH w AS (SELECT item_id, list_distinct({_TOK % 1}) AS l FROM benchmark)
+    SELECT item_id, list_contains(l, 'that')::INT + (len(list_filter(l, lambda x: starts_with(x, 'therei'))) > 0)::INT + (len(list_filter(l, lambda x: starts_with(x, 'reatio'))) > 0)::INT AS score FROM w WHERE score > 0""")
+def r14_hint_score(spark, sf_dir):
+    """Distinct tokens found as whole words, or as starts of words from six bytes on."""
+    b = read(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(X.tokens(F.col("text"), 1)).alias("l"))
+
+    def hit(t):
+        return (F.exists("l", lambda x: x.startswith(t)) if len(t.encode()) >= 6 else F.array_contains("l", t)).cast("int")
+
+    score = hit("that") + hit("therei") + hit("reatio")
+    return b.select("item_id", score.alias("score")).where("score > 0")
+
+
+# functions of dates and paths
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, CAST(epoch(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT) // 600 AS bucket FROM orders""")
+def f33_f38_dates(spark, sf_dir):
+    t = F.col("o_orderdate").cast("timestamp")
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.floor(F.unix_timestamp(t) / 600).alias("bucket"))
+
+
+@query("SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/')[1] AS host, len(string_split(regexp_replace(url, '^[a-z]+://', ''), '/')) - 1 AS segments FROM pages")
+def f27_segments(spark, sf_dir):
+    parts = F.split(F.regexp_replace("url", "^[a-z]+://", ""), "/")
+    return read(spark, sf_dir, "pages").select("page_id", parts[0].alias("host"), (F.size(parts) - 1).cast("long").alias("segments"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'error|failed|panic') THEN false WHEN regexp_matches(lower(text), 'passed|done|ok') THEN true END AS passed FROM conversations WHERE text IS NOT NULL""")
+def f11_classify(spark, sf_dir):
+    """Signs of failure win over signs of success; a text with neither has no verdict."""
+    t = F.lower("text")
+    verdict = F.when(t.rlike("error|failed|panic"), False).when(t.rlike("passed|done|ok"), True)
+    return read(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", verdict.alias("passed"))
+
+
+# streaming jobs
+
+
+@query("SELECT event_type AS hook, count(*) AS fired, count(*) FILTER (value > 100) AS matched, CAST(floor(epoch_us(max(ts)) / 1000000) AS BIGINT) AS last_at FROM events GROUP BY 1")
+def x07_heartbeats_stream(spark, sf_dir):
+    """Counters kept by a streaming aggregation."""
+    stream = J.with_seconds(J.stream_of(spark, f"{sf_dir}/events.parquet"))
+    return J.totals_to(ST.heartbeats(stream), J.shared_folder(spark, "heartbeats"))
+
+
+@query("SELECT DISTINCT user_id, event_type, props FROM events")
+def x05_first_push_stream(spark, sf_dir):
+    """Each push once, by streaming keyed state."""
+    stream = J.stream_of(spark, f"{sf_dir}/events.parquet").select("user_id", "event_type", "props")
+    return J.append_to(J.first_of_each(stream, ["user_id", "event_type", "props"]), J.shared_folder(spark, "pushes"))
