@@ -6,6 +6,9 @@ members are linked as a star, never as pairs. Variants are dealt out by their le
 a fingerprint is sent once to each leading pattern within r of its own, and the task of a
 pattern makes the variants that begin with it. No variant is left out; the shuffle carries
 fingerprints instead of variants.
+
+keep_one() takes near copies by Jaccard similarity. At 4/5 fingerprints differ in ten bits, too
+many for balls: its candidates share a band of least hashes, and are compared exactly.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Work, arrow_schema, located, text_bytes
+from sparkloom.llm import jaccard
+from sparkloom.llm.common import Work, arrow_schema, bloom_bits, bloom_hits, located, partitions, shared, text_bytes
 
 BITS, LEAD, RADIUS, SEED, SHINGLE = 64, 8, 4, 42, 4
 
@@ -45,16 +49,16 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(array), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, place: bool = False) -> DataFrame:
-    """doc_id, f (the fingerprint as a signed long) and, if asked for, _file and _row. Null and empty texts: 0."""
-    schema, arrow = arrow_schema("doc_id long, f long" + ", _file string, _row long" * place)
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, f (the fingerprint as a signed long). Null and empty texts: 0."""
+    schema, arrow = arrow_schema("doc_id long, f long")
 
     def run(batches):
         for batch in batches:
             f = np.array([fingerprint(t, shingle) for t in text_bytes(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.view(np.int64)), *batch.columns[2:]], schema=arrow)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.view(np.int64))], schema=arrow)
 
-    return docs.select(F.col("doc_id").cast("long"), "text", *["_file", "_row"] * place).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def _flips(width: int, most: int) -> np.ndarray:
@@ -158,14 +162,14 @@ def links(prints: DataFrame, radius: int = RADIUS, lead: int = LEAD) -> DataFram
     return prints.select("f").mapInArrow(deal, schema).groupBy("pattern").applyInArrow(match, out).distinct()
 
 
-def components(work: Work, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(work: Work, edges: DataFrame, most_rounds: int = 60, name: str = "cc") -> DataFrame:
     """node, root for every node of the edges (a, b): root is the smallest node of its component.
 
     Alternates linking larger neighbours and smaller neighbours to the smallest one until the
     edges stand still; each round is two aggregations and a written table.
     """
     low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    now = work.table(edges.select(low, high).where("a <> b").distinct(), "cc0")
+    now = work.table(edges.select(low, high).where("a <> b").distinct(), f"{name}0")
     before = None
     for k in range(1, most_rounds):
         for step in ("large", "small"):
@@ -174,16 +178,16 @@ def components(work: Work, edges: DataFrame, most_rounds: int = 60) -> DataFrame
             else:
                 both = now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
             # a written table: a join with it can split the edges of a node with very many
-            least = work.table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"least{k}{step}")
+            least = work.table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}_least{k}{step}")
             joined = both.join(least, "a")
             if step == "large":
                 new = joined.where("b > a").select(F.col("b").alias("x"), F.col("m").alias("y"))
             else:
                 new = joined.select(F.col("b").alias("x"), F.col("m").alias("y")).union(least.select(F.col("a").alias("x"), F.col("m").alias("y")))
             now = new.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        now = work.table(now, f"cc{k}")
+        now = work.table(now, f"{name}{k}")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        work.drop(f"cc{k - 1}")
+        work.drop(f"{name}{k - 1}")
         if state == before:
             break
         before = state
@@ -206,19 +210,109 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return rows.join(least, "f").select("doc_id", hex_.alias("fingerprint"), "component_id", "n_fingerprints")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row of each class of near copies, with all columns of docs: the smallest doc_id, then the first by locator."""
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = jaccard.SIMILARITY) -> DataFrame:
+    """One row of each class of near copies, with all columns of docs: the smallest doc_id, then the first by locator.
+
+    Near copies have sets of shingles whose Jaccard similarity is similarity or more, in chains.
+    Texts without words are one class.
+    """
     work = Work(docs.sparkSession, "near")
     source = located(work, docs)
-    rows = work.table(fingerprints(source, shingle, True), "prints")
-    least = classes(work, rows, radius)
-    rows = work.table(rows.join(least.select("f", "root"), "f"), "rooted")
+    rows = work.table(set_names(source, shingle), "names")
+    candidates = components(work, work.table(shared_bands(source, shingle), "bands"), name="bands_cc")
+    candidates = candidates.union(candidates.select("root", "root").distinct())  # components() leaves out the roots
+    roots = components(work, work.table(similar(work, source, work.table(candidates, "candidates"), shingle, similarity), "similar"), name="similar_cc")
+    rows = work.table(rows.join(work.table(roots, "roots"), rows.s == F.col("node"), "left").withColumn("root", F.coalesce("root", "s")), "rooted")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_file", "_row")
     stay = work.table(rows.groupBy("root").agg(F.min(place).alias("stay"), F.count("*").alias("n")).where("n > 1"), "stay")
     gone = rows.join(stay, "root").where((F.col("stay._file") != F.col("_file")) | (F.col("stay._row") != F.col("_row"))).select("_file", "_row")
     return source.join(work.table(gone, "gone"), ["_file", "_row"], "left_anti").select(*docs.columns)
 
 
+def set_names(source: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, s (the name of the set of shingles), _file, _row."""
+    schema, arrow = arrow_schema("doc_id long, s long, _file string, _row long")
+
+    def run(batches):
+        for batch in batches:
+            names = [x[4] for x in jaccard.shingle_sets(text_bytes(batch.column(1)), shingle)]
+            s = np.concatenate([np.zeros(0, np.uint64), *names]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), *batch.columns[2:]], schema=arrow)
+
+    return source.select(F.col("doc_id").cast("long"), "text", "_file", "_row").mapInArrow(run, schema)
+
+
+def shared_bands(source: DataFrame, shingle: int) -> DataFrame:
+    """a, b (longs): names of sets that share a band key, linked as stars."""
+    buckets = 4 * partitions(source.sparkSession)
+    schema, arrow = arrow_schema("bucket int, keys binary, names binary")
+    limit = 500_000  # keys that a task holds before it sends them
+
+    def deal(batches):
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for _, _, h, first, names in jaccard.shingle_sets(text_bytes(batch.column(0)), shingle):
+                keys = jaccard.band_keys(h, first)
+                held.append((keys.ravel(), np.repeat(names[np.diff(first) > 0], jaccard.BANDS)))
+                size += keys.size
+            if size > limit:
+                yield flush(held)
+                held, size = [], 0
+        if size:
+            yield flush(held)
+
+    def flush(held):
+        keys, names = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        bucket = (keys % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        at = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+        some = [(b, order[i:j]) for b, (i, j) in enumerate(itertools.pairwise(at)) if i < j]
+        cols = [[b for b, _ in some], [keys[o].tobytes() for _, o in some], [names[o].tobytes() for _, o in some]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+    out, out_arrow = arrow_schema("a long, b long")
+
+    def match(key, table):
+        keys, names = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64) for c in ("keys", "names"))
+        pairs = _forest(_star(names, keys).reshape(-1, 2)).view(np.int64)
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=out_arrow)
+
+    return source.select("text").mapInArrow(deal, schema).groupBy("bucket").applyInArrow(match, out).distinct()
+
+
+def similar(work: Work, source: DataFrame, candidates: DataFrame, shingle: int, similarity: tuple[int, int], block: int = 1000) -> DataFrame:
+    """a, b (longs): names of sets that are similar, compared exactly within the components of candidates (node, root).
+
+    A component of more sets than block is dealt out as pairs of its blocks, so that each pair of sets meets.
+    """
+    spark = source.sparkSession
+    wanted = shared(spark, bloom_bits(candidates, "node"))
+    schema, arrow = arrow_schema("s long, hashes binary")
+
+    def run(batches):
+        for batch in batches:
+            for _, _, h, first, names in jaccard.shingle_sets(text_bytes(batch.column(0)), shingle):
+                at = np.flatnonzero(bloom_hits(wanted.value, names) & (np.diff(first) > 0))
+                yield pa.RecordBatch.from_arrays([pa.array(names[at].view(np.int64)), pa.array([h[first[i] : first[i + 1]].tobytes() for i in at.tolist()], pa.binary())], schema=arrow)
+
+    sets = source.select("text").mapInArrow(run, schema).groupBy("s").agg(F.first("hashes").alias("hashes"))
+    sizes = candidates.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    members = candidates.join(sizes, "root").withColumn("i", F.pmod(F.xxhash64("node"), "k").cast("int"))
+    other = F.explode(F.when(F.col("k") == 1, F.array("i")).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("k") - 1), F.col("i")))).alias("j")
+    dealt = members.select("node", "root", "i", other).select("node", "root", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    dealt = work.table(dealt, "dealt").join(work.table(sets, "sets"), F.col("node") == F.col("s")).select("root", "i", "j", "s", "hashes")
+    out, out_arrow = arrow_schema("a long, b long")
+
+    def compare(table):
+        names = table.column("s").to_numpy()
+        found = jaccard.groups([np.frombuffer(b, np.uint64) for b in table.column("hashes").to_pylist()], similarity)
+        pairs = names[np.array(found, np.int64).reshape(-1, 2)]
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=out_arrow)
+
+    return dealt.groupBy("root", "i", "j").applyInArrow(compare, out)
+
+
 def classes(work: Work, rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     """f, root, component_id, n_fingerprints for each distinct fingerprint of rows (doc_id, f), as a written table."""
     distinct = work.table(rows.groupBy("f").agg(F.min("doc_id").alias("m")), "distinct")

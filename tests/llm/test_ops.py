@@ -338,6 +338,50 @@ def test_near_keep_one(odd, small):
     assert [r.doc_id for r in kept.where("doc_id in (7, 8, 15)").collect()] == [7]  # a copy, a near copy, a repeated row
 
 
+def test_near_stage_similarity(spark):
+    rng = np.random.default_rng(3)
+    rows, n = [], 0
+    for group in range(60):
+        words = [f"g{group}w{i}" for i in range(int(rng.integers(30, 400)))]
+        for _ in range(4):
+            new = list(words)
+            for at in rng.integers(0, len(words), int(rng.integers(0, max(2, len(words) // 40)))):
+                new[at] = f"x{n}"
+            rows.append((n, " ".join(new)))
+            n += 1
+    # one large group around a text, most of whose members are only alike through it
+    words = [f"hub{i}" for i in range(110)]
+    rows.append((n, " ".join(words)))
+    for i in range(40):
+        rows.append((n + 1 + i, " ".join(f"y{i}" if j in (5 + i, 60 + i) else w for j, w in enumerate(words))))
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root, alike = list(range(len(rows))), []
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        common = len(sets[a] & sets[b])
+        if 5 * common >= 4 * (len(sets[a]) + len(sets[b]) - common):
+            alike.append(common / (len(sets[a]) + len(sets[b]) - common))
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    assert all(sum(lo <= x < lo + 0.05 for x in alike) >= 10 for lo in (0.8, 0.85, 0.9))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {find(a) for a in range(len(rows))}
+    assert {r.doc_id for r in corpus_pipeline.near(spark, df, "").collect()} == want
+
+    work = simhash.Work(spark, "blocks")
+    source = simhash.located(work, df)
+    one = work.table(simhash.set_names(source, 5).select(F.col("s").alias("node"), F.lit(0).cast("long").alias("root")).distinct(), "one")
+    edges = simhash.similar(work, source, one, 5, (4, 5), block=50)
+    roots = simhash.components(work, work.table(edges, "edges"))
+    names = {r.doc_id: r.s for r in simhash.set_names(source, 5).collect()}
+    of = {r.node: r.root for r in roots.collect()}
+    assert len({of.get(s, s) for s in names.values()}) == len(want)
+
+
 # 7. Katz
 
 
