@@ -1,7 +1,7 @@
 """Scoring texts with a Katz back-off model of word pairs.
 
 Counts are made for all training texts, in buckets by hash: words and pairs of a word and the
-one before it. Pairs that occur CUTOFF times or more get a Good-Turing discounted probability;
+one before it. Pairs that occur as often as the cutoff or more get a Good-Turing discounted probability;
 the mass that is left goes to all other words in proportion to the unigram model, with a
 weight for each context that makes the sum exactly one. Unigrams are (c + 1) / (N + V + 1),
 with one share for all unknown words.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import Work, Words, arrow_schema, blocks, bloom_bits, bloom_hits, mix, partitions, shared, text_bytes
 
-#: Pairs seen less often count as unseen; counts up to MOST_DISCOUNTED are discounted.
+#: Pairs seen less often count as unseen unless the caller says otherwise; counts up to MOST_DISCOUNTED are discounted.
 CUTOFF, MOST_DISCOUNTED = 2, 5
 BLOCK_TEXT = 8 << 20
 PAIR_BLOOM_BITS = 1 << 27
@@ -85,8 +85,8 @@ def _by_bucket(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     return [(i, at[i], at[i + 1]) for i in range(buckets) if at[i] < at[i + 1]]
 
 
-def count_tables(work: Work, docs: DataFrame, buckets: int) -> DataFrame:
-    """kind, p, u, w, n: kind 0 words (p = w), 1 pairs from the cutoff on, 2 counts of pair counts (p = count, n).
+def count_tables(work: Work, docs: DataFrame, buckets: int, cutoff: int = CUTOFF) -> DataFrame:
+    """kind, u, w, n: kind 0 words (u = w), 1 pairs from the cutoff on, 2 counts of pair counts (u = count, n).
 
     Every task sums its own pairs first; a bucket then gets sorted arrays instead of rows.
     """
@@ -122,7 +122,7 @@ def count_tables(work: Work, docs: DataFrame, buckets: int) -> DataFrame:
             rows.append((1, b, b"", u[i:j].tobytes(), w[i:j].tobytes(), n[i:j].astype(np.uint32).tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
-    out, out_arrow = arrow_schema("kind int, p long, u long, w long, n long")
+    out, out_arrow = arrow_schema("kind int, u long, w long, n long")
 
     def add(key, table):
         cat = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
@@ -134,12 +134,12 @@ def count_tables(work: Work, docs: DataFrame, buckets: int) -> DataFrame:
             u, w = cat("u", np.uint64), cat("w", np.uint64)
             p, n, at = _sum_by(pair_keys(u, w), n)
             u, w = u[at], w[at]
-        cols = [np.full(len(p), kind, np.int32), p.view(np.int64), u.view(np.int64), w.view(np.int64), n]
+        cols = [np.full(len(p), kind, np.int32), u.view(np.int64), w.view(np.int64), n]
         if kind == 1:
-            keep = n >= CUTOFF
+            keep = n >= cutoff
             some = np.bincount(np.minimum(n, MOST_DISCOUNTED + 2), minlength=MOST_DISCOUNTED + 3)[1 : MOST_DISCOUNTED + 2]
             r = np.arange(1, MOST_DISCOUNTED + 2)
-            extra = [np.full(len(r), 2, np.int32), r, 0 * r, 0 * r, some]
+            extra = [np.full(len(r), 2, np.int32), r, 0 * r, some]
             cols = [np.concatenate([c[keep], e]) for c, e in zip(cols, extra, strict=True)]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out_arrow, strict=True)], schema=out_arrow)
 
@@ -147,44 +147,50 @@ def count_tables(work: Work, docs: DataFrame, buckets: int) -> DataFrame:
     return work.table(counted, "counts")
 
 
-def katz_scores(docs: DataFrame, train, buckets: int | None = None) -> DataFrame:
+def katz_scores(docs: DataFrame, train, buckets: int | None = None, cutoff: int = CUTOFF) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10) of every row.
 
     train selects the rows that the model learns from. Null texts are empty: the end token alone.
     Repeated rows get equal values and count as often as they occur. Without training rows
-    N and V are 0 and every token is unknown.
+    N and V are 0 and every token is unknown. Pairs seen less often than cutoff count as unseen.
     """
     spark = docs.sparkSession
     work, buckets = Work(spark, "katz"), buckets or 4 * partitions(spark)
-    counts = count_tables(work, docs.where(train).select("text"), buckets)
-    words = counts.where("kind = 0").select("w", F.col("n").alias("c"))
+    counts = count_tables(work, docs.where(train).select("text"), buckets, cutoff)
+    words = work.table(counts.where("kind = 0").select("w", F.col("n").alias("c")), "words")
     total, vocabulary = words.agg(F.sum("c"), F.count("*")).first()
     total = total or 0
-    d = discounts({r[0]: r[1] for r in counts.where("kind = 2").groupBy("p").agg(F.sum("n")).collect()})
+    d = discounts({r[0]: r[1] for r in counts.where("kind = 2").groupBy("u").agg(F.sum("n")).collect()}, cutoff=cutoff)
     n_start = words.where(F.col("w") == F.lit(int(END))).select("c").first()
     n_start = n_start[0] if n_start else 0
     all_ = float(total + vocabulary + 1)
     ratio = F.coalesce(*[F.when(F.col("n") == r, F.lit(x)) for r, x in d.items()], F.lit(1.0))
 
     # weights: what the known pairs of a context leave, over what the unigrams leave
-    pairs = counts.where("kind = 1").select("p", "u", "w", (F.col("n") * ratio).alias("dn")).join(words, "w")
-    pairs = work.table(pairs.select("p", "u", "dn", ((F.col("c") + 1) / all_).alias("p1")), "pairs")
-    sums = pairs.groupBy("u").agg(F.sum("dn").alias("dn"), F.sum("p1").alias("p1"))
+    two = counts.where("kind = 1").select("u", "w", "n")
+    pairs = work.table(two.join(words, "w").select("u", "n", "c"), "pairs")
+
+    def keyed(batches):
+        for batch in batches:
+            u, w = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(u, w).view(np.int64)), batch.column(2)], names=["p", "n"])
+
+    known = work.table(two.mapInArrow(keyed, "p long, n long"), "known")
+    work.drop("counts")
+    sums = pairs.groupBy("u").agg(F.sum(F.col("n") * ratio).alias("dn"), (F.sum(F.col("c") + 1) / all_).alias("p1"))
     contexts = words.select(F.col("w").alias("u"), "c").where(F.col("u") != F.lit(int(END))).union(spark.range(1).select(F.lit(int(START)).alias("u"), F.lit(n_start).cast("long").alias("c")))
     # a context without any mass left gives up one count
     held = F.when(F.col("dn") > F.col("c") - 1e-9, F.col("c") / (F.col("c") + 1)).otherwise(1.0)
-    weights = sums.join(contexts, "u").select("u", "c", held.alias("scale"), F.log10((1 - F.col("dn") * held / F.col("c")) / (1 - F.col("p1"))).alias("alpha"))
+    own = F.log10(held / F.col("c"))  # of a known pair: log10 of its discounted count, plus this
+    weights = sums.join(contexts, "u").select("u", own.alias("own"), F.log10((1 - F.col("dn") * held / F.col("c")) / (1 - F.col("p1"))).alias("alpha"))
     weights = work.table(weights, "weights")
-    deltas = pairs.join(weights, "u").select("p", (F.log10(F.col("dn") * F.col("scale") / F.col("c")) - F.col("alpha") - F.log10("p1")).alias("delta"))
-    deltas = work.table(deltas, "deltas")
     work.drop("pairs")
-    alpha_start = weights.where(F.col("u") == F.lit(int(START))).select("alpha").first()
-    alpha_start = alpha_start[0] if alpha_start else 0.0
-    entries = words.join(weights.select(F.col("u").alias("w"), "alpha"), "w", "left").select(F.lit(0).alias("kind"), F.col("w").alias("p"), F.col("c").cast("double").alias("v1"), F.coalesce("alpha", F.lit(0.0)).alias("v2"))
-    entries = work.table(entries.union(deltas.select(F.lit(1).alias("kind"), "p", F.lit(0.0).alias("v1"), F.col("delta").alias("v2"))), "entries")
-
-    for name in ("counts", "weights", "deltas"):  # the entries hold all that scoring needs
-        work.drop(name)
+    start = weights.where(F.col("u") == F.lit(int(START))).select("alpha", "own").first()
+    alpha_start, own_start = start or (0.0, 0.0)
+    single = words.join(weights.withColumnRenamed("u", "w"), "w", "left").select(F.lit(0).alias("kind"), F.col("w").alias("p"), F.col("c").cast("double").alias("v1"), F.coalesce("alpha", F.lit(0.0)).alias("v2"), F.coalesce("own", F.lit(0.0)).alias("v3"))
+    single = work.table(single, "single")
+    work.drop("weights")
+    entries = single.union(known.select(F.lit(1).alias("kind"), "p", F.lit(0.0).alias("v1"), F.log10(F.col("n") * ratio).alias("v2"), F.lit(0.0).alias("v3")))
     known_pairs = shared(spark, bloom_bits(entries.where("kind = 1"), "p", PAIR_BLOOM_BITS))
 
     def scan(batches):
@@ -219,18 +225,18 @@ def katz_scores(docs: DataFrame, train, buckets: int | None = None) -> DataFrame
             rows = [(kind, b, block, _pack(np.diff(k[i:j], prepend=np.uint64(0)))) for kind, k in enumerate(asked(texts)) for b, i, j in _by_bucket(k, buckets)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(ask_arrow)], schema=ask_arrow)
 
-    answer_schema, answer_arrow = arrow_schema("block long, kind int, bucket int, v1 binary, v2 binary")
+    answer_schema, answer_arrow = arrow_schema("block long, kind int, bucket int, v1 binary, v2 binary, v3 binary")
 
     def answer(key, questions, table):
         p = table.column("p").to_numpy().view(np.uint64)
         order = np.argsort(p)
-        p, v = p[order], [np.append(table.column(c).to_numpy()[order], 0.0) for c in ("v1", "v2")]
+        p, v = p[order], [np.append(table.column(c).to_numpy()[order], 0.0 if key[0].as_py() == 0 else np.nan) for c in ("v1", "v2", "v3")]
         rows = []
         for block, blob in zip(questions.column("block").to_pylist(), questions.column("keys").to_pylist(), strict=True):
             k = np.cumsum(_unpack(blob, np.uint64), dtype=np.uint64)
             at = np.searchsorted(p, k)
             at = np.where(p[np.minimum(at, len(p) - 1)] == k, at, len(p)) if len(p) else np.zeros(len(k), np.int64)
-            rows.append((block, key[0].as_py(), key[1].as_py(), _pack(v[0][at]) if key[0].as_py() == 0 else b"", _pack(v[1][at])))
+            rows.append((block, key[0].as_py(), key[1].as_py(), _pack(v[0][at]) if key[0].as_py() == 0 else b"", _pack(v[1][at]), _pack(v[2][at]) if key[0].as_py() == 0 else b""))
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(answer_arrow)], schema=answer_arrow)
 
     source = docs.select(F.col("doc_id").cast("long"), "text")
@@ -238,7 +244,8 @@ def katz_scores(docs: DataFrame, train, buckets: int | None = None) -> DataFrame
     questions = source.mapInArrow(ask, ask_schema)
     answers = questions.groupBy("kind", "bucket").cogroup(entries.withColumn("bucket", key_bucket).groupBy("kind", "bucket")).applyInArrow(answer, answer_schema)
     answers = work.table(answers, "answers", codec="uncompressed")  # packed already; the questions' shuffle files go
-    work.drop("entries")
+    work.drop("single")
+    work.drop("known")
 
     text_schema, text_arrow = arrow_schema("block long, ids array<long>, texts binary")
 
@@ -254,9 +261,9 @@ def katz_scores(docs: DataFrame, train, buckets: int | None = None) -> DataFrame
         for ids, blob in zip(stored.column("ids").to_pylist(), stored.column("texts").to_pylist(), strict=True):
             texts = zstandard.decompress(blob).split(b"\n")
             wk, pk = asked(texts)
-            got = {(k, b): (x, y) for k, b, x, y in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "v1", "v2")), strict=True)}
+            got = {(k, b): v for k, b, *v in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "v1", "v2", "v3")), strict=True)}
             cat = lambda kind, which: np.concatenate([np.zeros(0), *(_unpack(got[key][which], np.float64) for key in sorted(got) if key[0] == kind)])  # noqa: B023, E731
-            c, alpha, delta = cat(0, 0), cat(0, 1), np.append(cat(1, 1), 0.0)
+            c, alpha, own, seen = cat(0, 0), cat(0, 1), cat(0, 2), np.append(cat(1, 1), np.nan)
             log1 = np.log10(c + 1) - unit
             for lo, hi in blocks([len(t) for t in texts]):
                 token, before, first = tokens(texts[lo:hi])
@@ -266,9 +273,13 @@ def katz_scores(docs: DataFrame, train, buckets: int | None = None) -> DataFrame
                 a = np.empty(len(token))
                 a[1:] = alpha[at[:-1]]
                 a[first] = alpha_start
+                o = np.empty(len(token))
+                o[1:] = own[at[:-1]]
+                o[first] = own_start
                 base = log1[at]
+                full = np.where(np.isnan(seen[pat]), base + a, seen[pat] + o)
                 sizes = np.diff(np.append(first, len(token)))
-                for col, v in zip(cols, (ids[lo:hi], sizes, np.add.reduceat((c[at] > 0).astype(np.int64), first), np.full(hi - lo, total), np.add.reduceat(base, first), np.add.reduceat(base + a + delta[pat], first)), strict=True):
+                for col, v in zip(cols, (ids[lo:hi], sizes, np.add.reduceat((c[at] > 0).astype(np.int64), first), np.full(hi - lo, total), np.add.reduceat(base, first), np.add.reduceat(full, first)), strict=True):
                     col.extend(v if isinstance(v, list) else v.tolist())
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(cols, out_arrow, strict=True)], schema=out_arrow)
 

@@ -37,7 +37,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = katz.katz_scores(documents(spark, sf_dir), crc_fold(F.col("doc_id"), 7) != 2)
+    scores = katz.katz_scores(documents(spark, sf_dir), crc_fold(F.col("doc_id"), 7) != 2, cutoff=1)
     return scores.select("doc_id", (crc_fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -443,6 +443,26 @@ def test_katz_discounts():
     assert katz.discounts({}) == {1: 0.0, 2: 0.75, 3: 2.5 / 3, 4: 3.5 / 4, 5: 0.9}
 
 
+def test_katz_keeps_single_pairs(spark, tmp_path):
+    ids = [d for d in range(200) if zlib.crc32(str(d).encode()) % 7 != 2][:61]
+    out = [d for d in range(200) if zlib.crc32(str(d).encode()) % 7 == 2]
+    # b follows a once; c is as frequent as b and never follows a
+    texts = ["a b", "a d", "e c"] + [f"f{i} g{i}" for i in range(58)]
+    rows = [*zip(ids, texts, strict=True), (out[0], "a b"), (out[1], "a c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op7_katz(spark, str(tmp_path)).where("held_out").collect()
+    seen, unseen = ({r.doc_id: r.score for r in got}[d] for d in out[:2])
+    pairs = Counter(p for t in texts for p in zip(["<s>", *t.split()], [*t.split(), None], strict=True))
+    d = katz.discounts(Counter(pairs.values()), cutoff=1)
+    n = sum(len(t.split()) + 1 for t in texts)
+    v = len({w for t in texts for w in t.split()}) + 1
+    p1 = lambda c: (c + 1) / (n + v + 1)
+    start_a, end = d[2] * 2 / 61, d[1]  # counts 2 of 61, 1 of 1
+    left = (1 - d[1]) / (1 - 2 * p1(1))  # a's followers b and d, once each
+    assert math.isclose(seen, math.log10(start_a * d[1] / 2 * end), rel_tol=1e-9)
+    assert math.isclose(unseen, math.log10(start_a * left * p1(1) * end), rel_tol=1e-9)
+
+
 def test_katz_no_training(odd, empty):
     got = katz.katz_scores(odd, F.lit(False)).collect()
     assert len(got) == 17 and all(r.train_tokens == 0 and r.n_known == 0 for r in got)
