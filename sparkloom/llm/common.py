@@ -12,24 +12,51 @@ from pyspark.sql import types as T
 
 #: Bytes of text that the vectorised kernels take at a time; a longer document is a block of its own.
 BLOCK_BYTES = 2 << 20
-BLOOM_BITS = 1 << 26
+BLOOM_BITS, MOST_BLOOM_BITS = 1 << 26, 1 << 29
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Work:
     """Written intermediate tables in the cluster's shared folder.
 
-    The folder is spark.checkpoint.dir; where that is unset (local sessions, tests) it is a
-    folder beside the warehouse. Tables survive lost executors and cut the lineage.
+    The folder is spark.checkpoint.dir; where that is unset, a local session (tests) takes a folder
+    beside the warehouse and a cluster is refused. Tables survive lost executors and cut the
+    lineage. A folder of its own goes when the driver ends, as results that are still to be read need
+    it; one that the caller names stays, with all in it, so that a later run can go on from it.
     """
 
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-        self.spark, self.base = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, name: str, folder: str | None = None) -> None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that driver and executors share")
+            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+        self.spark, self.named = spark, folder is not None
+        self.base = folder.rstrip("/") if folder else f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self._marked = False
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
+    def _at(self, path: str):
+        """The file system of a path and the path there."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _goes_at_exit(self) -> None:
+        if not self.named and not self._marked:
+            fs, path = self._at(self.base)
+            self._marked = bool(fs.deleteOnExit(path))
+
+    def has(self, name: str) -> bool:
+        fs, path = self._at(self.path(name))
+        return bool(fs.exists(path))
+
+    def finished(self, name: str) -> bool:
+        """True if the table was written whole."""
+        fs, path = self._at(self.path(name) + "/_SUCCESS")
+        return bool(fs.exists(path))
+
     def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Writes df and reads it back; the shuffle files of its making go when it is written."""
         before = self.spark.conf.get(_CLEANUP, "false")
@@ -38,11 +65,38 @@ class Work:
             df.write.option("compression", codec).mode("overwrite").parquet(self.path(name))
         finally:
             self.spark.conf.set(_CLEANUP, before)
+        self._goes_at_exit()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def once(self, df: DataFrame, name: str) -> DataFrame:
+        """The table as an earlier run wrote it whole, or else table()."""
+        if self.named and self.finished(name):
+            return self.spark.read.schema(df.schema).parquet(self.path(name))
+        return self.table(df, name)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            fs, path = self._at(self.path(name))
+            fs.delete(path, True)
+
+
+def unused(names: list[str], columns: list[str]) -> list[str]:
+    """The names, each with underscores before it until no column has it; Spark's names don't tell case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def bloom_size(n: int) -> int:
+    """Bits for n keys, about ten for each: BLOOM_BITS at least, MOST_BLOOM_BITS (64 MB) at most."""
+    bits = BLOOM_BITS
+    while bits < 10 * n and bits < MOST_BLOOM_BITS:
+        bits *= 2
+    return bits
 
 
 def bloom_bits(keys: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarray:
@@ -179,16 +233,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def located(work: Work, docs: DataFrame) -> DataFrame:
-    """Adds each row's locator, _file and _row: its file and its place there. What isn't read from files is written first."""
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
-    docs = docs.drop("_file", "_row")
+def located(work: Work, docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with each row's locator, and the names of its two columns: the row's file and its place there.
+
+    The names are ones that docs doesn't have. What isn't read from files is written first.
+    """
+    file, row = unused(["_file", "_row"], docs.columns)
+    place = [F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)]
     try:
-        return docs.select("*", *place)
+        return docs.select("*", *place), file, row
     except Exception as e:
         if "_metadata" not in str(e):
             raise
-        return work.table(docs, "content").select("*", *place)
+        return work.once(docs, "content").select("*", *place), file, row
 
 
 def arrow_schema(ddl: str) -> tuple[T.StructType, pa.Schema]:

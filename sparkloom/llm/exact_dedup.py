@@ -15,6 +15,8 @@ from sparkloom.llm.common import Work, located
 
 #: Characters that don't count: [\x20\x09-\x0D].
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
+#: The stream of digests comes in this many micro-batches or more, each of at most so many files.
+LEAST_BATCHES, MOST_FILES = 4, 2_000
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,68 +33,81 @@ def _stay() -> list[Column]:
     return [F.min("rank").alias("best"), F.count("*").alias("group_size")]
 
 
+def save_states(batch: DataFrame, number: int, folder: str) -> None:
+    """What a micro-batch changed, in a folder with its number: a replayed batch writes the same folder again."""
+    batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+
 def stateful_groups(work: Work, digests: DataFrame, files_per_batch: int | None = None) -> DataFrame:
     """digest, best, group_size after the whole stream of written digests has run through the state.
 
-    Every micro-batch writes the keys it changed with its number; a replayed batch writes the
-    same folder again. The last value of a key holds.
+    The stream comes in micro-batches of a quarter of the files, of MOST_FILES at most, so most hits
+    are found in the state that earlier batches left. Every micro-batch writes the keys it changed
+    with its number; the last value of a key holds. A stream that was stopped goes on after its last
+    finished batch if work has a folder that the caller named.
     """
     spark = digests.sparkSession
-    source = spark.readStream.schema(digests.schema)
-    if files_per_batch:
-        source = source.option("maxFilesPerTrigger", files_per_batch)
+    files = files_per_batch or max(1, min(MOST_FILES, -(-len(digests.inputFiles()) // LEAST_BATCHES)))
+    source = spark.readStream.schema(digests.schema).option("maxFilesPerTrigger", files)
     states = source.parquet(work.path("digests")).groupBy("digest").agg(*_stay())
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{work.path('states')}/batch={number}")
-
+    folder = work.path("states")
     wanted = {"spark.sql.streaming.stateStore.providerClass": STORE, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
     before = {k: spark.conf.get(k, None) for k in wanted}
     try:
         for k, v in wanted.items():
             spark.conf.set(k, v)
-        query = states.writeStream.outputMode("update").option("checkpointLocation", work.path("stream")).foreachBatch(write).trigger(availableNow=True).start()
+        query = states.writeStream.outputMode("update").option("checkpointLocation", work.path("stream")).foreachBatch(lambda batch, number: save_states(batch, number, folder)).trigger(availableNow=True).start()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
     schema = states.schema.add("batch", "integer")
-    if not query.lastProgress:  # no file in the stream: an empty table
+    if not work.has("states"):  # no file in the stream: an empty table
         return spark.createDataFrame([], states.schema)
-    changed = spark.read.schema(schema).parquet(work.path("states"))
+    changed = spark.read.schema(schema).parquet(folder)
     return changed.groupBy("digest").agg(F.max_by("best", "batch").alias("best"), F.max_by("group_size", "batch").alias("group_size"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all columns of docs."""
-    work = Work(docs.sparkSession, "keep")
-    source = located(work, docs)
-    found = exact_duplicates(source)
-    gone = found.where("not kept").select(F.col("file").alias("_file"), F.col("row").alias("_row"))
-    return source.join(gone, ["_file", "_row"], "left_anti").select(*docs.columns)
+def keep_first(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """The rows that stay, with all columns of docs, whatever their names."""
+    work = Work(docs.sparkSession, "exact", folder)
+    source, file, row = located(work, docs)
+    found = _duplicates(work, source.select("doc_id", "text", F.col(file).alias("file"), F.col(row).alias("row")), None)
+    gone = found.where("not kept").select(F.col("file").alias(file), F.col("row").alias(row))
+    return source.join(gone, [file, row], "left_anti").select(*docs.columns)
 
 
-def exact_duplicates(docs: DataFrame, files_per_batch: int | None = None) -> DataFrame:
+def exact_duplicates(docs: DataFrame, files_per_batch: int | None = None, folder: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row, the dropped ones too.
 
     Texts are equal if identical without white space; null counts as empty. Of equal texts the
     row with the most code points stays, then the one with the smallest doc_id (null ids last),
     then the first by locator: of repeated rows exactly one stays. Needs doc_id and text only.
+    With a folder, which belongs to one state of one table, a run that was stopped goes on where it
+    ended: written digests, the stream's checkpoint and state, and groups are taken from there.
     """
-    work = Work(docs.sparkSession, "exact")
-    source = docs if {"_file", "_row"} <= set(docs.columns) else located(work, docs.select("doc_id", "text"))
+    work = Work(docs.sparkSession, "exact", folder)
+    source, file, row = located(work, docs.select("doc_id", "text"))
+    return _duplicates(work, source.select("doc_id", "text", F.col(file).alias("file"), F.col(row).alias("row")), files_per_batch)
+
+
+def _duplicates(work: Work, source: DataFrame, files_per_batch: int | None) -> DataFrame:
     text = normalised(F.col("text"))
-    rank = F.struct((-F.coalesce(F.length("text"), F.lit(0))).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("_file").alias("file"), F.col("_row").alias("row"))
-    rows = source.select("doc_id", F.sha2(text, 256).alias("digest"), rank.alias("rank"))
-    rows = work.table(rows, "digests")
-    groups = work.table(stateful_groups(work, rows, files_per_batch), "groups")
+    rank = F.struct((-F.coalesce(F.length("text"), F.lit(0))).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")
+    rows = work.once(source.select("doc_id", F.sha2(text, 256).alias("digest"), rank.alias("rank")), "digests")
+    if work.named and work.finished("groups"):
+        groups = work.spark.read.parquet(work.path("groups"))
+    else:
+        groups = work.table(stateful_groups(work, rows, files_per_batch), "groups")
+        if not work.named:
+            work.drop("stream", "states")
     hits = groups.where("group_size > 1")
 
     # full bytes: rows of groups with several members against the content their locator names
-    texts = source.select("doc_id", F.col("_file"), F.col("_row"), F.sha2(text, 256).alias("digest"), text.alias("norm"))
+    texts = source.select("file", "row", F.sha2(text, 256).alias("digest"), text.alias("norm"))
     members = texts.join(hits.select("digest", "best"), "digest")
-    is_best = (F.col("_file") == F.col("best.file")) & (F.col("_row") == F.col("best.row"))
-    members = work.table(members.select("digest", "norm", F.col("_file").alias("file"), F.col("_row").alias("row"), is_best.alias("is_best")), "members")
+    is_best = (F.col("file") == F.col("best.file")) & (F.col("row") == F.col("best.row"))
+    members = work.table(members.select("digest", "norm", "file", "row", is_best.alias("is_best")), "members")
     content = members.where("is_best").select("digest", F.col("norm").alias("content"))
     differ = members.join(content, "digest").where("norm <> content").select("digest", "file", "row", F.sha2("norm", 512).alias("other"))
     differ = work.table(differ, "differ")

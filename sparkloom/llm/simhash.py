@@ -99,38 +99,33 @@ def _forest(pairs: np.ndarray) -> np.ndarray:
 def link_pattern(f: np.ndarray, pattern: int, radius: int, lead: int = LEAD, block: int = 2_000_000) -> np.ndarray:
     """Linked pairs of fingerprints (unsigned) that share a variant whose leading bits are pattern.
 
-    The variants are made and matched in blocks by their next bits, so memory is bounded by
-    block and by the number of fingerprints of the pattern.
+    While a pattern has more variants than block it is split by its next bit: each variant is made
+    once, and only the block at hand is in memory, however many fingerprints begin alike. Colliding
+    pairs are verified by their differing bits.
     """
-    half, low = radius // 2, BITS - lead
-    top = f >> np.uint64(low)
-    used = np.array([bin(int(x)).count("1") for x in (top ^ np.uint64(pattern)).tolist()], np.int64)
-    masks = {k: _flips(low, k) for k in range(half + 1)}
-    total = sum(int((used == half - k).sum()) * len(m) for k, m in masks.items())
-    parts = 1
-    while total / parts > block:
-        parts *= 2
-    shift = np.uint64(low - (parts.bit_length() - 1))
+    low = BITS - lead
+    left = radius // 2 - np.bitwise_count((f >> np.uint64(low)) ^ np.uint64(pattern)).astype(np.int64)
     found = []
-    body = f & np.uint64((1 << low) - 1)
-    for part in range(parts):
+    open_ = [(f[left >= 0], left[left >= 0], low)]
+    while open_:
+        own, left, low = open_.pop()
+        total = sum(int(n) * sum(math.comb(low, k) for k in range(flips + 1)) for flips, n in enumerate(np.bincount(left)))
+        if total > block and low > radius:
+            bit = (own >> np.uint64(low - 1)).astype(np.int64) & 1
+            for value in (0, 1):
+                after = left - (bit != value)
+                open_.append((own[after >= 0], after[after >= 0], low - 1))
+            continue
         variants, owners = [], []
-        for k, m in masks.items():
-            own = np.flatnonzero(used == half - k)
-            for at in range(0, len(own), max(1, block // len(m))):
-                chosen = own[at : at + max(1, block // len(m))]
-                v = (body[chosen, None] ^ m[None, :]).ravel()
-                o = np.repeat(f[chosen], len(m))
-                if parts > 1:
-                    keep = (v >> shift) == part
-                    v, o = v[keep], o[keep]
-                variants.append(v)
-                owners.append(o)
+        for flips in np.unique(left).tolist():
+            chosen, m = own[left == flips], _flips(low, flips)
+            variants.append(((chosen[:, None] & np.uint64((1 << low) - 1)) ^ m[None, :]).ravel())
+            owners.append(np.repeat(chosen, len(m)))
         pairs = _star(np.concatenate(owners), np.concatenate(variants)) if variants else np.zeros((0, 2), np.uint64)
+        pairs = pairs[np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= radius]
         if len(pairs):
             found.append(_forest(pairs))
-    pairs = _forest(np.concatenate(found)) if found else np.zeros((0, 2), np.uint64)
-    return pairs
+    return _forest(np.concatenate(found)) if found else np.zeros((0, 2), np.uint64)
 
 
 def links(prints: DataFrame, radius: int = RADIUS, lead: int = LEAD) -> DataFrame:
@@ -186,6 +181,7 @@ def components(work: Work, edges: DataFrame, most_rounds: int = 60, name: str =
                 new = joined.select(F.col("b").alias("x"), F.col("m").alias("y")).union(least.select(F.col("a").alias("x"), F.col("m").alias("y")))
             now = new.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         now = work.table(now, f"{name}{k}")
+        work.drop(f"{name}_least{k}large", f"{name}_least{k}small")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         work.drop(f"{name}{k - 1}")
         if state == before:
@@ -214,24 +210,27 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int
     """One row of each class of near copies, with all columns of docs: the smallest doc_id, then the first by locator.
 
     Near copies have sets of shingles whose Jaccard similarity is similarity or more, in chains.
-    Texts without words are one class.
+    Texts without words are one class. Columns of any name pass unchanged.
     """
     work = Work(docs.sparkSession, "near")
-    source = located(work, docs)
-    rows = work.table(set_names(source, shingle), "names")
-    candidates = components(work, work.table(shared_bands(source, shingle), "bands"), name="bands_cc")
+    source, file, row = located(work, docs)
+    named = source.select(F.col("doc_id").cast("long"), "text", F.col(file).alias("file"), F.col(row).alias("row"))
+    rows = work.table(set_names(named, shingle), "names")
+    candidates = components(work, work.table(shared_bands(named, shingle), "bands"), name="bands_cc")
     candidates = candidates.union(candidates.select("root", "root").distinct())  # components() leaves out the roots
-    roots = components(work, work.table(similar(work, source, work.table(candidates, "candidates"), shingle, similarity), "similar"), name="similar_cc")
+    roots = components(work, work.table(similar(work, named, work.table(candidates, "candidates"), shingle, similarity), "similar"), name="similar_cc")
     rows = work.table(rows.join(work.table(roots, "roots"), rows.s == F.col("node"), "left").withColumn("root", F.coalesce("root", "s")), "rooted")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_file", "_row")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")
     stay = work.table(rows.groupBy("root").agg(F.min(place).alias("stay"), F.count("*").alias("n")).where("n > 1"), "stay")
-    gone = rows.join(stay, "root").where((F.col("stay._file") != F.col("_file")) | (F.col("stay._row") != F.col("_row"))).select("_file", "_row")
-    return source.join(work.table(gone, "gone"), ["_file", "_row"], "left_anti").select(*docs.columns)
+    gone = rows.join(stay, "root").where((F.col("stay.file") != F.col("file")) | (F.col("stay.row") != F.col("row"))).select(F.col("file").alias(file), F.col("row").alias(row))
+    gone = work.table(gone, "gone")
+    work.drop("names", "bands", "candidates", "dealt", "sets", "similar", "roots", "rooted", "stay")
+    return source.join(gone, [file, row], "left_anti").select(*docs.columns)
 
 
 def set_names(source: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, s (the name of the set of shingles), _file, _row."""
-    schema, arrow = arrow_schema("doc_id long, s long, _file string, _row long")
+    """doc_id, s (the name of the set of shingles), file, row."""
+    schema, arrow = arrow_schema("doc_id long, s long, file string, row long")
 
     def run(batches):
         for batch in batches:
@@ -239,7 +238,7 @@ def set_names(source: DataFrame, shingle: int) -> DataFrame:
             s = np.concatenate([np.zeros(0, np.uint64), *names]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), *batch.columns[2:]], schema=arrow)
 
-    return source.select(F.col("doc_id").cast("long"), "text", "_file", "_row").mapInArrow(run, schema)
+    return source.select("doc_id", "text", "file", "row").mapInArrow(run, schema)
 
 
 def shared_bands(source: DataFrame, shingle: int) -> DataFrame:
@@ -321,4 +320,6 @@ def classes(work: Work, rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     named = distinct.join(roots, distinct.f == roots.node, "left").select("f", "m", F.coalesce("root", "f").alias("root"))
     named = work.table(named, "roots")
     least = work.table(named.groupBy("root").agg(F.min("m").alias("component_id"), F.count("*").alias("n_fingerprints")), "least")
-    return work.table(named.select("f", "root").join(least, "root").select("f", "root", "component_id", "n_fingerprints"), "classes")
+    found = work.table(named.select("f", "root").join(least, "root").select("f", "root", "component_id", "n_fingerprints"), "classes")
+    work.drop("distinct", "links", "roots", "least")
+    return found

@@ -373,7 +373,8 @@ def test_near_stage_similarity(spark):
     assert {r.doc_id for r in corpus_pipeline.near(spark, df, "").collect()} == want
 
     work = simhash.Work(spark, "blocks")
-    source = simhash.located(work, df)
+    source, file, row = simhash.located(work, df)
+    source = source.withColumnsRenamed({file: "file", row: "row"})
     one = work.table(simhash.set_names(source, 5).select(F.col("s").alias("node"), F.lit(0).cast("long").alias("root")).distinct(), "one")
     edges = simhash.similar(work, source, one, 5, (4, 5), block=50)
     roots = simhash.components(work, work.table(edges, "edges"))
