@@ -20,6 +20,10 @@ from sparkloom.llm.common import arrow_schema, text_bytes
 # Fixed values of ISO/IEC 13818-1.
 PACKET, SYNC, NULL_PID, PAT_PID = 188, 0x47, 0x1FFF, 0
 PAT_TABLE, PMT_TABLE, PRIVATE_STREAM_1, PRIVATE_DATA = 0x00, 0x02, 0xBD, 0x06
+#: Stream ids whose packets have no header after the length: program map, padding, private 2, ECM, EMM, DSM-CC, H.222.1 type E, directory.
+BARE_STREAMS = (0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF)
+#: Bytes of a table section before and after its entries: 8 and the CRC; a program map has 4 more.
+PAT_LEAST, PMT_LEAST = 12, 16
 CLOCK = 90_000
 
 PMT_PID, ES_PID, PROGRAM = 0x1000, 0x100, 1
@@ -150,7 +154,8 @@ def read_stream(stream: bytes) -> dict:
 
     programs: (program, map pid); streams: (pid, stream type); units: (pid, pts, dts, random access,
     discontinuity, place in the elementary payload, length) by pid and order of arrival; payloads:
-    elementary bytes by pid. Counter errors leave the data in place and are counted.
+    elementary bytes by pid. Counter errors leave the data in place and are counted; packets of an elementary
+    stream without a right header are malformed, counted, and have no part in the payload. Any bytes can be read.
     """
     rows, skipped = _packets(stream)
     rows = rows[(rows[:, 1] & 0x80) == 0] if len(rows) else rows
@@ -160,7 +165,7 @@ def read_stream(stream: bytes) -> dict:
     length = np.where(has_field, rows[:, 4].astype(np.int64), -1)
     flags = np.where(length > 0, rows[:, 5], 0)
     begin = np.where(has_data, np.minimum(4 + length + 1, PACKET), PACKET)
-    out = {"packets": len(rows), "skipped": skipped, "programs": [], "streams": [], "units": [], "payloads": {}, "errors": 0, "repeats": 0, "pcr": []}
+    out = {"packets": len(rows), "skipped": skipped, "programs": [], "streams": [], "units": [], "payloads": {}, "malformed": 0, "errors": 0, "repeats": 0, "pcr": []}
 
     errors = repeats = 0
     repeated = np.zeros(len(rows), bool)
@@ -178,15 +183,15 @@ def read_stream(stream: bytes) -> dict:
 
     keep = has_data & ~repeated
     for sec in _sections(rows[keep & (pids == PAT_PID)], begin[keep & (pids == PAT_PID)], unit[keep & (pids == PAT_PID)]):
-        if sec[0] == PAT_TABLE and sec[5] & 1:
-            for k in range(8, len(sec) - 4, 4):
+        if len(sec) >= PAT_LEAST and sec[0] == PAT_TABLE and sec[5] & 1:
+            for k in range(8, len(sec) - 7, 4):
                 number, pid = int.from_bytes(sec[k : k + 2], "big"), int.from_bytes(sec[k + 2 : k + 4], "big") & 0x1FFF
                 if number and (number, pid) not in out["programs"]:
                     out["programs"].append((number, pid))
     for _, map_pid in out["programs"]:
         own = keep & (pids == map_pid)
         for sec in _sections(rows[own], begin[own], unit[own]):
-            if sec[0] == PMT_TABLE and sec[5] & 1:
+            if len(sec) >= PMT_LEAST and sec[0] == PMT_TABLE and sec[5] & 1:
                 k = 12 + ((sec[10] & 15) << 8 | sec[11])
                 while k + 5 <= len(sec) - 4:
                     entry = (int.from_bytes(sec[k + 1 : k + 3], "big") & 0x1FFF, sec[k])
@@ -194,24 +199,27 @@ def read_stream(stream: bytes) -> dict:
                         out["streams"].append(entry)
                     k += 5 + ((sec[k + 3] & 15) << 8 | sec[k + 4])
 
-    for i in np.flatnonzero((flags & 0x10) > 0).tolist():
+    for i in np.flatnonzero(((flags & 0x10) > 0) & (length >= 7)).tolist():
         out["pcr"].append(int.from_bytes(rows[i, 6:12].tobytes(), "big") >> 15)
     for pid, _ in out["streams"]:
         own = np.flatnonzero(keep & (pids == pid))
         marks = np.flatnonzero(unit[own])
         payload, place = [], 0
-        for a, b in zip(marks, [*marks[1:], len(own)], strict=True):
+        for a, b in zip(marks, np.append(marks[1:], len(own))[: len(marks)], strict=True):
             part, start = own[a:b], begin[own[a:b]]
             inside = np.arange(PACKET)[None, :] >= start[:, None]
             pes = rows[part][inside].tobytes()
-            if pes[:3] != b"\x00\x00\x01" or len(pes) < 9:
-                continue
             size = int.from_bytes(pes[4:6], "big")
             pes = pes[: 6 + size] if size else pes
-            stamps, head = pes[7] >> 6, 9 + pes[8]
-            pts = _time(pes[9:14]) if stamps & 2 else None
-            dts = _time(pes[14:19]) if stamps == 3 else pts
-            data = pes[head:]
+            bare = len(pes) >= 6 and pes[3] in BARE_STREAMS
+            if pes[:3] != b"\x00\x00\x01" or not bare and (len(pes) < 9 or pes[6] >> 6 != 2):
+                out["malformed"] += 1
+                continue
+            stamps, extra = (0, 0) if bare else (pes[7] >> 6, pes[8])
+            # a stamp that is flagged but doesn't fit its header isn't one
+            pts = _time(pes[9:14]) if stamps & 2 and extra >= 5 and len(pes) >= 14 else None
+            dts = _time(pes[14:19]) if stamps == 3 and extra >= 10 and len(pes) >= 19 else pts
+            data = pes[6:] if bare else pes[9 + extra :]
             out["units"].append((pid, pts, dts, bool(flags[part[0]] & 0x40), bool(flags[part[0]] & 0x80), place, len(data)))
             payload.append(data)
             place += len(data)
