@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.bpe import codec, tokenizer_path
-from sparkloom.llm.common import Work, arrow_schema, text_bytes
+from sparkloom.llm.common import Work, arrow_schema, text_bytes, unused
 
 CAPACITY = 2048
 #: Pieces that one task packs; what it leaves open goes to the next level.
@@ -84,11 +84,11 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, ranks: str | None =
 
 
 def _pack(capacity: int, level: int):
-    """Packs the rows of one shard, sorted; rows are pieces or partly filled sequences."""
+    """Packs the rows of one shard, the longest first, equal lengths by their turn; rows are pieces or partly filled sequences."""
     _, arrow = arrow_schema("item long, length long, bin long, place long, fill long")
 
     def run(shard, table):
-        order = np.lexsort((table.column("item").to_numpy(), table.column("turn").to_numpy()))
+        order = np.lexsort((table.column("item").to_numpy(), table.column("turn").to_numpy(), -table.column("length").to_numpy()))
         lengths, items = table.column("length").to_numpy()[order], table.column("item").to_numpy()[order]
         bins, places = sum_of_squares(lengths, capacity)
         fill = np.zeros(int(bins.max()) + 1 if len(bins) else 0, np.int64)
@@ -102,18 +102,19 @@ def _pack(capacity: int, level: int):
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, length: str = "length") -> DataFrame:
     """Adds sequence_id and offset to rows with a length of 1 to capacity; sequences are gapless from 0.
 
-    Shards of about shard_pieces rows (dealt by a hash of the whole row) are packed apart; their
-    sequences of less than the full length are then packed together as if each were a piece,
-    level by level, until one shard holds what is left or a level no longer saves anything.
-    An empty table gives an empty one.
+    Shards of about shard_pieces rows (dealt by hash) are packed apart, the longest rows first;
+    sequences that are not full and that another one could join are then packed together as if each
+    were a piece, level by level, until one shard holds them all, none can be joined, or a level
+    joined none. Columns named sequence_id or offset are replaced. An empty table gives an empty one.
     """
     spark = pieces.sparkSession
     work = Work(spark, "pack")
     schema = arrow_schema("item long, length long, bin long, place long, fill long")[0]
-    pieces = pieces.drop("_item", "sequence_id", "offset")
-    rows = work.table(pieces.withColumn("_item", F.monotonically_increasing_id()), "pieces")
+    pieces = pieces.drop("sequence_id", "offset")
+    (number,) = unused(["_item"], pieces.columns)
+    rows = work.table(pieces.withColumn(number, F.monotonically_increasing_id()), "pieces")
     total = rows.count()
-    level, items = 0, rows.select(F.col("_item").alias("item"), F.col(length).cast("long").alias("length"))
+    level, items = 0, rows.select(F.col(number).alias("item"), F.col(length).cast("long").alias("length"))
     where = None  # item of the first level -> sequence so far, offset there
     while True:
         shards = max(1, round(total / shard_pieces))
@@ -130,11 +131,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
                 (F.col("offset") + F.coalesce("by", F.lit(0))).alias("offset"),
             )
             where = work.table(where, f"where{level}")
+            work.drop(f"where{level - 1}", f"level{level - 1}")
         if shards == 1:
             break
         opened = done.where(F.col("fill") < capacity).select(F.col("bin").alias("item"), F.col("fill").alias("length")).distinct()
+        least, joined = opened.agg(F.min("length")).first()[0], level == 0 or done.select("bin").distinct().count() < total
+        if least is None or not joined:
+            break
+        opened = opened.where(F.col("length") + least <= capacity)
         left = opened.count()
-        if left > 0.9 * total or not left:
+        if left < 2:
             break
         level, items, total = level + 1, opened, left
-    return rows.join(where, "_item").drop("_item")
+    placed = where.withColumnRenamed("_item", number)
+    return rows.join(placed, number).drop(number)
