@@ -16,20 +16,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import arrow_schema, blocks, mix, shared, text_bytes
+from sparkloom.llm.common import Work, arrow_schema, blocks, mix, text_bytes
 
 ORDER = 4
 #: Labelled documents of a language that a model is fitted on, about; chosen by a hash of the id among all of them.
 SAMPLE_DOCS = 2_000
-#: n-grams of all languages that a model may have; beyond that the sample is halved and the fit repeated.
+#: ORDER-grams of all languages that a model may have; beyond that the rarest ones are left out, see fit().
 MOST_ENTRIES = 6_000_000
+#: Languages that are learned: the labels of the most documents, then the first by name.
+MOST_LANGUAGES = 256
 UNDETERMINED = "und"
-#: Nats by character over a language's usual cross-entropy at which a text is rejected; see calibrate().
-REJECT_QUANTILE, REJECT_MARGIN = 0.999, 1.0
-_LETTER = re.compile(r"[^\W\d_]").search
+#: A text is rejected at its language's median cross-entropy plus this many quartile ranges, one nat by character at least.
+REJECT_RANGES, REJECT_LEAST = 8.0, 1.0
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 _SPACE, _DIGIT, _OTHER = 0x20, 0x30, 0x21
 
 
+def has_letter(text: str) -> bool:
+    """Some digits, as superscripts, aren't decimal and aren't letters either."""
+    return any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
+
+
 def _class_table() -> np.ndarray:
     """Code points of the basic plane to what the models see: lower-case letters, one digit, one sign, one space."""
     table = np.empty(0x10000, np.uint64)
@@ -158,53 +165,63 @@ def cross_entropy(model: LanguageModel, texts: list[bytes]) -> tuple[np.ndarray,
     return out, sizes
 
 
-def fit(docs: DataFrame, train, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
+def least_count(kinds: dict[int, int], most: int) -> int:
+    """The least t for which at most `most` n-grams occur t times or more; kinds: how many n-grams have each count."""
+    left, t = 0, max(kinds, default=0) + 1
+    for n in sorted(kinds, reverse=True):
+        left += kinds[n]
+        if left > most:
+            break
+        t = n
+    return t
+
+
+def fit(docs: DataFrame, train, sample_docs: int = SAMPLE_DOCS, most_entries: int = MOST_ENTRIES) -> LanguageModel:
     """Fits on about sample_docs documents for each language among the rows that train selects with a lang.
 
     The sample is the documents with the lowest hash of their id, in proportion: a bounded share
-    of rows, so the counts that reach the driver are bounded and the model can be broadcast.
-    No labelled row: a model without languages, which calls everything undetermined.
+    of rows, so the counts that reach the driver are bounded and the model can be broadcast. If the
+    sample has more than most_entries ORDER-grams, those that occur fewer than t times in their
+    language are left out of the model, with the least t that fits: whole counts, the same in each
+    run. No labelled row: a model without languages, which calls everything undetermined.
     """
     spark = docs.sparkSession
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64(F.col("doc_id"), F.lit(17)).alias("h"))
-    totals = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    totals = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not totals:
         return LanguageModel([], [], np.zeros(0), sample_docs)
-    while True:
-        chosen = F.lit(False)
-        for lang, n in totals.items():
-            share = min(1.0, sample_docs / n)
-            chosen = chosen | ((F.col("lang") == lang) & (F.col("h").cast("double") <= -(2.0**63) + share * 2.0**64))
-        sample = rows.where(chosen)
-        schema, arrow = arrow_schema("lang string, held int, key long, n long")
-
-        def count(batches):
-            for batch in batches:
-                langs = batch.column(0).to_pylist()
-                held = (batch.column(2).to_numpy().view(np.uint64) >> np.uint64(3)) % np.uint64(8) == 0
-                texts = text_bytes(batch.column(1))
-                for lang in sorted(set(langs)):
-                    own = [t for t, x, h in zip(texts, langs, held, strict=True) if x == lang and not h]
-                    for lo, hi in blocks([len(t) for t in own]):
-                        classes, starts = characters(own[lo:hi])
-                        real = np.ones(len(classes), bool)
-                        for k in range(1, ORDER):
-                            real[starts - k] = False
-                        keys, n = np.unique(ngrams(classes)[real], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(np.zeros(len(keys), np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], schema=arrow)
-
-        counts = sample.select("lang", "text", "h").mapInArrow(count, schema).groupBy("lang", "key").agg(F.sum("n").alias("n"))
-        table = counts.limit(MOST_ENTRIES + 1).toArrow()  # the bound's own check: one more than it allows
-        if table.num_rows <= MOST_ENTRIES or sample_docs < 100:
-            break
-        sample_docs //= 2
-    langs, keys, n = (np.array(table.column(0).to_pylist(), object), table.column(1).to_numpy().view(np.uint64), table.column(2).to_numpy())
-    names = sorted(x for x in totals if (langs == x).any())
+    shares = spark.createDataFrame([(r[0], min(1.0, sample_docs / r[1])) for r in totals], "lang string, share double")
+    sample = rows.join(F.broadcast(shares), "lang").where("cast(h as double) <= -pow(2.0D, 63) + share * pow(2.0D, 64)").select("lang", "text", "h")
+    schema, arrow = arrow_schema("lang string, key long, n long")
+
+    def count(batches):
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            held = (batch.column(2).to_numpy().view(np.uint64) >> np.uint64(3)) % np.uint64(8) == 0
+            texts = text_bytes(batch.column(1))
+            for lang in sorted(set(langs)):
+                own = [t for t, x, h in zip(texts, langs, held, strict=True) if x == lang and not h]
+                for lo, hi in blocks([len(t) for t in own]):
+                    classes, starts = characters(own[lo:hi])
+                    real = np.ones(len(classes), bool)
+                    for k in range(1, ORDER):
+                        real[starts - k] = False
+                    keys, n = np.unique(ngrams(classes)[real], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], schema=arrow)
+
+    work = Work(spark, "langid")
+    counts = work.table(sample.mapInArrow(count, schema).groupBy("lang", "key").agg(F.sum("n").alias("n")), "counts")
+    kinds = {r[0]: r[1] for r in counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().collect()}
+    table = counts.where(F.col("n") >= least_count(kinds, most_entries)).toArrow()
+    langs, keys, n = table.column(0).combine_chunks().dictionary_encode(), table.column(1).to_numpy().view(np.uint64), table.column(2).to_numpy()
+    work.drop("counts")
+    code = langs.indices.to_numpy()
+    names = sorted(langs.dictionary.to_pylist())
     models = []
     for x in names:
-        own = langs == x
-        order = np.argsort(keys[own])
-        models.append(KneserNey(keys[own][order], n[own][order]))
+        own = np.flatnonzero(code == langs.dictionary.to_pylist().index(x))
+        own = own[np.argsort(keys[own])]
+        models.append(KneserNey(keys[own], n[own]))
     model = LanguageModel(names, models, np.full(len(names), np.inf), sample_docs)
     model.limits = calibrate(spark, sample, model)
     return model
@@ -213,8 +230,9 @@ def fit(docs: DataFrame, train, sample_docs: int = SAMPLE_DOCS) -> LanguageModel
 def calibrate(spark, sample: DataFrame, model: LanguageModel) -> np.ndarray:
     """For each language, the cross-entropy above which a text is rejected.
 
-    It is the 0.999 quantile over the eighth of the sample that the counts left out, with 50
-    characters and more, plus a margin of one nat by character for texts of other topics.
+    From the eighth of the sample that the counts left out, texts of 50 characters and more whose
+    label is also the model's choice: the median plus eight quartile ranges, at least one nat
+    by character over the median. A few odd or wrongly labelled documents don't move it.
     """
     sent = spark.sparkContext.broadcast(model)
     schema, arrow = arrow_schema("lang string, ce double")
@@ -226,16 +244,18 @@ def calibrate(spark, sample: DataFrame, model: LanguageModel) -> np.ndarray:
             texts, langs = text_bytes(batch.column(1)), batch.column(0).to_pylist()
             for lo, hi in blocks([len(t) for t in texts]):
                 ce, size = cross_entropy(sent.value, texts[lo:hi])
-                rows = [(x, float(ce[i, sent.value.languages.index(x)])) for i, x in enumerate(langs[lo:hi]) if size[i] >= 50 and x in sent.value.languages]
+                best = ce.argmin(axis=1)
+                rows = [(x, float(ce[i, best[i]])) for i, x in enumerate(langs[lo:hi]) if size[i] >= 50 and sent.value.languages[best[i]] == x]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], schema=arrow)
 
-    found = sample.select("lang", "text", "h").mapInArrow(score, schema).groupBy("lang").agg(F.percentile_approx("ce", REJECT_QUANTILE).alias("q")).collect()
-    by = {r[0]: r[1] for r in found}
-    return np.array([by.get(x, max(by.values(), default=6.0)) + REJECT_MARGIN for x in model.languages])
+    quartiles = F.percentile_approx("ce", [0.25, 0.5, 0.75], 10_000)
+    found = sample.mapInArrow(score, schema).groupBy("lang").agg(quartiles.alias("q")).collect()
+    by = {r[0]: r[1][1] + max(REJECT_LEAST, REJECT_RANGES * (r[1][2] - r[1][0])) for r in found}
+    return np.array([by.get(x, max(by.values(), default=7.0)) for x in model.languages])
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Adds lang_pred, score and lang_rejected to every row.
+def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str, str] = ("lang_pred", "score", "lang_rejected")) -> DataFrame:
+    """Adds lang_pred, score and lang_rejected, or what names calls them, to every row.
 
     lang_pred: the language of lowest cross-entropy per character (ties: the first by name), `und`
     for null texts and texts without a letter or if no language was learned. score: the share
@@ -243,10 +263,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     or a cross-entropy above the language's limit in a text of 20 characters or more. Only the
     text decides. Columns with these names are replaced.
     """
-    names = ["lang_pred", "score", "lang_rejected"]
     docs = docs.drop(*names)
     keep = docs.schema
-    schema = type(keep)([*keep.fields, *arrow_schema("lang_pred string, score double, lang_rejected boolean")[0].fields])
+    schema = type(keep)([*keep.fields, *arrow_schema(", ".join(f"`{n}` {t}" for n, t in zip(names, ("string", "double", "boolean"), strict=True)))[0].fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow, at = to_arrow_schema(schema), docs.columns.index("text")
@@ -262,7 +281,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 for lo, hi in blocks([len(t) for t in texts]):
                     ce, size = cross_entropy(m, texts[lo:hi])
                     for i, t in enumerate(texts[lo:hi]):
-                        if not m.models or not _LETTER(t.decode("utf-8", "replace")):
+                        if not m.models or not has_letter(t.decode("utf-8", "replace")):
                             preds.append(UNDETERMINED)
                             scores.append(0.0)
                             rejected.append(True)
