@@ -18,13 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import arrow_schema, text_bytes
+from sparkloom.llm.common import Work, arrow_schema, text_bytes
 
 DIMENSIONS = 1 << 18
 #: Labelled documents that the model is fitted on, about, chosen by a hash of their id; all if there are fewer.
 SAMPLE_DOCS = 20_000
-#: Most distinct features of a document in the fit; a document beyond it keeps those of lowest hash in the fit, all when scored.
-SAMPLE_FEATURES = 4_000
+#: Features of all documents of the sample together, which bounds the fit's memory: with more, the sample has fewer documents, each whole.
+SAMPLE_FEATURES = 20_000_000
 #: Bytes of a word's starts.
 STARTS = (4, 5, 6, 7)
 #: Least score statistic of a feature with a weight: with DIMENSIONS features, one fit in 100 has one by chance.
@@ -131,28 +131,39 @@ def fit_ordinal(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grade
     return Ordinal(weights, b)
 
 
-def fit(docs: DataFrame, grades: DataFrame, n_grades: int, sample_docs: int = SAMPLE_DOCS) -> Ordinal:
+def fit(docs: DataFrame, grades: DataFrame, n_grades: int, sample_docs: int = SAMPLE_DOCS, sample_features: int = SAMPLE_FEATURES) -> Ordinal:
     """Fits on a bounded sample of the documents that have a grade (doc_id, grade; nulls don't count).
 
+    The sample is the documents of lowest hash of their id, about sample_docs, and fewer if they
+    have more than sample_features features together; each with all its features, as when scored.
     grades must have one row for each doc_id; n_grades is 2 or more. Without a graded document
     the weights are zero.
     """
-    rows = docs.select("doc_id", "text").where("doc_id is not null").join(grades.where("grade is not null and doc_id is not null"), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").join(grades.where("grade is not null and doc_id is not null"), "doc_id")
     n = rows.select("doc_id").count()
     share = min(1.0, sample_docs / max(n, 1))
-    chosen = rows.where(F.xxhash64("doc_id", F.lit(5)).cast("double") <= -(2.0**63) + share * 2.0**64)
-    schema, arrow = arrow_schema("doc_id long, grade int, f binary")
+    rank = F.xxhash64("doc_id", F.lit(5))
+    chosen = rows.select("doc_id", "text", F.col("grade").cast("int").alias("grade"), rank.alias("rank")).where(F.col("rank").cast("double") <= -(2.0**63) + share * 2.0**64)
+    schema, arrow = arrow_schema("doc_id long, grade int, rank long, f binary")
 
     def run(batches):
         for batch in batches:
-            fs = [features(t)[:SAMPLE_FEATURES].astype("<i4").tobytes() for t in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fs, pa.binary())], schema=arrow)
-
-    table = chosen.select(F.col("doc_id").cast("long"), "text", F.col("grade").cast("int")).mapInArrow(run, schema).toArrow().sort_by([("doc_id", "ascending"), ("f", "ascending")])
+            fs = [features(t).astype("<i4").tobytes() for t in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(fs, pa.binary())], schema=arrow)
+
+    work = Work(docs.sparkSession, "toxicity")
+    made = work.table(chosen.mapInArrow(run, schema), "features")
+    # about sample_docs short rows: the largest rank at which all features up to it fit
+    sizes = made.select("rank", F.octet_length("f").alias("b")).toArrow().sort_by("rank")
+    fits = np.cumsum(sizes.column("b").to_numpy(), dtype=np.int64) <= 4 * sample_features
+    if not fits.all():
+        made = made.where(F.col("rank") < int(sizes.column("rank")[int(fits.argmin())].as_py()))
+    table = made.drop("rank").toArrow().sort_by([("doc_id", "ascending"), ("f", "ascending")])
+    work.drop("features")
     found, grade = table.column("f"), table.column("grade").to_numpy().astype(np.int64)
-    sizes = pc.binary_length(found).to_numpy().astype(np.int64) // 4
+    lengths = pc.binary_length(found).to_numpy().astype(np.int64) // 4
     flat = np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(f.as_py(), "<i4") for f in found)])
-    return fit_ordinal(flat, sizes, grade, n_grades)
+    return fit_ordinal(flat, lengths, grade, n_grades)
 
 
 def severity(docs: DataFrame, model: Ordinal, cut: float = CUT) -> DataFrame:
