@@ -4,10 +4,11 @@ A window is WINDOW consecutive words. Of the phrases of PHRASE words in a window
 smallest hash is its anchor; equal windows have equal anchors, so windows are compared anchor
 by anchor. 1. Anchors that several documents have are found. 2. The stretches of words whose
 windows have such an anchor are written; windows that occur in several documents are
-confirmed, with the smallest document. 3. The anchors' phrases are compiled to Aho-Corasick
-automata, one for each shard, and all stretches of the shard's anchors are streamed through to
-locate the phrases; the windows around each place are looked up among the confirmed ones.
-4. Every document loses the words of windows that an earlier document has.
+confirmed, and the stretches of the smallest document of each are the confirmed passages. 3. The
+passages' phrases are compiled to Aho-Corasick automata, one for each shard, and the stretches of
+the shard's anchors are streamed through to locate every occurrence; the windows around one
+are looked up among the passages' windows and compared with them word by word. 4. Every document
+loses the words of windows that an earlier document has.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Work, Words, arrow_schema, blocks, bloom_bits, bloom_hits, partitions, range_hashes, shared, text_bytes
+from sparkloom.llm.common import Work, Words, arrow_schema, blocks, bloom_bits, bloom_hits, bloom_size, partitions, range_hashes, shared, text_bytes, unused
 
 WINDOW, PHRASE = 50, 25
 _H1, _H2, _G = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 #: An anchor with more than one part in so many of all stretches is dealt to several tasks.
 HOT_PARTS = 5_000
+#: Stretches of a shard, about; passages of one anchor in a shard, beyond which its windows are dealt one by one, in so many parts.
+SHARD_ROWS, MOST_PASSAGES, WINDOW_PARTS = 20_000, 1_000, 16
 
 
 def window_hashes(h: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +65,7 @@ def _batch(rows, arrow):
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
 
-def repeated_spans(work: Work, docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+def repeated_spans(work: Work, docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, most_passages: int = MOST_PASSAGES) -> DataFrame:
     """doc_id, key, spans: for every text with windows that a smaller doc_id has, their word ranges.
 
     key is the text's hash. Rows without an id neither lose words nor count as earlier.
@@ -89,7 +92,9 @@ def repeated_spans(work: Work, docs: DataFrame, window: int = WINDOW, phrase: in
 
     common = rows.mapInArrow(find, a_schema).groupBy("a").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("a")
     common = work.table(common, "anchors")
-    filter_ = shared(spark, bloom_bits(common, "a"))
+    n_common = common.count()
+    bits = bloom_size(n_common)
+    filter_ = shared(spark, bloom_bits(common, "a", bits))
 
     s_schema, s_arrow = arrow_schema("a long, doc_id long, key long, at int, skip int, words binary")
 
@@ -108,7 +113,10 @@ def repeated_spans(work: Work, docs: DataFrame, window: int = WINDOW, phrase: in
                 ]
                 yield _batch(out, s_arrow)
 
-    stretches = work.table(rows.mapInArrow(stretch, s_schema), "stretches")
+    stretches = rows.mapInArrow(stretch, s_schema)
+    if n_common > bits // 10:  # the filter is at its largest and lets much pass: leave that to a join
+        stretches = stretches.join(common, "a", "left_semi")
+    stretches = work.table(stretches, "stretches")
 
     w_schema, w_arrow = arrow_schema("w1 long, w2 long, a long, doc_id long")
 
@@ -124,83 +132,63 @@ def repeated_spans(work: Work, docs: DataFrame, window: int = WINDOW, phrase: in
                 yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(a[who]), pa.array(ids[who])], schema=w_arrow)
 
     seen = stretches.select("a", "doc_id", "words").mapInArrow(windows, w_schema).groupBy("w1", "w2", "a").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    confirmed = work.table(seen.where("first < last").select("a", "w1", "w2", "first"), "confirmed")
+    firsts = work.table(seen.where("first < last").select("a", "first").distinct(), "firsts")
 
     # an anchor with a large share of all stretches goes to several tasks; there are at most HOT_PARTS such
-    per_anchor = stretches.groupBy("a").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"))
-    per_anchor = work.table(per_anchor.join(confirmed.select("a").distinct(), "a", "left_semi"), "phrases")
+    passages = firsts.groupBy("a").agg(F.count("*").alias("k"))
+    passages = passages.where(F.col("k") > most_passages).select("a", F.lit(None).cast("array<long>").alias("firsts")).union(
+        firsts.join(passages.where(F.col("k") <= most_passages), "a").groupBy("a").agg(F.collect_list("first").alias("firsts"))
+    )
+    per_anchor = work.table(stretches.groupBy("a").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo")).join(passages, "a"), "phrases")
     total = per_anchor.agg(F.sum("n")).first()[0] or 0
-    share = max(1, total // HOT_PARTS)
-    hot = F.broadcast(per_anchor.where(F.col("n") > share).select("a", F.ceil(F.col("n") / share).cast("int").alias("salts")))
-    shards = 4 * partitions(spark)
+    share, shards = max(1, total // HOT_PARTS), max(4 * partitions(spark), -(-total // SHARD_ROWS))
+    found = stretches.join(per_anchor.withColumn("salts", F.ceil(F.col("n") / share).cast("int")), "a")
 
-    def dealt(df, kind, salted):
-        df = df.join(hot, "a", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-        salt = F.pmod(F.col("key"), F.col("salts")).cast("int") if salted else F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    def dealt(df, kind):
+        salt = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)) if kind == 1 else F.pmod(F.xxhash64("doc_id", "key"), F.col("salts")).cast("int")
         df = df.withColumn("salt", salt)
-        names = {"doc_id": "long", "key": "long", "at": "int", "skip": "int", "words": "binary", "w1": "long", "w2": "long", "first": "long"}
-        return df.select(
-            F.pmod(F.xxhash64("a", "salt"), F.lit(shards)).cast("int").alias("shard"),
-            F.lit(kind).alias("kind"),
-            "a",
-            *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in names.items()],
-        )
+        return df.select(F.pmod(F.xxhash64("a", "salt"), F.lit(shards)).cast("int").alias("shard"), F.lit(kind).alias("kind"), "a", "doc_id", "key", "at", (F.col("skip") if kind == 1 else F.lit(None).cast("int")).alias("skip"), "words")
 
+    few, many = found.where("firsts is not null"), found.where("firsts is null")
     # an anchor's smallest document has no earlier one and loses nothing by it
-    useful = stretches.join(per_anchor.select("a", "lo"), "a").where("doc_id > lo").drop("lo")
-    inputs = dealt(confirmed, 1, False).union(dealt(useful, 2, True))
+    inputs = dealt(few.where(F.array_contains("firsts", F.col("doc_id"))), 1).union(dealt(few.where("doc_id > lo"), 2))
+    if passages.where("firsts is null").limit(1).count():
+        # an anchor with very many passages: its windows one by one, each with its smallest document
+        single = work.table(many.select(*s_schema.names).mapInArrow(lambda batches: one_by_one(batches, window), s_schema), "single").withColumn("salts", F.lit(WINDOW_PARTS))
+        least = single.groupBy("a", "skip", "words", "salts").agg(F.min("doc_id").alias("doc_id")).withColumns({"key": F.lit(0).cast("long"), "at": F.lit(0)})
+        inputs = inputs.union(dealt(least, 1)).union(dealt(single, 2))
     inputs = inputs.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "a")
 
     o_schema, o_arrow = arrow_schema("doc_id long, key long, start int, end int")
 
     def locate(batches):
-        shard, firsts, lookup = None, [], None
+        shard, held, passages = None, [], None
         for batch in batches:
             where, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cuts = np.flatnonzero(np.concatenate([[True], (np.diff(where) != 0) | (np.diff(kinds) != 0)])) if batch.num_rows else []
             for i, j in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
                 part = batch.slice(int(i), int(j - i))
                 if where[i] != shard:
-                    shard, firsts, lookup = where[i], [], None
+                    shard, held, passages = where[i], [], None
                 col = {n: part.column(k) for k, n in enumerate(part.schema.names)}
                 if kinds[i] == 1:
-                    firsts.append([col[c].to_numpy() for c in ("w1", "w2", "first")])
+                    held.append((col["doc_id"].to_numpy(), col["skip"].to_numpy(), col["words"].to_pylist()))
                     continue
-                if lookup is None:
-                    w1, w2, first = ([np.concatenate(x) for x in zip(*firsts, strict=True)]) if firsts else [np.zeros(0, np.int64)] * 3
-                    order = np.lexsort((w2, w1))
-                    lookup = (w1[order], w2[order], first[order])
-                yield from _located(part, col, compiled(col), lookup)
-
-    def compiled(col):
-        """The automaton of the confirmed phrases that come next: a shard's stretches are sorted by anchor."""
-        machine = ahocorasick.Automaton()
-        _, at = np.unique(col["a"].to_numpy(), return_index=True)
-        for i in at.tolist():
-            skip = col["skip"][i].as_py()
-            text = b" ".join(col["words"][i].as_py().split(b" ")[skip : skip + phrase])
-            machine.add_word(f" {text.decode('latin-1')} ", 1)
-        machine.make_automaton()
-        return machine
-
-    def _located(part, col, machine, lookup):
+                if passages is None:
+                    passages, held = Passages(held, window, phrase), []
+                yield from _located(col, passages)
+
+    def _located(col, passages):
         ids, keys, ats, texts = col["doc_id"].to_numpy(), col["key"].to_numpy(), col["at"].to_numpy(), col["words"].to_pylist()
         for lo, hi in blocks([len(t) for t in texts]):
             words = Words(texts[lo:hi])
-            ends = np.array([e for e, _ in machine.iter(f" {words.data.decode('latin-1')} ")], np.int64) - 1
-            last = np.searchsorted(words.ends, ends)
-            begin = last - phrase + 1
-            ok = (begin >= 0) & (words.doc[np.maximum(begin, 0)] == words.doc[last])
-            begin = begin[ok]
+            begin = passages.phrases(words)
             # windows around a located phrase: those that start up to window - phrase words before it
             at = np.unique((begin[:, None] - np.arange(window - phrase + 1)[None, :]).ravel())
             at = at[(at >= 0) & (at + window <= len(words.doc))]
             at = at[words.doc[at] == words.doc[at + window - 1]]
-            w1, w2 = (x.view(np.int64) for x in window_hashes(words.hashes(), at, window))
-            first = _look_up(lookup, w1, w2)
+            at = at[passages.earlier(words, at, ids[words.doc[at] + lo])]
             who = words.doc[at] + lo
-            gone = first < ids[who]
-            at, who = at[gone], who[gone]
             if not len(at):
                 continue
             cut = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(who) != 0)]))
@@ -209,13 +197,83 @@ def repeated_spans(work: Work, docs: DataFrame, window: int = WINDOW, phrase: in
             yield pa.RecordBatch.from_arrays([pa.array(ids[who[cut]]), pa.array(keys[who[cut]]), pa.array((at[cut] + shift).astype(np.int32)), pa.array((at[end] + window + shift).astype(np.int32))], schema=o_arrow)
 
     spans = inputs.mapInArrow(locate, o_schema)
-    return work.table(spans.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
+    spans = work.table(spans.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
+    work.drop("anchors", "stretches", "firsts", "phrases", "single")
+    return spans
+
+
+def one_by_one(batches, window: int):
+    """Stretches cut to their windows: each window is a stretch, and its hash its anchor."""
+    for batch in batches:
+        ids, keys, ats, skips, texts = (batch.column(i).to_pylist() for i in range(1, 6))
+        for lo, hi in blocks([len(t) for t in texts]):
+            words = Words(texts[lo:hi])
+            n = len(words.doc) - window + 1
+            at = np.flatnonzero(words.doc[:n] == words.doc[window - 1 :]) if n > 0 else np.zeros(0, np.int64)
+            w1, _ = window_hashes(words.hashes(), at, window)
+            out = []
+            for a, i, who in zip(w1.view(np.int64).tolist(), at.tolist(), (words.doc[at] + lo).tolist(), strict=True):
+                place = i - int(words.first[who - lo])
+                out.append((a, ids[who], keys[who], ats[who] + place, skips[who] - place, words.text(i, i + window)))
+            yield _batch(out, batch.schema)
+
+
+class Passages:
+    """The confirmed passages of a shard: an automaton of their phrases, and their windows with the smallest document of each."""
+
+    def __init__(self, held: list, window: int, phrase: int) -> None:
+        ids, skips = (np.concatenate([np.zeros(0, np.int64), *(h[i] for h in held)]).astype(np.int64) for i in (0, 1))
+        texts = [t for h in held for t in h[2]]
+        self.window, self.phrase = window, phrase
+        self.words = words = Words(texts)
+        self.machine = ahocorasick.Automaton()
+        for i, skip in enumerate(skips.tolist()):
+            begin = int(words.first[i]) + skip
+            self.machine.add_word(f" {words.text(begin, begin + phrase).decode('latin-1')} ", 1)
+        self.machine.make_automaton()
+        n = len(words.doc) - window + 1
+        at = np.flatnonzero(words.doc[:n] == words.doc[window - 1 :]) if n > 0 else np.zeros(0, np.int64)
+        w1, w2 = (x.view(np.int64) for x in window_hashes(words.hashes(), at, window))
+        owner = ids[words.doc[at]]
+        order = np.lexsort((owner, w2, w1))
+        w1, w2, owner, at = w1[order], w2[order], owner[order], at[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+        self.lookup = w1[new], w2[new], np.flatnonzero(new)
+        self.owner, self.at = owner, at
+
+    def phrases(self, words: Words) -> np.ndarray:
+        """The words at which an occurrence of a phrase begins."""
+        if not len(self.machine):
+            return np.zeros(0, np.int64)
+        ends = np.array([e for e, _ in self.machine.iter(f" {words.data.decode('latin-1')} ")], np.int64) - 1
+        last = np.searchsorted(words.ends, ends)
+        begin = last - self.phrase + 1
+        return begin[(begin >= 0) & (words.doc[np.maximum(begin, 0)] == words.doc[last])]
+
+    def earlier(self, words: Words, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """True for the windows at `at` of documents ids that a smaller document's passage has, word by word."""
+        w1, w2 = (x.view(np.int64) for x in window_hashes(words.hashes(), at, self.window))
+        found = _look_up(self.lookup, w1, w2)
+        out = found >= 0
+        out[out] = self.owner[found[out]] < ids[out]
+        chosen = np.flatnonzero(out)
+        if not len(chosen):
+            return out
+        here, there = at[chosen], self.at[found[chosen]]
+        # windows that follow each other in both are compared at once
+        cut = np.flatnonzero(np.concatenate([[True], (np.diff(here) != 1) | (np.diff(there) != 1)]))
+        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(chosen)], strict=True):
+            if words.text(here[i], here[j - 1] + self.window) != self.words.text(there[i], there[j - 1] + self.window):
+                for k in range(i, j):  # hashes agree and words don't
+                    out[chosen[k]] = words.text(here[k], here[k] + self.window) == self.words.text(there[k], there[k] + self.window)
+        return out
 
 
 def _look_up(lookup, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
-    """The first document of each window; the largest long where it isn't confirmed. Equal first halves are walked through."""
-    p1, p2, first = lookup
-    out = np.full(len(w1), np.iinfo(np.int64).max)
+    """The value of each window; -1 where it isn't there. Equal first halves are walked through."""
+    p1, p2, value = lookup
+    out = np.full(len(w1), -1)
     at = np.searchsorted(p1, w1)
     open_ = np.arange(len(w1))
     while len(open_):
@@ -223,33 +281,36 @@ def _look_up(lookup, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
         open_ = open_[inside]
         open_ = open_[p1[at[open_]] == w1[open_]]
         same = p2[at[open_]] == w2[open_]
-        out[open_[same]] = first[at[open_[same]]]
+        out[open_[same]] = value[at[open_[same]]]
         at[open_] += 1
         open_ = open_[~same]
     return out
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """Adds n_words, n_removed, kept_text and spans to every row.
+NAMES = ("n_words", "n_removed", "kept_text", "spans")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, names: tuple[str, str, str, str] = NAMES, most_passages: int = MOST_PASSAGES) -> DataFrame:
+    """Adds n_words, n_removed, kept_text and spans, or what names calls them, to every row.
 
     Words are runs of characters other than [\\x20\\x09-\\x0D]. A word goes if a window of the
     row's words that covers it also starts in a document with a smaller doc_id; windows are judged
     on the input. kept_text has the other words with one space between. Null texts have no words;
     rows without an id lose none; rows that share an id don't count for each other. Windows
-    that repeat within one document stay. Columns with an added column's name are replaced.
+    that repeat within one document stay. Columns with a name of names are replaced; all others pass unchanged.
     """
     spark = docs.sparkSession
     work = Work(spark, "substring")
-    names = ["n_words", "n_removed", "kept_text", "spans"]
-    docs = docs.drop(*names, "_key", "_spans")
-    spans = repeated_spans(work, docs, window, phrase)
-    filter_ = shared(spark, bloom_bits(spans, "key"))
+    docs = docs.drop(*names)
+    spans = repeated_spans(work, docs, window, phrase, most_passages)
+    filter_ = shared(spark, bloom_bits(spans, "key", bloom_size(spans.count())))
     base = docs.schema
-    keyed, keyed_arrow = arrow_schema("_key long")
+    doc_, key_, spans_ = unused(["_doc", "_key", "_spans"], docs.columns)
+    keyed, _ = arrow_schema(f"{key_} long")
     from pyspark.sql.pandas.types import to_arrow_schema
 
     with_key = type(base)([*base.fields, *keyed.fields])
-    full = type(base)([*base.fields, *arrow_schema("n_words int, n_removed int, kept_text string, spans array<struct<start:int,end:int>>")[0].fields])
+    full = type(base)([*base.fields, *arrow_schema(", ".join(f"`{n}` {t}" for n, t in zip(names, ("int", "int", "string", "array<struct<start:int,end:int>>"), strict=True)))[0].fields])
     full_arrow, key_arrow, at = to_arrow_schema(full), to_arrow_schema(with_key), docs.columns.index("text")
 
     def rows(hits: bool, joined: bool):
@@ -282,7 +343,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
         return run
 
     alone = docs.mapInArrow(rows(False, False), full)
-    named = spans.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
+    named = spans.select(F.col("doc_id").alias(doc_), F.col("key").alias(key_), F.col("spans").alias(spans_))
     some = docs.mapInArrow(rows(True, False), with_key)
-    some = some.join(named, (some._key == named._key) & (some.doc_id == named._doc), "left").select(*docs.columns, "_spans")
+    some = some.join(named, (some[key_] == named[key_]) & (some["doc_id"] == named[doc_]), "left").select(*[some[c] for c in docs.columns], named[spans_])
     return alone.unionByName(some.mapInArrow(rows(True, True), full))
