@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -26,10 +28,16 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to Python workers that can't import it; once for each application."""
-    if spark.sparkContext.applicationId in _SHIPPED or str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path.cwd() == ROOT:
+    """Sends the package to Python workers that can't import it; once for each application.
+
+    The archive has code only; executors fetch it from the driver, so it goes when the driver ends.
+    """
+    near = spark.sparkContext.master.startswith("local") and Path.cwd() == ROOT
+    if spark.sparkContext.applicationId in _SHIPPED or str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or near:
         return
-    archive = Path(tempfile.mkdtemp()) / "sparkloom.zip"
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "sparkloom.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for p in sorted((ROOT / "sparkloom").rglob("*.py")):
             z.write(p, p.relative_to(ROOT))
