@@ -57,12 +57,12 @@ class Work:
         fs, path = self._at(self.path(name) + "/_SUCCESS")
         return bool(fs.exists(path))
 
-    def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Writes df and reads it back; the shuffle files of its making go when it is written."""
+    def table(self, df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+        """Writes df, partitioned by a column if one is named, and reads it back; the shuffle files of its making go when it is written."""
         before = self.spark.conf.get(_CLEANUP, "false")
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.option("compression", codec).mode("overwrite").parquet(self.path(name))
+            df.write.option("compression", codec).mode("overwrite").parquet(self.path(name), partitionBy=by)
         finally:
             self.spark.conf.set(_CLEANUP, before)
         self._goes_at_exit()
