@@ -24,10 +24,10 @@ from sparkloom.llm.common import Work, Words, arrow_schema, blocks, bloom_bits,
 
 WINDOW, PHRASE = 50, 25
 _H1, _H2, _G = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
-#: An anchor with more than one part in so many of all stretches is dealt to several tasks.
-HOT_PARTS = 5_000
+#: An anchor of more stretches than one part in so many, or than HOT_ROWS, whichever is more, is dealt to several tasks.
+HOT_PARTS, HOT_ROWS = 1_000, 1_000
 #: Stretches of a shard, about; passages of one anchor in a shard, beyond which its windows are dealt one by one, in so many parts.
-SHARD_ROWS, MOST_PASSAGES, WINDOW_PARTS = 20_000, 1_000, 16
+SHARD_ROWS, MOST_PASSAGES, WINDOW_PARTS = 5_000, 1_000, 16
 
 
 def window_hashes(h: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +141,7 @@ def repeated_spans(work: Work, docs: DataFrame, window: int = WINDOW, phrase: in
     )
     per_anchor = work.table(stretches.groupBy("a").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo")).join(passages, "a"), "phrases")
     total = per_anchor.agg(F.sum("n")).first()[0] or 0
-    share, shards = max(1, total // HOT_PARTS), max(4 * partitions(spark), -(-total // SHARD_ROWS))
+    share, shards = max(HOT_ROWS, total // HOT_PARTS), max(4 * partitions(spark), -(-total // SHARD_ROWS))
     found = stretches.join(per_anchor.withColumn("salts", F.ceil(F.col("n") / share).cast("int")), "a")
 
     def dealt(df, kind):
