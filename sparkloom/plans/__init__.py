@@ -1,3 +1,3 @@
 """Queries of the library."""
 
-from sparkloom.plans import catalog, extended, texts  # noqa: F401
+from sparkloom.plans import catalog, extended, knowledge, texts  # noqa: F401

@@ -57,7 +57,7 @@ STORES: dict[str, str] = {
         FROM {part}""",
     # knowledge entries: every turn of the conversations; a third are recaps or copies of others
     "entries": """SELECT conv_id * 1000 + turn AS id, CASE WHEN turn % 3 = 2 THEN 'trap' ELSE 'pattern' END AS kind, 'p' || CAST(conv_id % 4 AS VARCHAR(9)) AS project,
-        CAST(conv_id * 60 + turn AS BIGINT) AS at, coalesce(text, '') AS body, 'tag' || CAST(turn % 5 AS VARCHAR(9)) || ',' || coalesce(role, '') AS tags,
+        CAST(conv_id * 60 + turn AS BIGINT) AS at, coalesce(CASE WHEN conv_id % 5 = 0 AND turn > 0 THEN first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) || ' and again ' || role || CASE WHEN turn % 2 = 0 THEN ' overlap_' || CAST(conv_id AS VARCHAR(9)) || ' changed_words later_on' ELSE '' END ELSE text END, '') AS body, 'tag' || CAST(turn % 5 AS VARCHAR(9)) || ',' || coalesce(role, '') AS tags,
         CASE WHEN (conv_id + turn) % 11 = 0 THEN 0 WHEN (conv_id + turn) % 13 = 0 THEN conv_id * 1000 END AS superseded_by,
         CAST((conv_id * 7 + turn) % 12 AS BIGINT) AS used, CAST((conv_id * 3 + turn) % 5 AS BIGINT) AS reverted FROM {conversations}""",
     # traps: the benchmark's items, with the identifiers that some of them name
