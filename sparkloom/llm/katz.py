@@ -32,7 +32,9 @@ from sparkloom.llm.common import Work, Words, arrow_schema, blocks, mix, partiti
 #: Pairs seen less often than CUTOFF count as unseen; counts up to MOST_DISCOUNTED are discounted.
 CUTOFF, MOST_DISCOUNTED = 1, 5
 #: Bytes of text for each bucket of the model, and of a block of texts that is scored at once.
-BUCKET_TEXT, BLOCK_TEXT = 8 << 20, 4 << 20
+BUCKET_TEXT, BLOCK_TEXT = 8 << 20, 8 << 20
+#: Buckets are asked in so many rounds, so that not all questions are on disk at once.
+ROUNDS = 2
 #: Tokens that a task holds before it sums and sends them.
 HELD_TOKENS = 3_000_000
 #: A word with one part in so many of the tokens of a bucket is dealt over all buckets.
@@ -356,11 +358,14 @@ def score(work: Work, stored: DataFrame, model: Katz) -> DataFrame:
     buckets, heavy, ratios = model.buckets, model.heavy, model.ratios
     ask_schema, ask_arrow = arrow_schema("kind int, bucket int, block long, keys binary")
 
-    def ask(batches):
-        for batch in batches:
-            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words, pairs, *_ = asked(_texts(blob.as_py()), heavy, buckets)
-                yield _rows([(kind, b, block, _pack_keys(k[i:j])) for kind, (k, bucket) in enumerate((words, pairs)) for b, i, j in _pieces(bucket)], ask_arrow)
+    def ask(turn: int):
+        def run(batches):
+            for batch in batches:
+                for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    words, pairs, *_ = asked(_texts(blob.as_py()), heavy, buckets)
+                    yield _rows([(kind, b, block, _pack_keys(k[i:j])) for kind, (k, bucket) in enumerate((words, pairs)) for b, i, j in _pieces(bucket) if b % ROUNDS == turn], ask_arrow)
+
+        return run
 
     answer_schema, answer_arrow = arrow_schema("block long, kind int, bucket int, a binary, b binary, c binary")
 
@@ -381,11 +386,15 @@ def score(work: Work, stored: DataFrame, model: Katz) -> DataFrame:
             out.append((block.as_py(), kind, bucket, *(_pack(np.where(hit, v[at], 0).astype(v.dtype)) if len(keys) else _pack(np.zeros(len(at), t)) for v, t in zip(values or [None] * 3, (np.int64, np.float64, np.float64) if kind == 0 else (np.uint32,), strict=False))))
         return _table([(*r, *(b"" for _ in range(6 - len(r)))) for r in out], answer_arrow)
 
-    questions = stored.select("block", "texts").mapInArrow(ask, ask_schema)
     columns = ["bucket", "a", "b", "c", "d"]
     entries = model.words.select(F.lit(0).alias("kind"), *columns).union(model.pairs.select(F.lit(1).alias("kind"), *columns))
-    answers = questions.groupBy("kind", "bucket").cogroup(entries.groupBy("kind", "bucket")).applyInArrow(answer, answer_schema)
-    answers = work.table(answers, "answers", codec="uncompressed")  # packed already; the questions' shuffle files go
+    answers = None
+    for turn in range(ROUNDS):
+        questions = stored.select("block", "texts").mapInArrow(ask(turn), ask_schema)
+        own = entries.where(F.col("bucket") % ROUNDS == turn)
+        part = questions.groupBy("kind", "bucket").cogroup(own.groupBy("kind", "bucket")).applyInArrow(answer, answer_schema)
+        part = work.table(part, f"answers{turn}", codec="uncompressed")  # packed already; the questions' shuffle files go
+        answers = part if answers is None else answers.union(part)
     work.drop("model", "words")
 
     out, out_arrow = arrow_schema("doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
