@@ -4,23 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from sparkloom.sources.work import Tables
 
 
 def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """node, distance: nodes within depth steps of the roots (node), each at its smallest distance.
 
-    One join a level; what was reached before drops out by an aggregation, so cycles end.
+    One join a level. Every level is written, so the next one reads its frontier instead of making it
+    again; what was reached before drops out by an anti-join, so cycles end.
     """
-    found = roots.select("node", F.lit(0).alias("distance")).distinct()
-    frontier = found
-    steps = edges.select("from_id", "to_id").distinct()
+    tables = Tables(edges.sparkSession, "reach")
+    frontier = tables.written(roots.select("node", F.lit(0).alias("distance")).distinct())
+    found = frontier
+    steps = tables.written(edges.select("from_id", "to_id").distinct()) if depth > 1 else edges.select("from_id", "to_id").distinct()
     for d in range(1, depth + 1):
-        new = frontier.join(steps, frontier.node == steps.from_id).select(F.col("to_id").alias("node"), F.lit(d).alias("distance"))
-        found = found.union(new).groupBy("node").agg(F.min("distance").alias("distance"))
-        frontier = found.where(F.col("distance") == d)
+        new = frontier.join(steps, frontier.node == steps.from_id).select(F.col("to_id").alias("node")).distinct()
+        frontier = tables.written(new.join(found.select("node"), "node", "left_anti").withColumn("distance", F.lit(d)))
+        found = found.union(frontier)
     return found
 
 
+def subgraph(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """The edges that leave nodes nearer than depth to the roots, with the distance of their start; those to nodes seen before too."""
+    near = reach(edges, roots, depth - 1) if depth > 1 else roots.select("node", F.lit(0).alias("distance"))
+    return edges.join(near, edges.from_id == near.node).drop("node")
+
+
 def impact(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, affected, depends, risk: users of a node, what it depends on, and a grade of affected + depends / 2."""
     users = edges.groupBy(F.col("to_id").alias("node")).agg(F.count_distinct("from_id").alias("affected"))
@@ -41,21 +52,54 @@ def community_overlap(before: DataFrame, after: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """node, path: of the shortest paths from a root (node) within depth steps, the first in order.
 
-    Each level keeps one path a node, so the rows of a level are at most the nodes.
+    Each level keeps one path a node and is written, so its rows are at most the nodes and its plan is one join.
     """
-    found = roots.select("node", F.array("node").alias("path")).groupBy("node").agg(F.min("path").alias("path"))
-    frontier = found
+    tables = Tables(edges.sparkSession, "paths")
+    frontier = tables.written(roots.select("node", F.array("node").alias("path")).groupBy("node").agg(F.min("path").alias("path")))
+    found = frontier
     steps = edges.select("from_id", "to_id").distinct()
     for _ in range(depth):
         new = frontier.join(steps, frontier.node == steps.from_id).select(F.col("to_id").alias("node"), F.concat("path", F.array("to_id")).alias("path"))
-        frontier = new.join(found.select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
+        frontier = tables.written(new.join(found.select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
         found = found.union(frontier)
     return found
 
 
 def second_hop(edges: DataFrame) -> DataFrame:
-    """node, transitive, deep: users of a node's users, and whether there are any."""
+    """node, transitive, deep: users of a node's users, and whether there are any.
+
+    The count is of different nodes, so the pairs themselves are shuffled: in-degree times out-degree of
+    each node between at most, after both sides are made distinct.
+    """
     a = edges.select("from_id", "to_id").distinct()
     b = a.select(F.col("from_id").alias("mid"), F.col("to_id").alias("node"))
     pairs = a.join(b, a.to_id == b.mid).select("node", "from_id").distinct()
     return pairs.groupBy("node").agg(F.count("*").alias("transitive")).withColumn("deep", F.col("transitive") > 0)
+
+
+def impact_of(edges: DataFrame, targets: DataFrame, most_inbound: int = 20, relation: str = "uses") -> DataFrame:
+    """target, node, relation: who is affected by a change of each target (node): all its users, and the inbound edges of most weight.
+
+    Each (node, relation) once; ties of weight go to the first node.
+    """
+    inbound = edges.join(targets.select(F.col("node").alias("to_id")), "to_id")
+    users = inbound.where(F.col("relation") == relation)
+    heavy = inbound.withColumn("_n", F.row_number().over(W.partitionBy("to_id").orderBy(F.desc("weight"), "from_id", "relation"))).where(F.col("_n") <= most_inbound).drop("_n")
+    return users.unionByName(heavy).select(F.col("to_id").alias("target"), F.col("from_id").alias("node"), "relation").distinct()
+
+
+def greedy_matching(pairs: DataFrame) -> DataFrame:
+    """a, b, jaccard: pairs taken in order of jaccard, then a and b, each side once.
+
+    A pair that is first for both its sides is taken in the same round as all such; their sides leave.
+    That gives what going through the sorted list gives. Rounds end when no pair is left.
+    """
+    tables, chosen = Tables(pairs.sparkSession, "matching"), None
+    left = tables.written(pairs.select("a", "b", "jaccard"))
+    while left.limit(1).count():
+        order = [F.desc("jaccard"), "a", "b"]
+        first = left.withColumns({"_a": F.row_number().over(W.partitionBy("a").orderBy(*order)), "_b": F.row_number().over(W.partitionBy("b").orderBy(*order))})
+        taken = tables.written(first.where("_a = 1 and _b = 1").select("a", "b", "jaccard"))
+        chosen = taken if chosen is None else chosen.union(taken)
+        left = tables.written(left.join(taken.select("a"), "a", "left_anti").join(taken.select("b"), "b", "left_anti"))
+    return left if chosen is None else chosen
