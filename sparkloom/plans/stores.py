@@ -57,7 +57,7 @@ STORES: dict[str, str] = {
         FROM {part}""",
     # knowledge entries: every turn of the conversations; a third are recaps or copies of others
     "entries": """SELECT conv_id * 1000 + turn AS id, CASE WHEN turn % 3 = 2 THEN 'trap' ELSE 'pattern' END AS kind, 'p' || CAST(conv_id % 4 AS VARCHAR(9)) AS project,
-        CAST(conv_id * 60 + turn AS BIGINT) AS at, coalesce(CASE WHEN conv_id % 5 = 0 AND turn > 0 THEN first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) || ' and again ' || role || CASE WHEN turn % 2 = 0 THEN ' overlap_' || CAST(conv_id AS VARCHAR(9)) || ' changed_words later_on' ELSE '' END ELSE text END, '') AS body, 'tag' || CAST(turn % 5 AS VARCHAR(9)) || ',' || coalesce(role, '') AS tags,
+        CAST(conv_id * 60 + turn AS BIGINT) AS at, coalesce(CASE WHEN conv_id % 5 = 0 AND turn > 0 THEN first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) || ' and again ' || role || CASE WHEN turn % 2 = 0 THEN ' overlap_' || CAST(conv_id AS VARCHAR(9)) || ' changed_words later_on SmallRing' || CAST(conv_id % 9 AS VARCHAR(9)) ELSE '' END ELSE text END, '') AS body, 'tag' || CAST(turn % 5 AS VARCHAR(9)) || ',' || coalesce(role, '') AS tags,
         CASE WHEN (conv_id + turn) % 11 = 0 THEN 0 WHEN (conv_id + turn) % 13 = 0 THEN conv_id * 1000 END AS superseded_by,
         CAST((conv_id * 7 + turn) % 12 AS BIGINT) AS used, CAST((conv_id * 3 + turn) % 5 AS BIGINT) AS reverted FROM {conversations}""",
     # traps: the benchmark's items, with the identifiers that some of them name
@@ -67,7 +67,7 @@ STORES: dict[str, str] = {
         FROM (SELECT event_id, user_id, event_type, {{day}} AS date_format_day, {{secs}} AS at, {{k}} AS k FROM {{events}}) e JOIN {_CALLS} ON t.i = e.event_id % 15""",
     "lines": f"""SELECT d.page_id AS id, 'f' || CAST(d.page_id % 40 AS VARCHAR(9)) AS file, d.page_id % 97 AS line, 'o' || CAST(d.page_id % 3 AS VARCHAR(9)) AS origin, t.line AS text FROM {{pages}} d JOIN {_LINES} ON t.i = d.page_id % 16""",
     # journal of changes to units, in order of id
-    "journal": """SELECT event_id AS id, at, CASE event_type WHEN 'signup' THEN 'added' WHEN 'error' THEN 'removed' ELSE 'changed' END AS change, k * 7 AS unit_id FROM (SELECT event_id, event_type, {secs} AS at, {k} AS k FROM {events}) e WHERE k IS NOT NULL""",
+    "journal": """SELECT event_id AS id, e.at AS at, CASE event_type WHEN 'signup' THEN 'added' WHEN 'error' THEN 'removed' ELSE 'changed' END AS change, k * 7 AS unit_id FROM (SELECT event_id, event_type, {secs} AS at, {k} AS k FROM {events}) e WHERE k IS NOT NULL""",
     "walls": """SELECT s_suppkey AS id, s_name || CASE s_suppkey % 4 WHEN 0 THEN ' needs serde to change' WHEN 1 THEN ' is bound by tokio-util' ELSE ' stays' END AS claim,
         CASE s_suppkey % 8 WHEN 0 THEN 'Physical' WHEN 1 THEN 'os policy' WHEN 2 THEN ' Config ' WHEN 3 THEN 'version' WHEN 4 THEN 'research_code' WHEN 5 THEN 'cost' WHEN 6 THEN 'expert' ELSE 'nothing known' END AS provenance,
         CASE s_suppkey % 5 WHEN 0 THEN 'held' WHEN 1 THEN 'Broken' WHEN 2 THEN 'open' WHEN 3 THEN 'retire' ELSE 'odd' END AS status,
