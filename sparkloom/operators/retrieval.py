@@ -1,86 +1,70 @@
-"""Lexical and vector retrieval over postings; nothing is compared pair by pair."""
+"""Scores of texts for a query's words that need no index, and what is shown of the results."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sparkloom.functions.text import tokens
-
-K1, B = 1.2, 0.75
+from sparkloom.functions.prose import RECALL_STOP, identifiers
+from sparkloom.operators.index import words
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", least_bytes: int = 3) -> DataFrame:
-    """key, term, tf. One shuffle, after partial counts."""
-    return docs.select(key, F.explode(tokens(F.col(text), least_bytes)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def recall_terms(topic: str) -> list[str]:
+    """The words of a topic that tell: three bytes or more and not common."""
+    return [t for t in re.split(r"[^\w]+", topic.lower()) if len(t.encode()) >= 3 and t not in RECALL_STOP]
 
 
-def _hit(word: Column, token: str) -> Column:
-    """A whole word, or a prefix if the token has six bytes or more."""
-    return word.startswith(token) if len(token.encode()) >= 6 else word == token
-
+def recall_score(text: Column, phrase: str, terms: list[str]) -> Column:
+    """The phrase: terms x 10; one term: its hit; several: the number of them found, if two or more."""
+    hits = sum(F.contains(F.lower(text), F.lit(t)).cast("int") for t in terms)
+    return F.when(F.contains(F.lower(text), F.lit(phrase)), F.lit(10 * max(1, len(terms)))).when(F.lit(len(terms) == 1) | (hits >= 2), hits).otherwise(0)
 
-def _count(words: str, token: str) -> Column:
-    return F.size(F.filter(words, lambda w: _hit(w, token)))
 
+def hint_score(text: Column, hint: list[str]) -> Column:
+    """How many different words of a hint a text has, as whole words or, from six bytes on, as starts of words."""
+    own = F.array_distinct(words(text))
 
-def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, score of the documents that hold a query token.
+    def hit(t: str) -> Column:
+        return (F.exists(own, lambda x: x.startswith(t)) if len(t.encode()) >= 6 else F.array_contains(own, t)).cast("int")
 
-    Counts are one pass over the text without an explode: a higher-order filter per token. The
-    corpus figures are one aggregate row, joined by broadcast: its size is fixed.
-    """
-    words = docs.select(key, tokens(F.col(text), 1).alias("words"))
-    counted = words.select(key, F.size("words").alias("len"), *[_count("words", t).alias(f"f{i}") for i, t in enumerate(query)])
-    stats = counted.agg(F.count("*").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"df{i}") for i in range(len(query))])
-    both = counted.where(F.greatest(F.lit(0), *[F.col(f"f{i}") for i in range(len(query))]) > 0).crossJoin(F.broadcast(stats))
-    score = sum(
-        F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-        for i in range(len(query))
-    )
-    return both.select(key, score.alias("score"))
+    return sum((hit(t) for t in hint), F.lit(0))
 
 
-def term_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, term, w: term frequencies scaled to length 1."""
-    p = postings(docs, key, text)
-    norm = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(W.partitionBy(key)))
-    return p.select(key, "term", (F.col("tf") / norm).alias("w"))
+def expand_threshold(hint: list[str]) -> int:
+    """The score from which an entry is shown whole: two words of a hint of three or more."""
+    return 2 if len(hint) >= 3 else 1
 
 
-def cosine_to(docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, cosine of each document's term vector with the query's; documents without a shared term are left out.
+def best_trap(errors: DataFrame, traps: DataFrame, most_df: int = 3, least_score: int = 2, least_rare: int = 3, lone: int = 9) -> DataFrame:
+    """id, trap, ids, rare, score: for each error (id, text) the trap (id, description) with the best distinctive evidence.
 
-    Only the query's terms leave the scan; the norm is worked out inside each row.
+    A word is distinctive if at most most_df traps have it. A trap qualifies by a distinctive identifier with
+    another distinctive word or of lone characters and more, or by least_rare distinctive words and least_score
+    common ones. The most identifiers, then distinctive words, then common words win; ties go to the last trap. Common words meet in an equi-join whose right side is
+    the traps' words; words of six bytes and more also meet words that they begin.
     """
-    counts: dict[str, int] = {}
-    for t in query:
-        counts[t] = counts.get(t, 0) + 1
-    size = sum(v * v for v in counts.values()) ** 0.5
-    words = docs.select(key, tokens(F.col(text)).alias("words"))
-    sorted_ = words.select(key, "words", F.array_distinct("words").alias("kinds"))
-    exploded = sorted_.select(key, F.explode("words").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    weight = F.coalesce(*[F.when(F.col("term") == t, F.lit(v / size)) for t, v in counts.items()], F.lit(0.0))
-    agg = exploded.groupBy(key).agg(F.sum(F.col("tf") * weight).alias("dot"), F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    return agg.where("dot > 0").select(key, (F.col("dot") / F.col("norm")).alias("cosine"))
-
-
-def hybrid(docs: DataFrame, query: list[str], limit: int = 10, key: str = "doc_id") -> DataFrame:
-    """key, cosine, lexical_rank, score = cosine + max(0, 1 - cosine) * 0.55 / (1 + rank): the best limit documents.
-
-    Ranks are those of the best 4 * limit by BM25; a document without a rank has its cosine.
-    """
-    pool = bm25(docs, query, key).orderBy(F.round("score", 9).desc(), key).limit(4 * limit)
-    ranked = pool.select(key, (F.row_number().over(W.orderBy(F.round("score", 9).desc(), key)) - 1).alias("lexical_rank"))
-    joined = cosine_to(docs, query, key).join(ranked, key, "full")
-    cos = F.coalesce("cosine", F.lit(0.0))
-    score = cos + F.coalesce(F.greatest(F.lit(0.0), 1 - cos) * 0.55 / (1 + F.col("lexical_rank")), F.lit(0.0))
-    out = joined.select(key, F.round(cos, 6).alias("cosine"), "lexical_rank", F.round(score, 6).alias("score"))
-    return out.orderBy(F.desc("score"), key).limit(limit)
-
-
-def recall_score(text: Column, phrase: str, terms: list[str]) -> Column:
-    """The phrase: terms x 10; one term: its hit; several: the number of them found, if two or more."""
-    hits = sum(F.contains(F.lower(text), F.lit(t)).cast("int") for t in terms)
-    return F.when(F.contains(F.lower(text), F.lit(phrase)), F.lit(10 * max(1, len(terms)))).when(F.lit(len(terms) == 1) | (hits >= 2), hits).otherwise(0)
+    w = traps.select(F.col("id").alias("trap"), F.explode(F.array_distinct(words(F.col("description")))).alias("word"))
+    asked = errors.select("id", F.explode(F.array_distinct(words(F.col("text")))).alias("token")).where(F.octet_length("token") >= 4)
+    tokens = asked.select("token").distinct()
+    whole = tokens.join(w, F.col("token") == F.col("word"))
+    start = tokens.where(F.octet_length("token") >= 6).withColumn("_s", F.substring("token", 1, 6)).join(w.withColumn("_s", F.substring("word", 1, 6)), "_s").where(F.col("word").startswith(F.col("token")))
+    hit = whole.select("token", "trap").union(start.select("token", "trap")).distinct()
+    rare = hit.groupBy("token").agg((F.count("*") <= most_df).alias("distinctive"))
+    names = errors.select("id", F.explode(identifiers(F.col("text"))).alias("token")).withColumn("named", F.lit(True))
+    both = asked.join(hit, "token").join(rare, "token").join(names, ["id", "token"], "left")
+    found = F.col("distinctive")
+    named = found & F.coalesce("named", F.lit(False))
+    g = both.groupBy("id", "trap").agg(F.count_if(named).alias("ids"), F.count_if(found).alias("rare"), F.count("*").alias("score"), F.bool_or(named & (F.length("token") >= lone)).alias("long"))
+    enough = (F.col("long") | ((F.col("ids") >= 1) & (F.col("rare") >= 2))) | ((F.col("rare") >= least_rare) & (F.col("score") >= least_score))
+    best = g.where(enough).groupBy("id").agg(F.max(F.struct("ids", "rare", "score", "trap")).alias("m"))
+    return best.select("id", "m.trap", "m.ids", "m.rare", "m.score")
+
+
+def budgeted(rows: DataFrame, section: str, order: list[Column], cost: Column, budget: int) -> DataFrame:
+    """Adds place, used, listed: rows of a section in order, listed while their running cost is within the budget."""
+    w = W.partitionBy(section).orderBy(*order)
+    used = F.sum(cost).over(w.rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumns({"place": F.row_number().over(w).cast("long"), "used": used, "listed": used <= budget})

@@ -10,8 +10,11 @@ from pyspark.sql import Window as W
 
 from sparkloom.functions import text as X
 from sparkloom.operators import graph as G
+from sparkloom.functions.prose import VECTOR_STOP, token_estimate
+from sparkloom.operators import index as I
 from sparkloom.operators import relational as R
 from sparkloom.operators import retrieval as S
+from sparkloom.plans.stores import store, stores_sql
 from sparkloom.sources.tables import events, graph, outcomes, read
 from sparkloom.streaming import sessions as ST
 
@@ -26,6 +29,7 @@ _G = """WITH RECURSIVE g AS (SELECT 'o:' || o_orderkey AS from_id, 'c:' || o_cus
     UNION ALL SELECT 'c:' || c_custkey, 'n:' || c_nationkey, 'owns' FROM customer
     UNION ALL SELECT 's:' || s_suppkey, 'n:' || s_nationkey, 'owns' FROM supplier
     UNION ALL SELECT 'n:' || n_nationkey, 'r:' || n_regionkey, 'derived_from' FROM nation)"""
+_STOPS = "(" + ", ".join(f"'{w}'" for w in VECTOR_STOP) + ")"
 _TOK = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: strlen(t) >= %d)"
 
 
@@ -104,11 +108,12 @@ def a10_top_gaps(spark, sf_dir):
 
 @query("""SELECT lang, l[n // 2 + 1] AS median, l[CAST(round((n - 1) * 0.9) AS INT) + 1] AS p90 FROM (SELECT lang, list_sort(list(n_chars)) AS l, count(*) AS n FROM documents GROUP BY 1)""")
 def a13_a14_percentiles(spark, sf_dir):
-    """Upper median and nearest-rank 90th percentile, by ranks and not by collecting a group."""
-    w = W.partitionBy("lang")
-    d = read(spark, sf_dir, "documents").select("lang", "n_chars", F.row_number().over(w.orderBy("n_chars")).alias("i"), F.count("*").over(w).alias("n"))
-    at = lambda i: F.max(F.when(F.col("i") == i, F.col("n_chars")))
-    return d.groupBy("lang").agg(at(F.floor(F.col("n") / 2) + 1).alias("median"), at(F.round((F.col("n") - 1) * 0.9).cast("int") + 1).alias("p90"))
+    """Upper median and nearest-rank 90th percentile: values are counted first, so a group's window has its different values only."""
+    per = read(spark, sf_dir, "documents").groupBy("lang", "n_chars").agg(F.count("*").alias("c"))
+    w = W.partitionBy("lang").orderBy("n_chars")
+    d = per.select("lang", "n_chars", F.sum("c").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("upto"), F.sum("c").over(W.partitionBy("lang")).alias("n"))
+    at = lambda i: F.min(F.when(F.col("upto") >= i, F.col("n_chars")))
+    return d.groupBy("lang").agg(at(F.floor(F.col("n") / 2) + 1).alias("median"), at(F.round((F.col("n") - 1) * 0.9) + 1).alias("p90"))
 
 
 @query("""SELECT l_returnflag AS model, CAST(sum(l_quantity) AS DOUBLE) AS tokens, round(CAST(sum(l_quantity) AS DOUBLE) * CASE l_returnflag WHEN 'A' THEN 0.5 WHEN 'R' THEN 2.0 END, 6) AS cost FROM lineitem GROUP BY 1""")
@@ -121,9 +126,9 @@ def a15_cost_ledger(spark, sf_dir):
 
 @query("SELECT term, count(*) AS df, round(ln((SELECT count(*) FROM documents) * 1.0 / count(*)), 6) AS idf FROM (SELECT DISTINCT doc_id, unnest(" + _TOK % 3 + ") AS term FROM documents) GROUP BY 1")
 def a16_document_frequency(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    df = d.select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(d.agg(F.count("*").alias("n")))).select("term", "df", F.round(F.log(F.col("n") / F.col("df")), 6).alias("idf"))
+    index = _documents(spark, sf_dir)
+    df = index.postings.where(F.octet_length("term") >= 3).groupBy("term").agg(F.count("*").alias("df"))
+    return df.crossJoin(F.broadcast(index.corpus.select("n"))).select("term", "df", F.round(F.log(F.col("n") / F.col("df")), 6).alias("idf"))
 
 
 @query("SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1, 2")
@@ -224,9 +229,25 @@ def j20_boundary_links(spark, sf_dir):
 # retrieval
 
 
-@query("SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(" + _TOK % 3 + ") AS term FROM documents) GROUP BY 1, 2")
+@query("SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(" + _TOK % 3 + ") AS term FROM documents) WHERE term NOT IN " + _STOPS + " GROUP BY 1, 2")
 def r01_postings(spark, sf_dir):
-    return S.postings(read(spark, sf_dir, "documents"))
+    """Postings of the words that term vectors have: three bytes or more and not common."""
+    return _vector_terms(_documents(spark, sf_dir)).select(F.col("key").alias("doc_id"), "term", F.col("tf").cast("long").alias("tf"))
+
+
+def _documents(spark, sf_dir):
+    """The stored index of the documents."""
+    return I.build(read(spark, sf_dir, "documents"), "doc_id", ["text"], "documents")
+
+
+def _vector_terms(index):
+    return index.postings.where((F.octet_length("term") >= 3) & ~F.col("term").isin(*VECTOR_STOP))
+
+
+@query("WITH p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(" + _TOK % 3 + ") AS term FROM documents) WHERE term NOT IN " + _STOPS + " GROUP BY 1, 2) SELECT doc_id, term, round(tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)), 6) AS w FROM p")
+def r06_term_vectors(spark, sf_dir):
+    """Term frequencies scaled to length 1; the norm lies beside each posting."""
+    return _vector_terms(_documents(spark, sf_dir)).select(F.col("key").alias("doc_id"), "term", F.round(F.col("tf") / F.col("norm"), 6).alias("w"))
 
 
 def _hits(t: str) -> str:
@@ -239,26 +260,55 @@ _BM = (
     "bm AS (SELECT doc_id, " + " + ".join(f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * len / av))" for i in range(len(QUERY))) + " AS score FROM c, s WHERE greatest(0, " + ", ".join(f"f{i}" for i in range(len(QUERY))) + ") > 0)"
 )
 _COS = (
-    "p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(" + _TOK % 3 + ") AS term FROM documents) GROUP BY 1, 2), "
+    "p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(" + _TOK % 3 + ") AS term FROM documents) WHERE term NOT IN " + _STOPS + " GROUP BY 1, 2), "
     "cs AS (SELECT doc_id, sum(tf * CASE WHEN term IN (" + ", ".join(f"'{t}'" for t in QUERY) + f") THEN {1 / len(QUERY) ** 0.5!r}::DOUBLE ELSE 0 END) / sqrt(sum(tf * tf)) AS cosine FROM p GROUP BY 1)"
 )
 
 
 @query("WITH " + _BM + " SELECT doc_id, round(score, 6) AS score FROM bm")
 def r05_bm25(spark, sf_dir):
-    return S.bm25(read(spark, sf_dir, "documents"), QUERY).select("doc_id", F.round("score", 6).alias("score"))
+    return I.bm25(_documents(spark, sf_dir), QUERY).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query("WITH " + _COS + " SELECT doc_id, round(cosine, 6) AS cosine FROM cs WHERE cosine > 0 ORDER BY round(cosine, 6) DESC, doc_id LIMIT 20")
 def r11_semantic_search(spark, sf_dir):
-    return S.cosine_to(read(spark, sf_dir, "documents"), QUERY).select("doc_id", F.round("cosine", 6).alias("cosine")).orderBy(F.desc("cosine"), "doc_id").limit(20)
+    found = I.cosine_to(_documents(spark, sf_dir), QUERY).select(F.col("key").alias("doc_id"), F.round("cosine", 6).alias("cosine"))
+    return found.orderBy(F.desc("cosine"), "doc_id").limit(20)
+
+
+# stems of the words that units have; those that aren't here are their own
+_STEMS = "map {'docs': 'doc', 'economy': 'economi', 'fields': 'field', 'large': 'larg', 'methods': 'method'}"
+_FTS = (
+    "tx AS (SELECT id, f, unnest(list_transform(list_filter(regexp_split_to_array(lower(t), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), lambda x: coalesce(" + _STEMS + "[x], x))) AS term FROM "
+    "(SELECT id, 10.0 AS f, name AS t FROM units UNION ALL SELECT id, 4.0, summary FROM units UNION ALL SELECT id, 1.0, body FROM units)), "
+    "ln AS (SELECT id, count(*) AS len FROM tx GROUP BY 1), cp AS (SELECT (SELECT count(*) FROM units) AS n, sum(len) / (SELECT count(*) FROM units) AS av FROM ln), "
+    "hf AS (SELECT id, term, sum(f) AS f FROM tx WHERE term IN (%s) GROUP BY 1, 2), hd AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM hf), "
+    "ft AS (SELECT hd.id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / av))) AS score, count(*) AS found FROM hd JOIN ln USING (id), cp GROUP BY 1)"
+)
+
+
+def _unit_texts(spark, sf_dir):
+    return I.build(store(spark, sf_dir, "units"), "id", ["name", "summary", "body"], "units-stems", stemmed=True)
+
+
+@query(stores_sql("units") + ", " + _FTS % "'larg', 'ring', 'economi'" + " SELECT id, round(score, 6) AS score, found = 3 AS every_word, row_number() OVER (ORDER BY round(score, 9) DESC, id) - 1 AS place FROM ft QUALIFY place < 50")
+def r04_j05_w01_full_text(spark, sf_dir):
+    """Units by stemmed full text, names ten and summaries four times a body's weight; which hold every word; ranks from 0."""
+    texts, query_ = _unit_texts(spark, sf_dir), ["Large", "rings", "economy"]
+    every = I.full_text(texts, query_, [10, 4, 1], every=True).select("key", F.lit(True).alias("every"))
+    best = I.full_text(texts, query_, [10, 4, 1]).orderBy(F.round("score", 9).desc(), "key").limit(50)
+    place = F.row_number().over(W.orderBy(F.round("score", 9).desc(), "key")) - 1
+    return best.withColumn("place", place.cast("long")).join(every, "key", "left").select(F.col("key").alias("id"), F.round("score", 6).alias("score"), F.coalesce("every", F.lit(False)).alias("every_word"), "place")
 
 
-@query("WITH " + _BM + ", " + _COS + """, rk AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) - 1 AS lexical_rank FROM bm QUALIFY lexical_rank < 40),
-    j AS (SELECT coalesce(cs.doc_id, rk.doc_id) AS doc_id, coalesce(cosine, 0) AS c, lexical_rank FROM (SELECT * FROM cs WHERE cosine > 0) cs FULL JOIN rk ON rk.doc_id = cs.doc_id)
-    SELECT doc_id, round(c, 6) AS cosine, lexical_rank::INT AS lexical_rank, round(c + coalesce(greatest(0, 1 - c) * 0.55 / (1 + lexical_rank), 0), 6) AS score FROM j ORDER BY score DESC, doc_id LIMIT 10""")
+@query(stores_sql("units") + ", " + _FTS % "'larg', 'ring', 'economi'" + r""", vw AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(list_filter(regexp_split_to_array(lower(name || ' ' || summary || ' ' || body), '[^\p{L}\p{N}_]+'), lambda x: strlen(x) >= 3)) AS term FROM units) WHERE term NOT IN """ + _STOPS + """ GROUP BY 1, 2),
+    cs AS (SELECT id, sum(CASE WHEN term IN ('large', 'rings', 'economy') THEN tf ELSE 0 END) / sqrt(3) / sqrt(sum(tf * tf)) AS c FROM vw GROUP BY 1), rk AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) - 1 AS lexical_rank FROM ft QUALIFY lexical_rank < 40),
+    j AS (SELECT coalesce(cs.id, rk.id) AS id, coalesce(c, 0) AS c, lexical_rank FROM (SELECT * FROM cs WHERE c > 0) cs FULL JOIN rk ON rk.id = cs.id)
+    SELECT id, round(c, 6) AS cosine, lexical_rank::INT AS lexical_rank, round(c + coalesce(greatest(0, 1 - c) * 0.55 / (1 + lexical_rank), 0), 6) AS score FROM j ORDER BY score DESC, id LIMIT 10""")
 def r12_hybrid_search(spark, sf_dir):
-    return S.hybrid(read(spark, sf_dir, "documents"), QUERY)
+    """Units by the cosine of their term vectors, lifted by their rank in weighted full text."""
+    vectors = I.build(store(spark, sf_dir, "units"), "id", ["name", "summary", "body"], "units-words")
+    return I.hybrid(vectors, _unit_texts(spark, sf_dir), ["large", "rings", "economy"], [10, 4, 1], 10).withColumnRenamed("key", "id")
 
 
 @query("""SELECT doc_id, score FROM (SELECT doc_id, CASE WHEN contains(lower(text), 'the and') THEN 20 WHEN h >= 2 THEN h ELSE 0 END AS score FROM (SELECT *, contains(lower(text), 'the')::INT + contains(lower(text), 'and')::INT AS h FROM documents)) WHERE score > 0""")
@@ -345,9 +395,9 @@ def c11_survival(spark, sf_dir):
 # scalar functions
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 60 THEN substring(text, 1, 59) || '…' ELSE text END AS short, (length(text) + 3) // 4 AS tokens FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) > 60 THEN substring(text, 1, 59) || '…' ELSE text END AS short, greatest(1, strlen(text) // 4)::BIGINT AS tokens FROM documents")
 def f02_f44_clip(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", X.ellipsize(F.col("text"), 60).alias("short"), F.floor((F.length("text") + 3) / 4).alias("tokens"))
+    return read(spark, sf_dir, "documents").select("doc_id", X.ellipsize(F.col("text"), 60).alias("short"), token_estimate(F.col("text")).alias("tokens"))
 
 
 @query("""SELECT doc_id, regexp_replace(regexp_replace(text || CASE WHEN doc_id % 10 = 0 THEN ' ghp_' || substring(md5(CAST(doc_id AS VARCHAR)), 1, 20) ELSE '' END, '\\b(ghp|gho|ghs|sk|pk|xoxb)[_-][A-Za-z0-9]{16,}', '\\1_[REDACTED]', 'g'),

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sparkloom.functions import text as X
+from sparkloom.functions.prose import token_estimate
 from sparkloom.operators import graph as G
-from sparkloom.operators import retrieval as S
-from sparkloom.plans.catalog import _E, _G, _TOK, QUERY, query
+from sparkloom.plans.catalog import _E, _G, _TOK, QUERY, _documents, query
 from sparkloom.sources.tables import events, graph, outcomes, read
 from sparkloom.streaming import jobs as J
 from sparkloom.streaming import sessions as ST
@@ -74,10 +74,10 @@ def w06_first_call(spark, sf_dir):
     return events(spark, sf_dir).groupBy("user_id").agg(F.min("event_id").alias("event_id"), F.min_by("event_type", "event_id").alias("event_type"))
 
 
-@query("SELECT sha256(text) AS message, arg_min(conv_id, (conv_id, turn)) AS conv_id, arg_min(turn, (conv_id, turn)) AS turn, count(*) AS copies FROM conversations WHERE text IS NOT NULL GROUP BY 1")
+@query("SELECT sha256(coalesce(text, '')) AS message, arg_min(conv_id, (conv_id, turn)) AS conv_id, arg_min(turn, (conv_id, turn)) AS turn, count(*) AS copies FROM conversations GROUP BY 1")
 def w07_first_seen(spark, sf_dir):
     """Each message once, where it came first; the digest is the key that moves, not the text."""
-    c = read(spark, sf_dir, "conversations").where("text is not null").select(F.sha2("text", 256).alias("message"), "conv_id", "turn")
+    c = read(spark, sf_dir, "conversations").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("message"), "conv_id", "turn")
     return c.groupBy("message").agg(F.min(F.struct("conv_id", "turn")).alias("at"), F.count("*").alias("copies")).select("message", "at.conv_id", "at.turn", "copies")
 
 
@@ -97,11 +97,11 @@ def w11_budget_admission(spark, sf_dir):
     return items.select("sess", fold.alias("admitted"))
 
 
-@query("""WITH t AS (SELECT conv_id, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING) AS used FROM conversations WHERE text IS NOT NULL)
+@query("""WITH t AS (SELECT conv_id, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING) AS used FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations))
     SELECT conv_id, count(*) FILTER (used <= 500) AS listed, count(*) FILTER (used > 500) AS left_over, coalesce(max(used) FILTER (used <= 500), 0)::BIGINT AS chars FROM t GROUP BY 1""")
 def w12_char_budget(spark, sf_dir):
     """How many turns fit a budget of 500 characters, and how many are left over."""
-    c = read(spark, sf_dir, "conversations").where("text is not null")
+    c = read(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     used = F.sum(F.length("text")).over(W.partitionBy("conv_id").orderBy("turn", "text").rowsBetween(W.unboundedPreceding, 0))
     fits = F.col("used") <= 500
     agg = c.select("conv_id", used.alias("used")).groupBy("conv_id")
@@ -229,11 +229,11 @@ def o04_o06_tiers(spark, sf_dir):
     return s.select("s_suppkey", "tier", place.cast("long").alias("place")).where("place <= 25")
 
 
-@query("""SELECT doc_id, regexp_matches(source, '(^|[_.-])(gen|generated|min)([_.-]|$)') OR len(list_filter(string_split(text, chr(10)), lambda l: strlen(l) > 5000)) > 0 AS generated FROM documents WHERE text IS NOT NULL AND source IS NOT NULL""")
+@query("""SELECT doc_id, regexp_matches(source, '(^|[_.-])(gen|generated|min)([_.-]|$)') OR len(list_filter(string_split(text, chr(10)), lambda l: strlen(l) > 5000)) > 0 AS generated FROM (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents)""")
 def s03_generated(spark, sf_dir):
     """Generated files by name, or by a line of more than 5,000 bytes."""
     long_line = F.exists(F.split("text", "\n"), lambda x: F.octet_length(x) > 5000)
-    d = read(spark, sf_dir, "documents").where("text is not null and source is not null")
+    d = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
     return d.select("doc_id", (F.col("source").rlike("(^|[_.-])(gen|generated|min)([_.-]|$)") | long_line).alias("generated"))
 
 
@@ -247,11 +247,11 @@ def f23_f24_boundary_keys(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", key.alias("key"), F.regexp_extract(u, r"[?&]page=([0-9]+)", 1).alias("page"))
 
 
-@query("SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda t: regexp_matches(t, '^[A-Z]')))) AS type_tokens FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda t: regexp_matches(t, '^[A-Z]')))) AS type_tokens FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def f14_type_tokens(spark, sf_dir):
     words = F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), 0)
     found = F.array_distinct(F.filter(words, lambda t: t.rlike("^[A-Z]")))
-    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(found).cast("long").alias("type_tokens"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.size(found).cast("long").alias("type_tokens"))
 
 
 @query("SELECT event_id, CAST(props->>'k' AS BIGINT) AS k, len(json_keys(props)) AS fields FROM events")
@@ -270,10 +270,9 @@ def f49_l24_ngrams(spark, sf_dir):
     return per_item.groupBy("gram").agg(F.sum("c").alias("n"), F.count("*").alias("items"))
 
 
-@query("SELECT doc_id, sha256(concat_ws('|', lang, text)) AS content_hash, (length(text) // 4)::BIGINT AS token_estimate FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, sha256(concat_ws('|', lang, text)) AS content_hash, greatest(1, strlen(coalesce(text, '')) // 4)::BIGINT AS token_estimate FROM documents")
 def f41_f44_hash_and_estimate(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("text is not null")
-    return d.select("doc_id", F.sha2(F.concat_ws("|", "lang", "text"), 256).alias("content_hash"), F.floor(F.length("text") / 4).alias("token_estimate"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat_ws("|", "lang", "text"), 256).alias("content_hash"), token_estimate(F.col("text")).alias("token_estimate"))
 
 
 # delivery, states and the learning loop
@@ -377,10 +376,10 @@ def g13_priority_weights(spark, sf_dir):
     z AS (SELECT sqrt(sum(idf * idf)) AS qn FROM f WHERE term IN ('that', 'therein', 'reation'))
     SELECT doc_id, round(sum(w * q) / (sqrt(sum(w * w)) * any_value(qn)), 6) AS cosine FROM w, z GROUP BY 1 HAVING sum(w * q) > 0""")
 def r10_tfidf_cosine(spark, sf_dir):
-    """Documents by the cosine of their weighted terms with a query's; weights are tf (ln(n / df) + 1)."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "text")
-    p = S.postings(d).select("doc_id", "term", "tf")
-    idf = p.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(d.agg(F.count("*").alias("n")))).select("term", (F.log(F.col("n") / F.col("df")) + 1).alias("idf"))
+    """Documents by the cosine of their weighted terms with a query's; weights are tf (ln(n / df) + 1), from the stored postings."""
+    index = _documents(spark, sf_dir)
+    p = index.postings.where(F.octet_length("term") >= 3).select(F.col("key").alias("doc_id"), "term", "tf")
+    idf = p.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(index.corpus)).select("term", (F.log(F.col("n") / F.col("df")) + 1).alias("idf"))
     wanted = F.col("term").isin(*QUERY)
     size = idf.where(wanted).agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("qn"))
     w = p.join(idf, "term").select("doc_id", (F.col("tf") * F.col("idf")).alias("w"), F.when(wanted, F.col("idf")).otherwise(0.0).alias("q"))
@@ -416,12 +415,12 @@ def f27_segments(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", parts[0].alias("host"), (F.size(parts) - 1).cast("long").alias("segments"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'error|failed|panic') THEN false WHEN regexp_matches(lower(text), 'passed|done|ok') THEN true END AS passed FROM conversations WHERE text IS NOT NULL""")
+@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'error|failed|panic') THEN false WHEN regexp_matches(lower(text), 'passed|done|ok') THEN true END AS passed FROM conversations""")
 def f11_classify(spark, sf_dir):
     """Signs of failure win over signs of success; a text with neither has no verdict."""
     t = F.lower("text")
     verdict = F.when(t.rlike("error|failed|panic"), False).when(t.rlike("passed|done|ok"), True)
-    return read(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", verdict.alias("passed"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", verdict.alias("passed"))
 
 
 # streaming jobs

@@ -25,13 +25,18 @@ def deliver_once(pushes: DataFrame, keys: list[str], at: str, session: str, most
 
 
 def confirm_offers(offers: DataFrame, seen: DataFrame, keys: list[str], within: int = 86400) -> DataFrame:
-    """Offers (keys, offer_id, offered) with the first sight (keys, seen_at) within so many seconds, or null."""
-    o, s = offers.alias("o"), seen.alias("s")
-    on = [F.col(f"o.{k}") == F.col(f"s.{k}") for k in keys] + [F.col("s.seen_at") >= F.col("o.offered"), F.col("s.seen_at") <= F.col("o.offered") + within]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return o.join(s, cond, "left").groupBy("o.offer_id").agg(F.min("s.seen_at").alias("seen_at"))
+    """Offers (keys, offer_id, offered) with the first sight (keys, seen_at) within so many seconds, or null.
+
+    Both sides run through one window over their keys, so a hot key makes no pairs. A null key confirms nothing.
+    """
+    both = offers.select(*keys, "offer_id", F.col("offered").alias("_at"), F.lit(None).cast("long").alias("_seen")).union(
+        seen.select(*keys, F.lit(None), F.col("seen_at"), F.col("seen_at"))
+    )
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    first = F.min("_seen").over(W.partitionBy(*keys).orderBy("_at").rangeBetween(0, within))
+    return both.withColumn("seen_at", F.when(known, first)).where("offer_id is not null").select("offer_id", "seen_at")
 
 
 def heartbeats(events: DataFrame, bar: float = 100.0) -> DataFrame:
