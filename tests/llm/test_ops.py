@@ -591,6 +591,17 @@ def test_language_held_out(spark):
     assert all(found[i].lang_rejected for i in (1, 2, 3, 4)) and found[2].lang_pred == found[3].lang_pred == found[4].lang_pred == "und"
 
 
+def _interpolated(tables, alphabet):
+    def p(gram, o):
+        if o == 0:
+            return 1 / alphabet
+        level, d, totals, kinds = tables[o]
+        h, lower = gram[:-1], p(gram[1:], o - 1)
+        return max(level[gram] - d, 0) / totals[h] + d * kinds[h] / totals[h] * lower if totals[h] else lower
+
+    return p
+
+
 def brute_language(rows, order=4):
     """Interpolated Kneser-Ney of dictionaries over characters as the operator sees them; rows: (lang, text) that a model is fitted on."""
 
@@ -613,14 +624,7 @@ def brute_language(rows, order=4):
                 kinds[g[:-1]] += 1
             tables[o] = level, (ones / (ones + 2 * twos) if ones and twos else 0.5), totals, kinds
 
-        def p(gram, o, tables=tables, alphabet=len(levels[1]) + 1):
-            if o == 0:
-                return 1 / alphabet
-            level, d, totals, kinds = tables[o]
-            h, lower = gram[:-1], p(gram[1:], o - 1)
-            return max(level[gram] - d, 0) / totals[h] + d * kinds[h] / totals[h] * lower if totals[h] else lower
-
-        models[lang] = p
+        models[lang] = _interpolated(tables, len(levels[1]) + 1)
 
     def entropy(text):
         s = seen(text)
@@ -866,8 +870,8 @@ def test_toxicity_long_documents(spark):
     assert (model.weights[toxicity.features(b"vile")] > 0).any()
     got = toxicity.severity(docs, model, 0.5).collect()
     assert all(r.toxic == bool(r.doc_id % 2) for r in got)
-    few = toxicity.fit(docs, grades, 2, sample_features=100_000)
-    assert (few.weights == toxicity.fit(docs, grades, 2, sample_features=100_000).weights).all() and few.weights.any()
+    few = toxicity.fit(docs, grades, 2, sample_features=1_000_000)
+    assert (few.weights == toxicity.fit(docs, grades, 2, sample_features=1_000_000).weights).all() and few.weights.any()
 
 
 def test_toxicity_odd(odd, empty, spark):
