@@ -150,12 +150,15 @@ def repeated_spans(work: Work, docs: DataFrame, window: int = WINDOW, phrase: in
         return df.select(F.pmod(F.xxhash64("a", "salt"), F.lit(shards)).cast("int").alias("shard"), F.lit(kind).alias("kind"), "a", "doc_id", "key", "at", (F.col("skip") if kind == 1 else F.lit(None).cast("int")).alias("skip"), "words")
 
     few, many = found.where("firsts is not null"), found.where("firsts is null")
+    nowhere = {"key": F.lit(0).cast("long"), "at": F.lit(0)}
+    # a passage that its documents hold many times is one passage, of the smallest of them
+    once = few.where(F.array_contains("firsts", F.col("doc_id"))).groupBy("a", "skip", "words", "salts").agg(F.min("doc_id").alias("doc_id")).withColumns(nowhere)
     # an anchor's smallest document has no earlier one and loses nothing by it
-    inputs = dealt(few.where(F.array_contains("firsts", F.col("doc_id"))), 1).union(dealt(few.where("doc_id > lo"), 2))
+    inputs = dealt(once, 1).union(dealt(few.where("doc_id > lo"), 2))
     if passages.where("firsts is null").limit(1).count():
         # an anchor with very many passages: its windows one by one, each with its smallest document
         single = work.table(many.select(*s_schema.names).mapInArrow(lambda batches: one_by_one(batches, window), s_schema), "single").withColumn("salts", F.lit(WINDOW_PARTS))
-        least = single.groupBy("a", "skip", "words", "salts").agg(F.min("doc_id").alias("doc_id")).withColumns({"key": F.lit(0).cast("long"), "at": F.lit(0)})
+        least = single.groupBy("a", "skip", "words", "salts").agg(F.min("doc_id").alias("doc_id")).withColumns(nowhere)
         inputs = inputs.union(dealt(least, 1)).union(dealt(single, 2))
     inputs = inputs.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "a")
 
