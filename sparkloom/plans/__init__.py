@@ -1,3 +1,3 @@
 """Queries of the library."""
 
-from sparkloom.plans import catalog, code, extended, knowledge, texts  # noqa: F401
+from sparkloom.plans import catalog, code, extended, knowledge, learning, texts  # noqa: F401

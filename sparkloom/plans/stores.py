@@ -61,7 +61,7 @@ STORES: dict[str, str] = {
         CASE WHEN (conv_id + turn) % 11 = 0 THEN 0 WHEN (conv_id + turn) % 13 = 0 THEN conv_id * 1000 END AS superseded_by,
         CAST((conv_id * 7 + turn) % 12 AS BIGINT) AS used, CAST((conv_id * 3 + turn) % 5 AS BIGINT) AS reverted FROM {conversations}""",
     # traps: the benchmark's items, with the identifiers that some of them name
-    "traps": """SELECT item_id AS id, text || CASE WHEN item_id % 3 = 0 THEN ' pool_acquire setSize' || CAST(item_id % 7 AS VARCHAR(9)) WHEN item_id % 3 = 1 THEN ' CuboidDef recv_timeout' ELSE '' END AS description,
+    "traps": """SELECT item_id AS id, text || CASE WHEN item_id IN (3, 23) THEN ' pool_acquire setSize' || CAST(item_id % 4 AS VARCHAR(9)) WHEN item_id IN (7, 27) THEN ' CuboidDef recv_timeout' ELSE '' END AS description,
         CAST(item_id * 50 AS BIGINT) AS added_at FROM {benchmark}""",
     "calls": f"""SELECT e.event_id AS id, e.user_id, e.user_id || '_' || date_format_day AS sess, e.at AS at, CASE event_type WHEN 'error' THEN 'Bash' WHEN 'view' THEN 'kb__search' WHEN 'click' THEN 'code__outline' WHEN 'signup' THEN 'PowerShell' ELSE 'Edit' END AS tool, t.command, replace(t.output, '|', chr(10)) AS output, e.k
         FROM (SELECT event_id, user_id, event_type, {{day}} AS date_format_day, {{secs}} AS at, {{k}} AS k FROM {{events}}) e JOIN {_CALLS} ON t.i = e.event_id % 15""",
