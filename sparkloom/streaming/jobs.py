@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.sources.work import shared_base
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; beside the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder where driver and executors share files."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stream_of(spark: SparkSession, path: str, files_per_batch: int = 16) -> DataFrame:
@@ -37,14 +38,39 @@ def append_to(stream: DataFrame, folder: str) -> DataFrame:
 
 
 def totals_to(stream: DataFrame, folder: str) -> DataFrame:
-    """Runs an aggregation over what is there; every batch replaces the table. For small results."""
+    """Runs an aggregation over what is there; every batch writes the whole table under its number, and the last one is read.
+
+    Readers of an earlier batch keep it; a replayed batch writes its own folder again. For small results.
+    """
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rows")
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
-    sink = stream.writeStream.foreachBatch(replace).option("checkpointLocation", f"{folder}/state")
+    sink = stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{folder}/state")
     sink.outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+    spark = stream.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return spark.createDataFrame([], stream.schema)
+    last = max(int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(path))
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows/batch={last}")
+
+
+def confirmed(offers: DataFrame, seen: DataFrame, keys: list[str], within: str = "1 day") -> DataFrame:
+    """Offers (keys, offer_id, offered_at) joined with sights (keys, seen_at) within a day, both streams.
+
+    Watermarks of a day on both sides bound the state: an offer that nobody confirmed in time leaves it.
+    """
+    o = offers.withWatermark("offered_at", within).alias("o")
+    s = seen.withWatermark("seen_at", within).alias("s")
+    on = F.expr(" and ".join(f"o.{k} = s.{k}" for k in keys) + f" and s.seen_at >= o.offered_at and s.seen_at <= o.offered_at + interval {within}")
+    return o.join(s, on).select("o.offer_id", "s.seen_at")
+
+
+def debounced(stream: DataFrame, path: str, at: str, within: str = "2 seconds") -> DataFrame:
+    """The first change of a path in each stretch of time; later ones that follow within it are dropped by state that expires."""
+    return stream.withWatermark(at, within).dropDuplicatesWithinWatermark([path])
 
 
 def with_seconds(stream: DataFrame) -> DataFrame:
