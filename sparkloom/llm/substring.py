@@ -142,7 +142,10 @@ def repeated_spans(work: Work, docs: DataFrame, window: int = WINDOW, phrase: in
     per_anchor = work.table(stretches.groupBy("a").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo")).join(passages, "a"), "phrases")
     total = per_anchor.agg(F.sum("n")).first()[0] or 0
     share, shards = max(HOT_ROWS, total // HOT_PARTS), max(4 * partitions(spark), -(-total // SHARD_ROWS))
-    found = stretches.join(per_anchor.withColumn("salts", F.ceil(F.col("n") / share).cast("int")), "a")
+    per_anchor = per_anchor.withColumn("salts", F.ceil(F.col("n") / share).cast("int"))
+    # at most HOT_PARTS anchors, of at most most_passages ids each: they join where the stretches lie
+    hot = F.broadcast(per_anchor.where("salts > 1"))
+    found = stretches.join(hot, "a").unionByName(stretches.join(hot, "a", "left_anti").join(per_anchor.where("salts = 1"), "a"))
 
     def dealt(df, kind):
         salt = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)) if kind == 1 else F.pmod(F.xxhash64("doc_id", "key"), F.col("salts")).cast("int")
