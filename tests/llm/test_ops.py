@@ -908,6 +908,79 @@ def test_pipeline(spark, sf, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
 
 
+def _near_classes(texts, k=5):
+    sets = []
+    for t in texts:
+        w = WORD.findall(lower(t))
+        sets.append({" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        common = len(sets[a] & sets[b])
+        if 5 * common >= 4 * (len(sets[a]) + len(sets[b]) - common):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(x) for x in range(len(sets))]
+
+
+def test_pipeline_rows(spark, small, odd, tokenizer, tmp_path):
+    """The rows of every stage against a plain version of it on the same input, odd rows included."""
+    order = lambda rows: sorted(rows, key=lambda r: tuple((x is None, x) for x in r))
+    now, stages = small.unionByName(odd.select(*[F.col(c).cast(t) for c, t in small.dtypes])), dict(corpus_pipeline.STAGES)
+
+    def step(name):
+        before = rows_of(now)
+        stages[name](spark, now, "").write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        return before, after
+
+    before, now = step("language")
+    model = langid.fit(small.unionByName(odd.select(*[F.col(c).cast(t) for c, t in small.dtypes])), F.lit(True))
+    kept = []
+    for d, t in before:
+        ce, size = langid.cross_entropy(model, [(t or "").encode()])
+        best = int(ce[0].argmin())
+        if any(ch.isalpha() for ch in t or "") and not (size[0] >= 20 and ce[0, best] > model.limits[best]):
+            kept.append((d, t))
+    assert order(rows_of(now)) == order(kept) and 0 < len(kept) < len(before)
+
+    before, now = step("exact")
+    groups = defaultdict(list)
+    for d, t in before:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), d is None, d or 0, d, t))
+    assert order(rows_of(now)) == order([min(g)[3:] for g in groups.values()])
+
+    before, now = step("near")
+    classes = defaultdict(list)
+    for (d, t), root in zip(before, _near_classes([t for _, t in before]), strict=True):
+        classes[root].append((d is None, d or 0, d, t))
+    assert order(rows_of(now)) == order([min(c)[2:] for c in classes.values()])
+
+    before, now = step("passages")
+    want = []
+    for (d, t), (_, n, gone, text) in zip(before, brute_spans(before, 50), strict=True):
+        if gone < n or not gone:
+            want.append((d, text if gone else t))
+    assert order(rows_of(now)) == order(want)
+
+    before, now = step("packed")
+    want = []
+    for d, t in before:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        cut = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        want += [(d, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for a, b in itertools.pairwise(cut)]
+    got = now.collect()
+    assert order([(r.doc_id, r.start, r.length, r.ids_crc32) for r in got]) == order(want)
+    seqs = defaultdict(list)
+    for r in got:
+        seqs[r.sequence_id].append((r.offset, r.length))
+    assert all(sorted(p)[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in itertools.pairwise(sorted(p))) and sum(max(p)) <= 2048 for p in seqs.values())
+
+
 def test_pipeline_odd(spark, odd, empty, tmp_path):
     for k, df in enumerate((odd, empty)):
         now = df
