@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sparkloom.functions import commands as C
+from sparkloom.functions import disputes as D
 from sparkloom.functions import markers as M
 from sparkloom.functions import prose as P
 from sparkloom.operators import lookup as L
@@ -197,3 +198,21 @@ def m08_l06_pattern_health(spark, sf_dir):
     s = F.when(use == 0, F.when(back > 0, 0.0).otherwise(1.0)).otherwise(F.greatest(F.lit(0.0), (use - back) / use))
     health = F.when(s < 0.4, "low").when(s < 0.8, "fair").otherwise("good")
     return store(spark, sf_dir, "entries").where("superseded_by is null").groupBy(health.alias("health")).agg(F.count("*").alias("n"))
+
+
+def _listed(cues):
+    return "[" + ", ".join("{'c': '" + c.replace("'", "''") + "', 'l': '" + l + "'}" for c, l in cues) + "]"
+
+
+_ALL = [c for c, _ in (*D.EMPHASIS, *D.LIMIT_CUES, *D.CUES)]
+_PROMPTS = [f"Well{c if c[0] in ' ,' else ' ' + c} now {'is it possible' if i % 3 == 0 else 'then'}" for i, c in enumerate(_ALL)] + ["Please add a test", ""]
+
+
+@query(f"""WITH p AS (SELECT event_id, [{', '.join("'" + t.replace("'", "''") + "'" for t in _PROMPTS)}][event_id % {len(_PROMPTS)} + 1] AS t FROM events), l AS (SELECT *, lower(t) AS w FROM p),
+    f AS (SELECT *, list_filter({_listed(D.EMPHASIS)}, lambda x: contains(t, x.c))[1].l AS e, list_filter({_listed(D.LIMIT_CUES)}, lambda x: contains(w, x.c))[1].l AS m, list_filter({_listed(D.CUES)}, lambda x: contains(w, x.c))[1].l AS c,
+        list_has_any(regexp_split_to_array(w, '[^\\p{{L}}\\p{{N}}'']+'), [{', '.join(f"'{x}'" for x in D.LIMIT_WORDS)}]) OR {' OR '.join("contains(w, '" + x.replace("'", "''") + "')" for x in D.LIMIT_PHRASES)} AS lim FROM l)
+    SELECT event_id, coalesce(e, m, CASE WHEN c IS NOT NULL AND lim THEN 'disputes a limit' ELSE c END) AS label FROM f""")
+def f18_disputes(spark, sf_dir):
+    """Messages that dispute a claim or a limit, with the label of the first cue."""
+    t = F.element_at(F.array(*map(F.lit, _PROMPTS)), (F.col("event_id") % len(_PROMPTS) + 1).cast("int"))
+    return read(spark, sf_dir, "events").select("event_id", t.alias("t")).select("event_id", D.dispute(F.col("t")).alias("label"))
