@@ -73,5 +73,46 @@ def debounced(stream: DataFrame, path: str, at: str, within: str = "2 seconds")
     return stream.withWatermark(at, within).dropDuplicatesWithinWatermark([path])
 
 
+def quiet_ends(stream: DataFrame, path: str, at: str, values: list[str], gap: str = "2 seconds", late: str = "2 seconds") -> DataFrame:
+    """path, the values of the last change, last_at and changes of each stretch of changes that are no more than gap apart.
+
+    A stretch comes out when event time says that it is over: gap after its last change, and late for changes
+    that arrive out of order. The first of the values decides between changes of one moment. State holds open stretches only.
+    """
+    last = F.max(F.struct(F.col(at).alias("last_at"), *values)).alias("last")
+    stretches = stream.withWatermark(at, late).groupBy(F.col(path), F.session_window(at, gap)).agg(last, F.count("*").alias("changes"))
+    return stretches.select(path, *(F.col(f"last.{v}").alias(v) for v in values), "changes", "last.last_at")
+
+
+def offered(offers: DataFrame, seen: DataFrame, keys: list[str], within: str = "1 day") -> DataFrame:
+    """Offers joined with sights as confirmed() does, and those that nobody confirmed in time, with null, when their time is over."""
+    o = offers.withWatermark("offered_at", "0 seconds").alias("o")
+    s = seen.withWatermark("seen_at", "0 seconds").alias("s")
+    on = F.expr(" and ".join(f"o.{k} = s.{k}" for k in keys) + f" and s.seen_at >= o.offered_at and s.seen_at <= o.offered_at + interval {within}")
+    return o.join(s, on, "left_outer").select("o.offer_id", "s.seen_at")
+
+
+def newest_to(drafts: DataFrame, key: str, written: str, draft: str, folder: str) -> DataFrame:
+    """key, written, kept, drafts: the draft written last, whatever the order in which drafts come, and how many came.
+
+    The state of a key is the newest draft; of drafts of one time the greater id stays. Every batch writes
+    the keys it changed with its number, so a replayed batch writes the same again.
+    """
+    newest = drafts.groupBy(key).agg(F.max(F.struct(F.col(written).alias("written"), F.col(draft).alias("kept"))).alias("newest"), F.count("*").alias("drafts"))
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    sink = newest.writeStream.foreachBatch(save).option("checkpointLocation", f"{folder}/state")
+    sink.outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    spark = drafts.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], newest.schema).select(key, "newest.*", "drafts")
+    changed = spark.read.schema(newest.schema.add("batch", "integer")).parquet(f"{folder}/rows")
+    last = changed.groupBy(key).agg(F.max_by("newest", "batch").alias("newest"), F.max_by("drafts", "batch").alias("drafts"))
+    return last.select(key, "newest.*", "drafts")
+
+
 def with_seconds(stream: DataFrame) -> DataFrame:
     return stream.withColumn("at", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long"))
