@@ -22,7 +22,7 @@ CLOSE, CLOSE_SHARE = 1e-3, 1e-9
 #: Newton steps in one job, and jobs at most: a step that leaves its bracket halves it, so 200 steps reach the last bit.
 STEPS, MOST_JOBS = 4, 50
 #: Cells of more documents than this, and than 1 in so many of all, are ranked in parts: so at most HOT_CELLS cells are broadcast.
-HOT_ROWS, HOT_CELLS = 10_000, 10_000
+HOT_ROWS, HOT_CELLS = 1_000, 10_000
 
 _KEY = ["src", "no_src"]
 _CELL = [*_KEY, "size"]
