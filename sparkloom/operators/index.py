@@ -7,7 +7,6 @@ once, when the index is built; it is built again if the files of its table chang
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +15,7 @@ from pyspark.sql import Window as W
 
 from sparkloom.functions.prose import VECTOR_STOP
 from sparkloom.functions.stems import stems
-from sparkloom.sources.work import shared_base
+from sparkloom.sources.work import files_mark, published
 
 K1, B = 1.2, 0.75
 
@@ -37,25 +36,14 @@ def plain_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def _stamp(spark: SparkSession, docs: DataFrame) -> str:
-    """A digest of the table's files with their sizes and times."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    out = hashlib.sha256()
-    for name in sorted(docs.inputFiles()):
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        status = path.getFileSystem(conf).getFileStatus(path)
-        out.update(f"{name} {status.getLen()} {status.getModificationTime()};".encode())
-    return out.hexdigest()[:32]
-
-
 def build(docs: DataFrame, key: str, fields: list[str], kind: str, stemmed: bool = False) -> Index:
-    """The index of some text columns; the stored one if the files are as they were."""
+    """The index of some text columns; the stored one if the files are as they were.
+
+    It is published whole and stays, so sessions may share it, and several may build it at once.
+    """
     spark = docs.sparkSession
-    base = f"{shared_base(spark)}/index-{kind}-{_stamp(spark, docs)}"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    done = jvm.org.apache.hadoop.fs.Path(f"{base}/corpus/_SUCCESS")
-    fs = done.getFileSystem(conf)
-    if not fs.exists(done):
+
+    def make(base: str) -> None:
         split = plain_words if stemmed else words
         parts = F.array(*[F.struct(F.lit(i).alias("field"), split(F.col(f)).alias("words")) for i, f in enumerate(fields)])
         rows = docs.select(F.col(key).alias("key"), F.explode(parts).alias("p")).select("key", "p.field", F.explode("p.words").alias("term"))
@@ -68,14 +56,27 @@ def build(docs: DataFrame, key: str, fields: list[str], kind: str, stemmed: bool
         tf = tf.withColumn("whole", whole)
         counts = F.when((F.octet_length("term") >= 3) & ~F.col("term").isin(*VECTOR_STOP), F.col("tf") * F.col("whole")).otherwise(0)
         full = tf.select("term", "key", "field", F.col("tf").cast("int").alias("tf"), F.sum("tf").over(own).cast("int").alias("len"), F.sqrt(F.sum(counts).over(own)).alias("norm"))
-        full.repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{base}/postings")
+        full.repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.parquet(f"{base}/postings")
         total = spark.read.parquet(f"{base}/postings").agg(F.sum("tf").alias("total"))
         corpus = docs.agg(F.count("*").alias("n")).crossJoin(total).select("n", F.greatest(F.coalesce(F.col("total"), F.lit(0)) / F.greatest("n", F.lit(1)), F.lit(1.0)).alias("avg_len"))
-        corpus.coalesce(1).write.mode("overwrite").parquet(f"{base}/corpus")
-        fs.deleteOnExit(jvm.org.apache.hadoop.fs.Path(base))
+        corpus.coalesce(1).write.parquet(f"{base}/corpus")
+
+    base = published(spark, f"index-{kind}-{files_mark(spark, docs)[:32]}", make)
     return Index(spark.read.parquet(f"{base}/postings"), spark.read.parquet(f"{base}/corpus"))
 
 
+def document_frequency(docs: DataFrame, text: str, least: int = 3) -> DataFrame:
+    """term, df, idf of the words of so many bytes or more, by one aggregation; no index is needed."""
+    terms = docs.select(F.explode(F.array_distinct(words(F.col(text)))).alias("term")).where(F.octet_length("term") >= least)
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    return df.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")))).select("term", "df", F.log(F.col("n") / F.col("df")).alias("idf"))  # a single row
+
+
+def _counted(hits: DataFrame, word: str) -> DataFrame:
+    """Adds df, in how many documents each word of the query is; a row a word is broadcast, so no word's hits meet in one task."""
+    return hits.join(F.broadcast(hits.groupBy(word).agg(F.count("*").alias("df"))), word)
+
+
 def hits(index: Index, query: list[str], prefixes: bool = True) -> DataFrame:
     """key, i (the query word's place), f, len, norm: how often each document has each word.
 
@@ -94,8 +95,7 @@ def hits(index: Index, query: list[str], prefixes: bool = True) -> DataFrame:
 def bm25(index: Index, query: list[str]) -> DataFrame:
     """key, score of the documents that hold a query word."""
     h = hits(index, query)
-    df = F.count("*").over(W.partitionBy("i"))
-    both = h.withColumn("df", df).crossJoin(F.broadcast(index.corpus))  # a single row
+    both = _counted(h, "i").crossJoin(F.broadcast(index.corpus))  # a single row
     part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     return both.groupBy("key").agg(F.sum(part).alias("score"))
 
@@ -122,7 +122,7 @@ def full_text(index: Index, query: list[str], weights: list[float], every: bool
     terms = [r[0] for r in asked.collect()]  # the query's own words
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("field") + 1)
     h = index.postings.where(F.col("term").isin(terms)).groupBy("key", "term").agg(F.sum(F.col("tf") * weight).alias("f"), F.first("len").alias("len"))
-    both = h.withColumn("df", F.count("*").over(W.partitionBy("term"))).crossJoin(F.broadcast(index.corpus))
+    both = _counted(h, "term").crossJoin(F.broadcast(index.corpus))  # a single row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.when(idf > 0, idf).otherwise(1e-6) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     out = both.groupBy("key").agg(F.sum(part).alias("score"), F.count("*").alias("found"))

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from sparkloom.sources.work import file_system
+
 
 @dataclass(frozen=True)
 class Stage:
@@ -26,19 +28,6 @@ class Stage:
     revision: int = 1
 
 
-def file_mark(spark: SparkSession, df: DataFrame) -> str:
-    """A digest of the files that a table is read from, with their sizes and times; folders are listed once each."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    files = sorted(df.inputFiles())
-    found = {}
-    for folder in sorted({f.rsplit("/", 1)[0] for f in files}):
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        for s in path.getFileSystem(conf).listStatus(path):
-            found[s.getPath().toUri().getPath()] = (s.getLen(), s.getModificationTime())
-    names = [jvm.org.apache.hadoop.fs.Path(f).toUri().getPath() for f in files]
-    return hashlib.sha256(repr([(n, found.get(n)) for n in names]).encode()).hexdigest()
-
-
 class Pipeline:
     """Stages in their order, in a folder that a later run names again."""
 
@@ -51,8 +40,7 @@ class Pipeline:
             known.add(s.name)
 
     def _at(self, name: str):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+        return file_system(self.spark, f"{self.folder}/{name}")
 
     def entry(self, name: str, mark: str) -> dict | None:
         """What the ledger has of a stage that was finished under a mark."""
@@ -78,7 +66,7 @@ class Pipeline:
     def run(self, inputs: dict[str, tuple[DataFrame, str]], stop_after: str | None = None) -> tuple[dict[str, DataFrame], list[dict]]:
         """Tables by name, and for each stage what the ledger has: name, mark, needs, rows, and whether this run made it.
 
-        inputs: tables with their marks (as of file_mark). A stage's table is written before its entry, so a run
+        inputs: tables with their marks (as of files_mark). A stage's table is written before its entry, so a run
         that ends between the two writes that table again.
         """
         tables = {name: df for name, (df, _) in inputs.items()}

@@ -1,3 +1,3 @@
 """Queries of the library."""
 
-from sparkloom.plans import catalog, code, extended, files, knowledge, learning, more, pipelines, stored, streams, texts  # noqa: F401
+from sparkloom.plans import catalog, code, extended, files, knowledge, learning, more, pipelines, search, stored, streams, texts  # noqa: F401

@@ -126,9 +126,8 @@ def a15_cost_ledger(spark, sf_dir):
 
 @query("SELECT term, count(*) AS df, round(ln((SELECT count(*) FROM documents) * 1.0 / count(*)), 6) AS idf FROM (SELECT DISTINCT doc_id, unnest(" + _TOK % 3 + ") AS term FROM documents) GROUP BY 1")
 def a16_document_frequency(spark, sf_dir):
-    index = _documents(spark, sf_dir)
-    df = index.postings.where(F.octet_length("term") >= 3).groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(index.corpus.select("n"))).select("term", "df", F.round(F.log(F.col("n") / F.col("df")), 6).alias("idf"))
+    """In how many documents each word is; doc_id is a key."""
+    return I.document_frequency(read(spark, sf_dir, "documents"), "text").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1, 2")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sparkloom.operators import learning as L
-from sparkloom.operators.stages import Pipeline, Stage, file_mark
+from sparkloom.operators.stages import Pipeline, Stage
 from sparkloom.plans.catalog import _E, query
 from sparkloom.sources.tables import events, read
+from sparkloom.sources.work import files_mark
 from sparkloom.streaming.jobs import shared_folder
 
 _IS = lambda t: F.col("event_type") == t
@@ -94,7 +95,7 @@ def _resumed(spark, sf_dir, name, stages, stop_after):
     """The tables of a pipeline that one run left behind a stage and another one ended."""
     folder = shared_folder(spark, name)
     raw = read(spark, sf_dir, "events")
-    inputs = {"calls": (events(spark, sf_dir), file_mark(spark, raw))}
+    inputs = {"calls": (events(spark, sf_dir), files_mark(spark, raw))}
     Pipeline(spark, folder, stages).run(inputs, stop_after)
     return Pipeline(spark, folder, stages).run(inputs)
 

@@ -16,6 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.sources.work import file_system, rename_new
+
 BUCKET = "_bucket"
 
 
@@ -44,9 +46,7 @@ class VersionedTable:
     # what is there
 
     def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+        return file_system(self.spark, path)
 
     def _names(self, folder: str) -> list[str]:
         fs, at = self._fs(f"{self.path}/{folder}")
@@ -157,7 +157,6 @@ class VersionedTable:
 
     def _commit(self, head: dict) -> int:
         """Writes the version's file under another name and gives it its own, which fails if there is one."""
-        jvm = self.spark.sparkContext._jvm
         draft, name = f"{self.path}/log/.{uuid.uuid4().hex}", f"{self.path}/log/{head['version']:012d}.json"
         fs, at = self._fs(draft)
         out = fs.create(at, False)
@@ -165,16 +164,9 @@ class VersionedTable:
             out.write(bytearray(json.dumps(head).encode()))
         finally:
             out.close()
-        _, to = self._fs(name)
-        none = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        try:
-            context.rename(at, to, none)
-        except Exception as e:
+        if not rename_new(self.spark, draft, name):
             fs.delete(at, False)
-            if "FileAlreadyExists" not in str(e):
-                raise
-            raise CommitConflict(name) from None
+            raise CommitConflict(name)
         return head["version"]
 
 

@@ -4,7 +4,8 @@ import shutil
 
 import pytest
 
-from sparkloom.operators.stages import Pipeline, Stage, file_mark
+from sparkloom.operators.stages import Pipeline, Stage
+from sparkloom.sources.work import files_mark
 
 
 def stages(log, fail=()):
@@ -62,12 +63,12 @@ def test_table_without_an_entry_is_written_again(spark, tmp_path):
     assert log == ["other", "both"] and ids(tables) == [0, 2, 4, 100, 101]
 
 
-def test_file_mark_follows_files(spark, tmp_path):
+def test_files_mark_follows_files(spark, tmp_path):
     spark.range(5).write.parquet(f"{tmp_path}/t")
-    first = file_mark(spark, spark.read.parquet(f"{tmp_path}/t"))
-    assert first == file_mark(spark, spark.read.parquet(f"{tmp_path}/t"))
+    first = files_mark(spark, spark.read.parquet(f"{tmp_path}/t"))
+    assert first == files_mark(spark, spark.read.parquet(f"{tmp_path}/t"))
     spark.range(1).write.mode("append").parquet(f"{tmp_path}/t")
-    assert first != file_mark(spark, spark.read.parquet(f"{tmp_path}/t"))
+    assert first != files_mark(spark, spark.read.parquet(f"{tmp_path}/t"))
 
 
 def test_two_stages_of_one_name():
