@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Work, arrow_schema, blocks, bloom_bits, bloom_hits, shared, text_bytes
+from sparkloom.llm.common import Work, arrow_schema, blocks, bloom_bits, bloom_hits, shared, unused, utf8_bytes
 
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Entries of a worker's table of encoded words; at this number the table starts again.
@@ -200,7 +200,7 @@ def encode_documents(
 ) -> DataFrame:
     """Adds n_tokens, ids_sha256, decoded_sha256, n_chunks, n_reused (and ids, little-endian 32-bit) to every row.
 
-    Null text counts as empty: no ids, digests of nothing. Repeated rows get equal values. No row
+    Null text counts as empty: no ids, digests of nothing. Bytes that aren't UTF-8 count as replacement characters. Repeated rows get equal values. No row
     is dropped, an empty table gives an empty one. Other columns are carried along; columns
     with an added column's name are replaced.
 
@@ -211,14 +211,15 @@ def encode_documents(
     work = Work(spark, "bpe")
     added = "n_tokens long, ids_sha256 string, decoded_sha256 string, n_chunks int, n_reused int" + ", ids binary" * ids
     names = [x.split()[0] for x in added.split(", ")]
-    docs = docs.drop(*names, "_text_key", "_parts")
+    docs = docs.drop(*names)
+    key_name, parts_name = unused(["_text_key", "_parts"], [*docs.columns, *names])
 
     count_schema, count_arrow = arrow_schema("h binary, low long, n long")
 
     def count(batches):
         seen: dict[bytes, int] = {}
         for batch in batches:
-            for data in text_bytes(batch.column(0)):
+            for data in utf8_bytes(batch.column(0)):
                 start = 0
                 for end in chunk_ends(data, bits):
                     k = _key(data[start:end])
@@ -243,7 +244,7 @@ def encode_documents(
         seen: set[bytes] = set()
         for batch in batches:
             keys, chunks = [], []
-            for data in text_bytes(batch.column(0)):
+            for data in utf8_bytes(batch.column(0)):
                 ends = chunk_ends(data, bits)
                 own = [_key(data[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
                 for n in np.flatnonzero(bloom_hits(filter_.value, _low(own))).tolist():
@@ -267,13 +268,13 @@ def encode_documents(
     encoded = chunks.join(common.select("h"), "h", "left_semi").mapInArrow(encode, record_schema)
     encoded = work.table(encoded, "encoded")
 
-    ref_schema, ref_arrow = arrow_schema("_text_key binary, n int, h binary")
+    ref_schema, ref_arrow = arrow_schema(f"{key_name} binary, n int, h binary")
 
     def refer(batches):
         seen: set[bytes] = set()
         for batch in batches:
             rows = []
-            for data in text_bytes(batch.column(0)):
+            for data in utf8_bytes(batch.column(0)):
                 ends = chunk_ends(data, bits)
                 own = [_key(data[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
                 hits = np.flatnonzero(bloom_hits(filter_.value, _low(own))).tolist()
@@ -285,7 +286,7 @@ def encode_documents(
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(ref_arrow)], schema=ref_arrow)
 
     refs = work.table(docs.select(text).mapInArrow(refer, ref_schema).distinct(), "refs")
-    parts = refs.join(encoded, "h").groupBy("_text_key").agg(F.collect_list(F.struct("n", "a", "b", "chunk_ids")).alias("_parts"))
+    parts = refs.join(encoded, "h").groupBy(key_name).agg(F.collect_list(F.struct("n", "a", "b", "chunk_ids")).alias(parts_name))
     parts = work.table(parts, "parts")
 
     base = [f for f in docs.schema.fields if keep_text or f.name != text]
@@ -298,7 +299,7 @@ def encode_documents(
             c = codec(ranks)
             for batch in batches:
                 batch = pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names)
-                texts = text_bytes(batch.column(names_at))
+                texts = utf8_bytes(batch.column(names_at))
                 if keep_hits is not None:
                     mask = [False] * len(texts)
                     cut = []
@@ -311,11 +312,11 @@ def encode_documents(
                     batch = batch.filter(pa.array(mask))
                     texts = [t for t, m in zip(texts, mask, strict=True) if m]
                     if keep_hits:
-                        yield batch.append_column("_text_key", pa.array([_key(t) for t in texts], pa.binary()))
+                        yield batch.append_column(key_name, pa.array([_key(t) for t in texts], pa.binary()))
                         continue
                 else:
                     cut = [chunk_ends(t, bits) for t in texts]
-                found = batch.column(batch.schema.get_field_index("_parts")).to_pylist() if with_parts else [None] * len(texts)
+                found = batch.column(batch.schema.get_field_index(parts_name)).to_pylist() if with_parts else [None] * len(texts)
                 for lo, hi in blocks([len(t) for t in texts], 8 << 20):
                     cols = [[] for _ in names]
                     for data, ends, have in zip(texts[lo:hi], cut[lo:hi], found[lo:hi], strict=True):
@@ -331,8 +332,8 @@ def encode_documents(
 
     names_at = docs.columns.index(text)
     alone = docs.mapInArrow(rows(False, False), full)
-    keyed = type(docs.schema)([*docs.schema.fields, *arrow_schema("_text_key binary")[0].fields])
-    joined = docs.mapInArrow(rows(False, True), keyed).join(parts, "_text_key", "left").drop("_text_key").select(*docs.columns, "_parts")
+    keyed = type(docs.schema)([*docs.schema.fields, *arrow_schema(f"{key_name} binary")[0].fields])
+    joined = docs.mapInArrow(rows(False, True), keyed).join(parts, key_name, "left").drop(key_name).select(*docs.columns, parts_name)
     return alone.unionByName(joined.mapInArrow(rows(True, None), full))
 
 

@@ -141,6 +141,16 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]
 
 
+def utf8_bytes(column: pa.Array) -> list[bytes]:
+    """As text_bytes; what isn't UTF-8 gets a replacement character for each bad part. Columns are checked as a whole first."""
+    texts = text_bytes(column)
+    try:
+        column.cast(pa.large_string()).validate(full=True)
+        return texts
+    except pa.ArrowInvalid:
+        return [t.decode("utf-8", "replace").encode() for t in texts]
+
+
 def blocks(sizes: list[int], limit: int = BLOCK_BYTES):
     """Ranges of consecutive rows with at most limit bytes each, or one row."""
     start = total = 0

@@ -23,8 +23,10 @@ ORDER = 4
 SAMPLE_DOCS = 2_000
 #: ORDER-grams of all languages that a model may have; beyond that the rarest ones are left out, see fit().
 MOST_ENTRIES = 6_000_000
-#: Languages that are learned: the labels of the most documents, then the first by name.
-MOST_LANGUAGES = 256
+#: Languages that are learned: the labels of the most documents, then the first by name. The driver gets a row for each.
+MOST_LANGUAGES = 4_096
+#: A language with so many sampled documents leaves an eighth of them out of the counts, for its limit; one with fewer uses all.
+LEAST_HELD = 40
 UNDETERMINED = "und"
 #: A text is rejected at its language's median cross-entropy plus this many quartile ranges, one nat by character at least.
 REJECT_RANGES, REJECT_LEAST = 8.0, 1.0
@@ -55,6 +57,12 @@ def _class_table() -> np.ndarray:
 _CLASS: np.ndarray | None = None
 
 
+def _far_class(c: int) -> int:
+    """The class of a character beyond the basic plane: its letters share the 6,400 places of the private area, by a hash; emoji are signs."""
+    ch = chr(c)
+    return 0xE000 + c * 2_654_435_761 % (1 << 32) % 6_400 if ch.isalpha() else _DIGIT if ch.isdigit() else _SPACE if ch.isspace() else _OTHER
+
+
 def characters(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The characters of some texts as 16-bit classes, each text led by ORDER - 1 spaces; and the texts' starts."""
     global _CLASS
@@ -65,7 +73,9 @@ def characters(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     code = np.frombuffer((pad + pad.join(decoded) if decoded else "").encode("utf-32-le", "surrogatepass"), np.uint32)
     big = code > 0xFFFF
     classes = _CLASS[np.where(big, 0x21, code)]
-    classes[big] = 0xF000 + (code[big] & 0x7FF)  # letters beyond the basic plane: folded into its private area
+    if big.any():
+        found, at = np.unique(code[big], return_inverse=True)
+        classes[big] = np.array([_far_class(c) for c in found.tolist()], np.uint64)[at]
     sizes = np.array([len(d) for d in decoded], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes + ORDER - 1)])[:-1]
     return classes, starts + ORDER - 1
@@ -190,14 +200,14 @@ def fit(docs: DataFrame, train, sample_docs: int = SAMPLE_DOCS, most_entries: in
     totals = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not totals:
         return LanguageModel([], [], np.zeros(0), sample_docs)
-    shares = spark.createDataFrame([(r[0], min(1.0, sample_docs / r[1])) for r in totals], "lang string, share double")
-    sample = rows.join(F.broadcast(shares), "lang").where("cast(h as double) <= -pow(2.0D, 63) + share * pow(2.0D, 64)").select("lang", "text", "h")
+    shares = spark.createDataFrame([(r[0], min(1.0, sample_docs / r[1]), min(r[1], sample_docs) >= LEAST_HELD) for r in totals], "lang string, share double, spare boolean")
+    sample = rows.join(F.broadcast(shares), "lang").where("cast(h as double) <= -pow(2.0D, 63) + share * pow(2.0D, 64)").select("lang", "text", (F.col("spare") & (F.pmod(F.shiftrightunsigned("h", 3), F.lit(8)) == 0)).alias("held"))
     schema, arrow = arrow_schema("lang string, key long, n long")
 
     def count(batches):
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            held = (batch.column(2).to_numpy().view(np.uint64) >> np.uint64(3)) % np.uint64(8) == 0
+            held = batch.column(2).to_pylist()
             texts = text_bytes(batch.column(1))
             for lang in sorted(set(langs)):
                 own = [t for t, x, h in zip(texts, langs, held, strict=True) if x == lang and not h]
@@ -232,15 +242,15 @@ def calibrate(spark, sample: DataFrame, model: LanguageModel) -> np.ndarray:
 
     From the eighth of the sample that the counts left out, texts of 50 characters and more whose
     label is also the model's choice: the median plus eight quartile ranges, at least one nat
-    by character over the median. A few odd or wrongly labelled documents don't move it.
+    by character over the median. A few odd or wrongly labelled documents don't move it. A language
+    without such texts, as one with few documents, gets the highest limit of the others.
     """
     sent = spark.sparkContext.broadcast(model)
     schema, arrow = arrow_schema("lang string, ce double")
 
     def score(batches):
         for batch in batches:
-            held = (batch.column(2).to_numpy().view(np.uint64) >> np.uint64(3)) % np.uint64(8) == 0
-            batch = batch.filter(pa.array(held))
+            batch = batch.filter(batch.column(2))
             texts, langs = text_bytes(batch.column(1)), batch.column(0).to_pylist()
             for lo, hi in blocks([len(t) for t in texts]):
                 ce, size = cross_entropy(sent.value, texts[lo:hi])

@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.bpe import codec, tokenizer_path
-from sparkloom.llm.common import Work, arrow_schema, text_bytes, unused
+from sparkloom.llm.common import Work, arrow_schema, utf8_bytes, unused
 
 CAPACITY = 2048
 #: Pieces that one task packs; what it leaves open goes to the next level.
 SHARD_PIECES = 100_000
+#: Levels after the first; a level that joins none ends them long before.
+MOST_LEVELS = 4_000
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +62,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, ranks: str | None =
     """doc_id, piece, start, length, ids_crc32 (and ids) of every document: its ids, then end_id.
 
     Longer documents than capacity are cut so that the first piece takes the remainder. Null text
-    is empty: one piece with end_id alone. Rows with equal or null ids stay rows of their own.
+    is empty: one piece with end_id alone. Bytes that aren't UTF-8 count as replacement characters. Rows with equal or null ids stay rows of their own.
     """
     ranks = ranks or tokenizer_path("byte_bpe_50k.tiktoken")
     schema, arrow = arrow_schema("doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
@@ -70,7 +72,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, ranks: str | None =
         c = codec(ranks)
         for batch in batches:
             rows = []
-            for doc, data in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+            for doc, data in zip(batch.column(0).to_pylist(), utf8_bytes(batch.column(1)), strict=True):
                 ids = c.encode(data.decode()) + end
                 n, a, k = len(ids) // 4, 0, 0
                 b = n % capacity or capacity
@@ -93,7 +95,7 @@ def _pack(capacity: int, level: int):
         bins, places = sum_of_squares(lengths, capacity)
         fill = np.zeros(int(bins.max()) + 1 if len(bins) else 0, np.int64)
         np.add.at(fill, bins, lengths)
-        base = (level << 58) + (int(shard[0].as_py()) << 32)
+        base = (level << 51) + (int(shard[0].as_py()) << 24)  # 12 bits of level, 27 of shard, 24 of sequence
         return pa.Table.from_arrays([pa.array(items), pa.array(lengths), pa.array(bins + base), pa.array(places), pa.array(fill[bins])], schema=arrow)
 
     return run
@@ -115,24 +117,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
     rows = work.table(pieces.withColumn(number, F.monotonically_increasing_id()), "pieces")
     total = rows.count()
     level, items = 0, rows.select(F.col(number).alias("item"), F.col(length).cast("long").alias("length"))
-    where = None  # item of the first level -> sequence so far, offset there
+    moves = None  # sequence of the first level -> sequence so far, offset there; of those that later levels took up
     while True:
         shards = max(1, round(total / shard_pieces))
         dealt = items.withColumn("turn", F.xxhash64("item", F.lit(level))).withColumn("shard", F.pmod("turn", F.lit(shards)))
         done = dealt.withColumn("turn", F.xxhash64("turn")).groupBy("shard").applyInArrow(_pack(capacity, level), schema)
         done = work.table(done, f"level{level}")
-        if where is None:
+        if level == 0:
             where = done.select(F.col("item").alias("_item"), F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
         else:
-            moved = done.select(F.col("item").alias("sequence_id"), F.col("bin").alias("to"), F.col("place").alias("by"))
-            where = where.join(moved, "sequence_id", "left").select(
-                "_item",
-                F.coalesce("to", "sequence_id").alias("sequence_id"),
-                (F.col("offset") + F.coalesce("by", F.lit(0))).alias("offset"),
-            )
-            where = work.table(where, f"where{level}")
-            work.drop(f"where{level - 1}", f"level{level - 1}")
-        if shards == 1:
+            step = done.select(F.col("item").alias("sequence_id"), F.col("bin").alias("to"), F.col("place").alias("by"))
+            if moves is not None:  # what level 1 took up is all that later levels can move
+                step = moves.join(step.select(F.col("sequence_id").alias("to"), F.col("to").alias("next"), F.col("by").alias("more")), "to", "left")
+                step = step.select("sequence_id", F.coalesce("next", "to").alias("to"), (F.col("by") + F.coalesce("more", F.lit(0))).alias("by"))
+            moves = work.table(step, f"moves{level}")
+            if level > 1:
+                work.drop(f"moves{level - 1}", f"level{level - 1}")
+        if shards == 1 or level == MOST_LEVELS:
             break
         opened = done.where(F.col("fill") < capacity).select(F.col("bin").alias("item"), F.col("fill").alias("length")).distinct()
         least, joined = opened.agg(F.min("length")).first()[0], level == 0 or done.select("bin").distinct().count() < total
@@ -143,5 +144,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
         if left < 2:
             break
         level, items, total = level + 1, opened, left
+    if moves is not None:
+        joined_up = where.join(moves, "sequence_id", "left")
+        where = joined_up.select("_item", F.coalesce("to", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("by", F.lit(0))).alias("offset"))
     placed = where.withColumnRenamed("_item", number)
     return rows.join(placed, number).drop(number)

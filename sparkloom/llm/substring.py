@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Work, Words, arrow_schema, blocks, bloom_bits, bloom_hits, bloom_size, partitions, range_hashes, shared, text_bytes, unused
+from sparkloom.llm.common import Work, Words, arrow_schema, blocks, bloom_bits, bloom_hits, bloom_size, partitions, range_hashes, shared, utf8_bytes, unused
 
 WINDOW, PHRASE = 50, 25
 _H1, _H2, _G = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
@@ -77,7 +77,7 @@ def repeated_spans(work: Work, docs: DataFrame, window: int = WINDOW, phrase: in
 
     def find(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), text_bytes(batch.column(1))
+            ids, texts = batch.column(0).to_numpy(), utf8_bytes(batch.column(1))
             found = []
             for lo, hi in blocks([len(t) for t in texts]):
                 words = Words(texts[lo:hi])
@@ -100,7 +100,7 @@ def repeated_spans(work: Work, docs: DataFrame, window: int = WINDOW, phrase: in
 
     def stretch(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
+            ids, texts = batch.column(0).to_pylist(), utf8_bytes(batch.column(1))
             for lo, hi in blocks([len(t) for t in texts]):
                 words = Words(texts[lo:hi])
                 a, place, begin, end = anchors(words, window, phrase)
@@ -324,7 +324,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
             for batch in batches:
                 for lo in range(0, batch.num_rows, 1000):
                     part = batch.slice(lo, 1000)
-                    texts = text_bytes(part.column(at))
+                    texts = utf8_bytes(part.column(at))
                     if not joined:
                         keys = np.array([_row_key(t) for t in texts], np.uint64)
                         mask = bloom_hits(filter_.value, keys) == hits

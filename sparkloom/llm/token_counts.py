@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.bpe import tokenizer_path
-from sparkloom.llm.common import arrow_schema, text_bytes
+from sparkloom.llm.common import arrow_schema, utf8_bytes
 
 MARK = "▁"
 #: Pre-tokens of more characters are scored alone, so that a trie's depth stays bounded.
@@ -126,7 +126,7 @@ def token_counts(docs: DataFrame, model: str | None = None) -> DataFrame:
         t = trie(model)
         for batch in batches:
             words, tokens, scores = [], [], []
-            for data in text_bytes(batch.column(1)):
+            for data in utf8_bytes(batch.column(1)):
                 counts = Counter(data.split())
                 n = total = 0
                 parts = []
