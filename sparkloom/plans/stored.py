@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.plans.catalog import query
-from sparkloom.plans.stores import store, stores_sql
-from sparkloom.sources.tables import events, read
+from sparkloom.sources.tables import read
 from sparkloom.sources.versioned import VersionedTable, latest
 from sparkloom.streaming.jobs import shared_folder
 
 
-@query(stores_sql("units") + """, a AS (SELECT id, CASE WHEN id % 3 = 0 THEN body || '!' ELSE body END AS now, body AS was, id % 4 <> 0 AS old, id % 4 <> 1 AS new, id % 5 = 0 AS again FROM units)
-    SELECT id, length(CASE WHEN new THEN now ELSE was END) AS chars, CASE WHEN old AND new AND now <> was AND NOT again THEN length(was) END AS previous_chars FROM a WHERE old OR new""")
+@query("""WITH a AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN coalesce(text, '') || '!' ELSE coalesce(text, '') END AS now, coalesce(text, '') AS was, (conv_id + turn) % 4 <> 0 AS old, (conv_id + turn) % 4 <> 1 AS new, role = 'user' AS again FROM conversations)
+    SELECT conv_id, turn, length(CASE WHEN new THEN now ELSE was END) AS chars, CASE WHEN old AND new AND now <> was AND again IS DISTINCT FROM true THEN length(was) END AS previous_chars FROM a WHERE old OR new""")
 def s18_stored_upsert(spark, sf_dir):
-    """Units upserted twice in a stored table: a changed text keeps the one before, one that comes again unchanged drops it."""
-    u = store(spark, sf_dir, "units").select("id", "body")
-    table = VersionedTable.create(u.where("id % 4 <> 0").withColumn("previous", F.lit(None).cast("string")), shared_folder(spark, "upsert"), ["id"])
+    """Turns upserted twice in a stored table: a changed text keeps the one before, one that comes again unchanged drops it."""
+    u = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("body"))
+    fold = (F.col("conv_id") + F.col("turn")) % 4
+    first = u.where(fold != 0).select("conv_id", "turn", "body", F.lit(None).cast("string").alias("previous"))
+    table = VersionedTable.create(first, shared_folder(spark, "upsert"), ["conv_id", "turn"])
     changed = F.col("has_old") & F.col("has_new") & (F.col("old.body") != F.col("new.body"))
     values = latest(["body"]) | {"previous": F.when(changed, F.col("old.body")).when(~F.col("has_new"), F.col("old.previous"))}
-    news = u.where("id % 4 <> 1").withColumn("body", F.when(F.col("id") % 3 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
+    news = u.where(fold != 1).withColumn("body", F.when(F.col("turn") % 3 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
     table.merge(news, values)
-    table.merge(news.where("id % 5 = 0"), values)
-    return table.read().select("id", F.length("body").alias("chars"), F.length("previous").alias("previous_chars"))
+    table.merge(news.where("role = 'user'"), values)
+    return table.read().select("conv_id", "turn", F.length("body").alias("chars"), F.length("previous").alias("previous_chars"))
 
 
 @query("""WITH h AS (SELECT sha256(coalesce(lang, '') || '|' || coalesce(text, '')) AS hash, doc_id FROM documents), n AS (SELECT hash, count(*) AS refs, count(*) FILTER (doc_id % 3 = 0) AS gone FROM h GROUP BY 1)
@@ -40,41 +41,41 @@ def s20_stored_release(spark, sf_dir):
     return table.read()
 
 
-@query(stores_sql("units") + """, b AS (SELECT root, id, name FROM units WHERE root IS NOT NULL), a AS (SELECT id, name || CASE WHEN id % 5 = 0 THEN '_v2' ELSE '' END AS name FROM b WHERE root = 'root2' AND id % 3 <> 0 UNION ALL SELECT id + 10000000, name FROM b WHERE root = 'root2' AND id % 7 = 0),
-    o AS (SELECT id, name FROM b WHERE root = 'root2')
-    SELECT coalesce(a.id, o.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'removed' WHEN a.name <> o.name THEN 'changed' ELSE 'same' END AS change, a.name AS name FROM a FULL JOIN o USING (id) UNION ALL SELECT id, 'same', name FROM b WHERE root <> 'root2'""")
+@query("""WITH b AS (SELECT lang AS root, doc_id AS id, source AS name FROM documents WHERE lang IS NOT NULL), a AS (SELECT id, name || CASE WHEN id % 5 = 0 THEN '_v2' ELSE '' END AS name FROM b WHERE root = 'de' AND id % 3 <> 0 UNION ALL SELECT -1 - id, name FROM b WHERE root = 'de' AND id % 7 = 0),
+    o AS (SELECT id, name FROM b WHERE root = 'de')
+    SELECT coalesce(a.id, o.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'removed' WHEN a.name <> o.name THEN 'changed' ELSE 'same' END AS change, a.name AS name FROM a FULL JOIN o USING (id) UNION ALL SELECT id, 'same', name FROM b WHERE root <> 'de'""")
 def c02_stored_reindex(spark, sf_dir):
     """A root indexed anew in one commit: new, changed and vanished units against the version before, other roots untouched."""
-    units = store(spark, sf_dir, "units").where("root is not null").select("id", "root", "name")
+    units = read(spark, sf_dir, "documents").where("lang is not null").select(F.col("doc_id").alias("id"), F.col("lang").alias("root"), F.col("source").alias("name"))
     table = VersionedTable.create(units, shared_folder(spark, "index"), ["id"])
     before = table.head()["version"]
-    own = units.where("root = 'root2'")
+    own = units.where("root = 'de'")
     found = own.where("id % 3 <> 0").withColumn("name", F.when(F.col("id") % 5 == 0, F.concat("name", F.lit("_v2"))).otherwise(F.col("name")))
-    found = found.unionByName(own.where("id % 7 = 0").withColumn("id", F.col("id") + 10_000_000))
+    found = found.unionByName(own.where("id % 7 = 0").withColumn("id", -1 - F.col("id")))
     stays = found.withColumn("there", F.lit(True))
-    vanished = table.read().where("root = 'root2'").join(found, "id", "left_anti").withColumn("there", F.lit(False))
-    table.merge(stays.unionByName(vanished), latest(["root", "name"]), keep=~F.col("has_new") | F.col("new.there"), operation="reindex root2")
+    vanished = table.read().where("root = 'de'").join(found, "id", "left_anti").withColumn("there", F.lit(False))
+    table.merge(stays.unionByName(vanished), latest(["root", "name"]), keep=~F.col("has_new") | F.col("new.there"), operation="reindex de")
     old, new = table.read(before).alias("o"), table.read().alias("n")
     change = F.when(F.col("o.id").isNull(), "added").when(F.col("n.id").isNull(), "removed").when(F.col("n.name") != F.col("o.name"), "changed").otherwise("same")
     return old.join(new, F.col("o.id") == F.col("n.id"), "full").select(F.coalesce("n.id", "o.id").alias("id"), change.alias("change"), F.col("n.name").alias("name"))
 
 
-@query("""WITH t AS (SELECT user_id * 1000 + CAST(props->>'k' AS BIGINT) AS id, event_id, event_type FROM events), l AS (SELECT id, max(event_id) FILTER (event_type = 'signup') AS signup, coalesce(bool_or(event_type = 'error'), false) AS retracted, coalesce(bool_or(event_type = 'purchase'), false) AS restored FROM t GROUP BY 1)
-    SELECT id, CASE WHEN retracted AND NOT restored THEN 0 ELSE signup END AS superseded_by, CASE WHEN retracted AND NOT restored THEN 'retracted' WHEN signup IS NOT NULL THEN 'superseded' ELSE 'live' END AS state FROM l""")
+@query("""WITH l AS (SELECT conv_id AS id, max(turn) FILTER (role = 'assistant') AS said, coalesce(bool_or(length(text) % 3 = 0), false) AS retracted, coalesce(bool_or(length(text) % 7 = 0), false) AS restored FROM conversations GROUP BY 1)
+    SELECT id, CASE WHEN retracted AND NOT restored THEN 0 ELSE said END AS superseded_by, CASE WHEN retracted AND NOT restored THEN 'retracted' WHEN said IS NOT NULL THEN 'superseded' ELSE 'live' END AS state FROM l""")
 def c08_stored_undo(spark, sf_dir):
     """Entries superseded, then a class of changes retracted, then part of it restored to what stood before."""
-    e = events(spark, sf_dir).select((F.col("user_id") * 1000 + F.col("k")).alias("id"), "event_id", "event_type")
-    entries = e.groupBy("id").agg(F.lit(None).cast("bigint").alias("superseded_by"), F.lit(None).cast("bigint").alias("before"), F.lit(False).alias("retracted"))
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "turn", "role", F.length("text").alias("n"))
+    entries = c.groupBy("id").agg(F.lit(None).cast("bigint").alias("superseded_by"), F.lit(None).cast("bigint").alias("before"), F.lit(False).alias("retracted"))
     table = VersionedTable.create(entries, shared_folder(spark, "undo"), ["id"])
     old = lambda c: F.col(f"old.{c}")
-    signups = e.where("event_type = 'signup'").groupBy("id").agg(F.max("event_id").alias("by"))
-    table.merge(signups, {"superseded_by": F.when(F.col("has_new"), F.col("new.by")).otherwise(old("superseded_by"))}, operation="supersede")
-    errors = e.where("event_type = 'error'").select("id").distinct()
+    newer = c.where("role = 'assistant'").groupBy("id").agg(F.max("turn").alias("by"))
+    table.merge(newer, {"superseded_by": F.when(F.col("has_new"), F.col("new.by")).otherwise(old("superseded_by"))}, operation="supersede")
     hit = F.col("has_new") & ~old("retracted")  # what is retracted already stays as it is
-    table.merge(errors, {"before": F.when(hit, old("superseded_by")).otherwise(old("before")), "superseded_by": F.when(hit, 0).otherwise(old("superseded_by")), "retracted": F.col("has_new") | old("retracted")}, operation="retract")
-    purchases = e.where("event_type = 'purchase'").select("id").distinct()
+    retract = {"before": F.when(hit, old("superseded_by")).otherwise(old("before")), "superseded_by": F.when(hit, 0).otherwise(old("superseded_by")), "retracted": F.col("has_new") | old("retracted")}
+    table.merge(c.where("n % 3 = 0").select("id").distinct(), retract, operation="retract")
     back = F.col("has_new") & old("retracted")
-    table.merge(purchases, {"superseded_by": F.when(back, old("before")).otherwise(old("superseded_by")), "before": F.when(~back, old("before")), "retracted": old("retracted") & ~F.col("has_new")}, operation="restore")
+    restore = {"before": F.when(~back, old("before")), "superseded_by": F.when(back, old("before")).otherwise(old("superseded_by")), "retracted": old("retracted") & ~F.col("has_new")}
+    table.merge(c.where("n % 7 = 0").select("id").distinct(), restore, operation="restore")
     state = F.when(F.col("retracted"), "retracted").when(F.col("superseded_by").isNotNull(), "superseded").otherwise("live")
     return table.read().select("id", "superseded_by", state.alias("state"))
 
