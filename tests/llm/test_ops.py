@@ -606,7 +606,7 @@ def brute_language(rows, order=4):
     """Interpolated Kneser-Ney of dictionaries over characters as the operator sees them; rows: (lang, text) that a model is fitted on."""
 
     def seen(text):
-        one = lambda ch: (" " if ch.isspace() else (ch.lower() if len(ch.lower()) == 1 else ch) if ch.isalpha() else "0" if ch.isdigit() else "!") if ord(ch) <= 0xFFFF else ch
+        one = lambda ch: (" " if ch.isspace() else (ch.lower() if len(ch.lower()) == 1 and ord(ch) <= 0xFFFF else ch) if ch.isalpha() else "0" if ch.isdigit() else "!")
         return " " * (order - 1) + "".join(map(one, text))
 
     models = {}
@@ -636,18 +636,20 @@ def brute_language(rows, order=4):
 
 def test_language_brute(spark, small, odd):
     """Scores, choices and rejections as a plain model of dictionaries gives them."""
-    docs = small.where("doc_id < 120")
+    docs = small.where("doc_id < 180")
     model = langid.fit(docs, F.lit(True))
     sample = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64(F.col("doc_id"), F.lit(17)).alias("h")).collect()
-    held = lambda h: (h % (1 << 64) >> 3) % 8 == 0
-    entropy = brute_language([(r.lang, r.text) for r in sample if not held(r.h)])
+    of = Counter(r.lang for r in sample)  # with 40 sampled documents a language holds an eighth out
+    held = lambda r: of[r.lang] >= 40 and (r.h % (1 << 64) >> 3) % 8 == 0
+    entropy = brute_language([(r.lang, r.text) for r in sample if not held(r)])
     own = defaultdict(list)
     for r in sample:
-        if held(r.h) and len(r.text) >= 50:
+        if held(r) and len(r.text) >= 50:
             e = entropy(r.text)
             if min(e, key=lambda x: (e[x], x)) == r.lang:
                 own[r.lang].append(e[r.lang])
     quantile = lambda v, q: sorted(v)[max(0, math.ceil(q * len(v)) - 1)]
+    assert own and min(of.values()) < 40
     limits = {x: quantile(v, 0.5) + max(1.0, 8 * (quantile(v, 0.75) - quantile(v, 0.25))) for x, v in own.items()}
     got = langid.identify(docs.unionByName(odd), model).collect()
     for r in got:
