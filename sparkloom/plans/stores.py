@@ -12,24 +12,32 @@ from sparkloom.sources.tables import read
 
 NL = "chr(10)"
 
-#: Commands and their outputs; calls take one by the number of their event.
-_CALLS = """(VALUES
-    (0, 'cd /work/app && cargo test --all', '---- net::retry stdout ----|thread main panicked at src/net/retry.rs:42:9:|assertion failed: left == right after 3 tries||test result: FAILED. 1 passed; 1 failed'),
-    (1, 'RUST_LOG=debug cargo build', 'error[E0425]: cannot find value `frob_size` in this scope| --> src/lib.rs:10:5||10 . frob_size'),
-    (2, 'sudo -E npm test', ' Tests  2 failed; 189 passed'),
-    (3, 'pytest -q', '== 12 passed in 0.31s ==|ok. all done'),
-    (4, 'ls -la src', 'total 4'),
-    (5, 'env FOO=1 /usr/bin/Python3 -m pytest', 'error: test failed, to rerun pass'),
-    (6, 'git status', 'nothing to commit'),
-    (7, 'cargo check', 'warning: unused|error[E0308]: mismatched types in 3 places|  --> src/a/b/model.rs:7:13'),
-    (8, 'cd /tmp/x; cd y && cargo clippy', 'Finished `dev` profile in 2.1s'),
-    (9, 'grep -rn "fn main" src', 'src/main.rs:1:fn main() {'),
-    (10, 'time cd /a/b', ''),
-    (11, 'nohup ./gradlew build', 'BUILD SUCCESSFUL in 3s'),
-    (12, 'sed -n 10,20p src/lib.rs', 'fn a() {}'),
-    (13, 'sleep 30', 'thread main panicked at lib/pool.rs:9:1:|index out of bounds'),
-    (14, '   ', 'error: no command given')
-    ) AS t(i, command, output)"""
+_V = "CAST({} AS VARCHAR(20))"
+_K, _U = _V.format("k"), _V.format("user_id")
+
+
+def _pick(number: str, choices: list[str]) -> str:
+    """One of several expressions by a number."""
+    return f"CASE {number} % {len(choices)} " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(choices)) + " END"
+
+
+#: A call's command: what leads it, a program and its arguments, each by digits of the event's number; names and numbers are the event's own.
+_LEADS = ["''", f"'cd /work/p' || {_K} || ' && '", "'RUST_LOG=debug '", f"'sudo -E -u u' || {_U} || '; '", f"'env FOO=' || {_K} || ' BAR=x '", f"'cd /tmp/x; cd y' || {_K} || ' && '", "'nohup true;  '"]
+_PROGRAMS = [
+    f"'cargo test  --all -p m' || {_K}", "'cargo build'", "'npm test'", f"'pytest -q tests/test_' || {_K} || '.py'", "'ls -la src'", f"'/usr/bin/Python3 -m pytest -k t' || {_U}", "'git status'", "'cargo check'",
+    "'cargo clippy --fix'", f"'grep -rn \"fn f' || {_K} || '\" src'", "'./gradlew build'", f"'sed -n ' || {_K} || ',200p src/lib.rs'", f"'sleep ' || {_K}", "'   '", f"'go test ./pkg' || {_U} || '/...'", f"'Tools/Run.exe --id ' || {_U} || chr(10) || 'cargo test'",
+]
+_OUTPUTS = [
+    f"'---- net::retry_' || {_K} || ' stdout ----' || chr(10) || 'thread main panicked at src/net/r' || {_U} || '.rs:' || {_K} || ':9:' || chr(10) || 'assertion failed: left_' || {_U} || ' == right after ' || {_K} || ' tries' || chr(10) || chr(10) || 'test result: FAILED. 1 passed; 1 failed'",
+    f"'error[E0425]: cannot find value `sym_' || {_U} || '` in this scope' || chr(10) || ' --> src/m' || {_K} || '/lib.rs:' || {_K} || ':5' || chr(10) || {_K} || ' . frob'",
+    f"' Tests  ' || {_K} || ' failed; ' || {_U} || ' passed'", f"'== ' || {_K} || ' passed in 0.31s ==' || chr(10) || 'ok. all ' || {_U} || ' done'", f"'total ' || {_K}",
+    "'error: test failed, to rerun pass --lib'", "'nothing to commit'", f"'warning: unused' || chr(10) || 'error[E0308]: mismatched types in ' || {_K} || ' places' || chr(10) || '  --> src/a/b/model' || {_U} || '.rs:7:13'",
+    f"'Finished `dev` profile in ' || {_K} || 's'", f"'src/m' || {_U} || '.rs:' || {_K} || ':fn main() {{{{'", f"'BUILD SUCCESSFUL in ' || {_K} || 's'", f"'running' || chr(10) || '    thread t' || {_U} || ' panicked at lib/pool' || {_K} || '.rs:9:1:' || chr(10) || 'test result: FAILED'",
+    f"'thread main panicked at x/y_' || {_U} || '.rs:1:1:' || chr(10) || 'short ' || {_K}", f"'FAILED (errors=' || {_K} || ')' || chr(10) || 'error: no such thing ' || {_U}", "''",
+]
+_DIGIT = "CAST(floor(event_id / {}) AS BIGINT)"
+_COMMAND = "(" + _pick("event_id", _LEADS) + " || " + _pick(_DIGIT.format(7), _PROGRAMS) + ")"
+_OUTPUT = "(" + _pick(_DIGIT.format(3), _OUTPUTS) + ")"
 
 #: Lines of program text around language boundaries.
 _LINES = """(VALUES
@@ -63,8 +71,8 @@ STORES: dict[str, str] = {
     # traps: the benchmark's items, with the identifiers that some of them name
     "traps": """SELECT item_id AS id, text || CASE WHEN item_id IN (3, 23) THEN ' pool_acquire setSize' || CAST(item_id % 4 AS VARCHAR(9)) WHEN item_id IN (7, 27) THEN ' CuboidDef recv_timeout' ELSE '' END AS description,
         CAST(item_id * 50 AS BIGINT) AS added_at FROM {benchmark}""",
-    "calls": f"""SELECT e.event_id AS id, e.user_id, e.user_id || '_' || date_format_day AS sess, e.at AS at, CASE event_type WHEN 'error' THEN 'Bash' WHEN 'view' THEN 'kb__search' WHEN 'click' THEN 'code__outline' WHEN 'signup' THEN 'PowerShell' ELSE 'Edit' END AS tool, t.command, replace(t.output, '|', chr(10)) AS output, e.k
-        FROM (SELECT event_id, user_id, event_type, {{day}} AS date_format_day, {{secs}} AS at, {{k}} AS k FROM {{events}}) e JOIN {_CALLS} ON t.i = e.event_id % 15""",
+    "calls": f"""SELECT e.event_id AS id, e.user_id, CAST(e.user_id AS VARCHAR(20)) || '_' || date_format_day AS sess, e.at AS at, CASE event_type WHEN 'error' THEN 'Bash' WHEN 'view' THEN 'kb__search' WHEN 'click' THEN 'code__outline' WHEN 'signup' THEN 'PowerShell' ELSE 'Edit' END AS tool, {_COMMAND} AS command, {_OUTPUT} AS output, e.known_k AS k
+        FROM (SELECT event_id, user_id, event_type, {{day}} AS date_format_day, {{secs}} AS at, {{k}} AS known_k, coalesce({{k}}, 0) AS k FROM {{events}}) e""",
     "lines": f"""SELECT d.page_id AS id, 'f' || CAST(d.page_id % 40 AS VARCHAR(9)) AS file, d.page_id % 97 AS line, 'o' || CAST(d.page_id % 3 AS VARCHAR(9)) AS origin, t.line AS text FROM {{pages}} d JOIN {_LINES} ON t.i = d.page_id % 16""",
     # journal of changes to units, in order of id
     "journal": """SELECT event_id AS id, e.at AS at, CASE event_type WHEN 'signup' THEN 'added' WHEN 'error' THEN 'removed' ELSE 'changed' END AS change, k * 7 AS unit_id FROM (SELECT event_id, event_type, {secs} AS at, {k} AS k FROM {events}) e WHERE k IS NOT NULL""",
