@@ -1,12 +1,14 @@
-"""Queries that run as streams: captured lines, debounced changes, offers that expire, drafts that come late."""
+"""Queries over foreign and streaming sources: captured lines, debounced changes, offers that expire, late drafts, SQLite files."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.plans.catalog import _E, query
 from sparkloom.sources.capture import captured
-from sparkloom.sources.tables import events, read
+from sparkloom.sources.sqlite import sqlite_table, write_sqlite
+from sparkloom.sources.tables import read
 from sparkloom.streaming import jobs as J
 
 
@@ -58,3 +60,14 @@ def x11_late_drafts_stream(spark, sf_dir):
     e = J.stream_of(spark, f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("long")).where("k is not null")
     drafts = e.select((F.col("user_id") * 1000 + F.col("k")).alias("entry"), F.col("value").alias("written"), F.col("event_id").alias("draft"))
     return J.newest_to(drafts, "entry", "written", "draft", J.shared_folder(spark, "drafts"))
+
+
+@query("SELECT conv_id, turn, length(text) AS chars FROM conversations WHERE role = 'assistant' AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2")
+def s10_s01_sqlite_turns(spark, sf_dir):
+    """The last two answers of each conversation from foreign SQLite files, which are only read; their own engine drops other roles."""
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
+    folder = J.shared_folder(spark, "sqlite")
+    write_sqlite(c.repartition(4, "conv_id"), folder, "turns")
+    turns = sqlite_table(spark, folder, "turns", rangeRows="20000").where("role = 'assistant' and text is not null")
+    place = F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn")))
+    return turns.withColumn("place", place).where("place <= 2").select("conv_id", "turn", F.length("text").alias("chars"))
