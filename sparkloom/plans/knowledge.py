@@ -88,6 +88,7 @@ def p10_graph_candidates(spark, sf_dir):
 
 
 _EXT = "md|markdown|txt|html|htm|rst|adoc|csv|jsonl|log"
+PROSE_FILE, TEST_FILE = rf"\.({_EXT})$", r"(^|/)(tests?|examples?)/|_test\.|\.test\.|_spec\."
 
 
 @query("""WITH f AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'docs/a.MD' WHEN 1 THEN 'src/lib.rs' WHEN 2 THEN 'tests/it.rs' WHEN 3 THEN 'README' ELSE 'x/foo_test.go' END AS path FROM pages)
@@ -96,7 +97,7 @@ def p11_file_classes(spark, sf_dir):
     """Prose by its extension; tests and examples by folder or name."""
     names = F.array(*map(F.lit, ("docs/a.MD", "src/lib.rs", "tests/it.rs", "README", "x/foo_test.go")))
     p = read(spark, sf_dir, "pages").select("page_id", F.element_at(names, (F.col("page_id") % 5 + 1).cast("int")).alias("path"))
-    return p.select("page_id", F.lower("path").rlike(rf"\.({_EXT})$").alias("prose"), F.lower("path").rlike(r"(^|/)(tests?|examples?)/|_test\.|\.test\.|_spec\.").alias("test"))
+    return p.select("page_id", F.lower("path").rlike(PROSE_FILE).alias("prose"), F.lower("path").rlike(TEST_FILE).alias("test"))
 
 
 @query(stores_sql("entries") + " SELECT project, kind, count(*) AS n FROM entries WHERE tags LIKE 'tag1,%' AND project IN (SELECT 'p' || CAST(label % 3 AS VARCHAR) FROM embeddings) GROUP BY 1, 2")

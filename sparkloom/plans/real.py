@@ -165,3 +165,83 @@ def f16_f20_marked_turns(spark, sf_dir):
     read(spark, sf_dir, "conversations").createOrReplaceTempView("_conversations_of_queries")
     c = spark.sql(f"SELECT conv_id, turn, {_MARKED} AS x FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM _conversations_of_queries) s")
     return c.select("conv_id", "turn", F.explode(M.parse(F.col("x"))).alias("m")).select("conv_id", "turn", "m.kind", "m.key", "m.body")
+
+
+# vocabularies, classes, shapes
+
+_SPELL = "CASE page_id % 4 WHEN 0 THEN ' ' || {0} WHEN 1 THEN upper({0}) WHEN 2 THEN replace({0}, '-', '_') || ' ' ELSE replace({0}, '-', ' ') END"
+
+
+def _spelt(words: tuple[str, ...], number: str) -> str:
+    """A word of a list by a number, spelt in one of four ways."""
+    return _SPELL.format(f"(CASE {number} % {len(words)} " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(words)) + " END)")
+
+
+_WORDS = {
+    "origin": (P.PROVENANCE, (*P.PROVENANCE, "physics", "nobody knows", "")),
+    "evidence": (P.EVIDENCE, (*P.EVIDENCE, "measured", "hearsay")),
+    "state": (P.STATUS, (*P.STATUS, "open", "holds")),
+}
+_TEST = "CASE page_id % 6 WHEN 0 THEN 'run ' || CAST(page_id % 90 AS VARCHAR(9)) || ' min on it' WHEN 1 THEN '(~' || CAST(page_id % 9 AS VARCHAR(9)) || '.5 h)' WHEN 2 THEN 'v' || CAST(page_id AS VARCHAR(20)) || '.0.' || CAST(page_id % 7 AS VARCHAR(9)) || ' m' WHEN 3 THEN CAST(page_id % 5 AS VARCHAR(9)) || '-days, or ' || CAST(page_id AS VARCHAR(20)) || ' hours' WHEN 4 THEN CASE WHEN page_id % 4 = 0 THEN 'Half a Day' ELSE 'an hour' END || ' or 3 m' ELSE CAST(page_id AS VARCHAR(20)) || ' meters' END"
+_DATE = "CASE page_id % 5 WHEN 0 THEN '20' || lpad(CAST(page_id % 99 AS VARCHAR(9)), 2, '0') WHEN 1 THEN '2024-' || lpad(CAST(page_id % 15 AS VARCHAR(9)), 2, '0') WHEN 2 THEN ' 2023-02-' || lpad(CAST(page_id % 33 AS VARCHAR(9)), 2, '0') || ' ' WHEN 3 THEN '2024-1-' || CAST(page_id % 31 AS VARCHAR(9)) ELSE coalesce(substring(url, 1, 10), '') END"
+_ROW = ", ".join([*(f"{_spelt(words, f'CAST(floor(page_id / 4) AS BIGINT)')} AS {n}" for n, (_, words) in _WORDS.items()), f"{_TEST} AS test", f"{_DATE} AS day"])
+
+
+def _usual(column: str, table: dict[str, str]) -> str:
+    slug = f"regexp_replace(regexp_replace(lower(trim({column})), '[ _]', '-', 'g'), '^$', '')"
+    return f"coalesce(map {{{', '.join(f'{_q(k)}: {_q(v)}' for k, v in table.items())}}}[{slug}], {slug})"
+
+
+_NUMBER = r"'(?:^|[^0-9.])([0-9]+(?:\.[0-9]+)?)[ -]*(min|mins|minutes|minute|m|hours|hour|hrs|hr|h|days|day)(?:[^a-z]|$)'"
+
+
+@query(f"""WITH w AS (SELECT page_id, {_ROW} FROM pages), n AS (SELECT *, regexp_extract(lower(test), {_NUMBER}, 1) AS n, regexp_extract(lower(test), {_NUMBER}, 2) AS u, trim(day) AS d FROM w)
+    SELECT page_id, {", ".join(f"{_usual(n, table)} AS {n}" for n, (table, _) in _WORDS.items())},
+    CASE WHEN contains(lower(test), 'half a day') THEN 240 WHEN contains(lower(test), 'half an hour') THEN 30 WHEN contains(lower(test), 'an hour') THEN 60 WHEN contains(lower(test), 'a day') THEN 480 WHEN n <> '' THEN round(CAST(n AS DOUBLE) * CASE u[1] WHEN 'm' THEN 1 WHEN 'h' THEN 60 ELSE 480 END)::INT END AS minutes,
+    regexp_full_match(d, '[0-9]{{4}}') OR (regexp_full_match(d, '[0-9]{{4}}-[0-9]{{2}}') AND try_strptime(d || '-01', '%Y-%m-%d') IS NOT NULL) OR (regexp_full_match(d, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_strptime(d, '%Y-%m-%d') IS NOT NULL) AS valid FROM n""")
+def f21_f36_f37_spelt_words(spark, sf_dir):
+    """Whole vocabularies in four spellings each, minutes in phrases with numbers of all kinds, and dates of which many aren't."""
+    w = _sql(spark, sf_dir, "pages", f"page_id, {_ROW}")
+    return w.select("page_id", *(P.alias(F.col(n), table).alias(n) for n, (table, _) in _WORDS.items()), P.minutes(F.col("test")).alias("minutes"), P.valid_date(F.col("day")).alias("valid"))
+
+
+_FILE = "CASE page_id % 9 WHEN 0 THEN 'Tests/' WHEN 1 THEN 'a/example/' WHEN 2 THEN 'contests/' WHEN 3 THEN 'x/examples/y/' ELSE 'src/' END || coalesce(regexp_replace(url, '^.*/', ''), '') || CASE CAST(floor(page_id / 9) AS BIGINT) % 10 WHEN 0 THEN '.MD' WHEN 1 THEN '_test.go' WHEN 2 THEN '.test.ts' WHEN 3 THEN '_spec.rb' WHEN 4 THEN '.htm' WHEN 5 THEN '.html.erb' WHEN 6 THEN '.jsonl' WHEN 7 THEN '.rs' WHEN 8 THEN 'txt' ELSE '' END"
+
+
+@query(f"""WITH f AS (SELECT page_id, lower({_FILE}) AS p FROM pages) SELECT page_id, contains(p, '.') AND list_contains(['md', 'markdown', 'txt', 'html', 'htm', 'rst', 'adoc', 'csv', 'jsonl', 'log'], string_split(p, '.')[-1]) AS prose,
+    len(list_filter(string_split(p, '/')[1:-2], lambda x: x IN ('test', 'tests', 'example', 'examples'))) > 0 OR contains(p, '_test.') OR contains(p, '.test.') OR contains(p, '_spec.') AS test FROM f""")
+def p11_file_kinds(spark, sf_dir):
+    """Prose by its extension, tests and examples by folder or name, over paths with the tables' own names."""
+    from sparkloom.plans.knowledge import PROSE_FILE, TEST_FILE
+
+    return _sql(spark, sf_dir, "pages", f"page_id, lower({_FILE}) AS p").select("page_id", F.col("p").rlike(PROSE_FILE).alias("prose"), F.col("p").rlike(TEST_FILE).alias("test"))
+
+
+_SIG = "CASE WHEN turn % 2 = 0 THEN 'assert:' ELSE 'rust:E' || CAST(turn AS VARCHAR(9)) || ':' END || substring(coalesce(text, ''), 1, 12) || CASE WHEN conv_id % 3 = 0 THEN '@t' || CAST(conv_id AS VARCHAR(20)) ELSE '' END"
+
+
+@query(f"SELECT conv_id, turn, sig FROM (SELECT conv_id, turn, {_SIG} AS sig FROM conversations) WHERE NOT (starts_with(sig, 'assert:') AND NOT contains(sig, '@'))")
+def p14_legacy_signatures(spark, sf_dir):
+    """Signatures of an older shape go: those of assertions without a place."""
+    sig = F.col("sig")
+    return _sql(spark, sf_dir, "conversations", f"conv_id, turn, {_SIG} AS sig").where(~(sig.like("assert:%") & ~sig.like("%@%")))
+
+
+_REASON = "CASE (conv_id * 3 + turn) % 6 WHEN 0 THEN 'duplicate of ' WHEN 1 THEN 'syntax: ' WHEN 2 THEN 'credibility 0.' WHEN 3 THEN 'survival ' WHEN 4 THEN ' duplicate ' ELSE '' END || CAST(turn AS VARCHAR(9)) || substring(coalesce(text, ''), 1, 5)"
+
+
+@query(f"SELECT coalesce(nullif(regexp_extract(r, '^(duplicate|syntax|credibility|survival)', 1), ''), 'unknown') AS kind, count(*) AS n, count(DISTINCT r) AS reasons FROM (SELECT {_REASON} AS r FROM conversations) GROUP BY 1")
+def a19_l10_rejection_reasons(spark, sf_dir):
+    """Reasons of rejection by how they begin, with how many different ones there are."""
+    kind = F.coalesce(*[F.when(F.col("r").startswith(p), p) for p in ("duplicate", "syntax", "credibility", "survival")], F.lit("unknown"))
+    return _sql(spark, sf_dir, "conversations", f"{_REASON} AS r").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("r").alias("reasons"))
+
+
+_BLOCK = "repeat(' ', CAST(1 + conv_id % 5 AS INT)) || replace(substring(coalesce(text, ''), 1, 60), ' ', chr(10) || repeat(' ', CAST(1 + turn % 4 AS INT))) || chr(10) || '  ' || chr(10)"
+
+
+@query(f"""WITH b AS (SELECT conv_id, turn, string_split({_BLOCK}, chr(10)) AS ls FROM conversations), n AS (SELECT *, coalesce(list_min(list_transform(list_filter(ls, lambda x: trim(x, ' ') <> ''), lambda x: length(x) - length(ltrim(x, ' ')))), 0) AS n FROM b)
+    SELECT conv_id, turn, array_to_string(list_transform(ls, lambda x: CASE WHEN trim(x, ' ') = '' THEN '' ELSE substring(x, n + 1) END), chr(10)) AS dedented FROM n""")
+def f30_dedented_turns(spark, sf_dir):
+    """Blocks of lines with indents of their own, without what all lines share."""
+    return _sql(spark, sf_dir, "conversations", f"conv_id, turn, {_BLOCK} AS b").select("conv_id", "turn", X.dedent(F.col("b")).alias("dedented"))
