@@ -191,12 +191,12 @@ def j22_j23_item_at(spark, sf_dir):
     return n.select("id", at.alias("item_line"), nearest.alias("nearest"))
 
 
-@query("""WITH s AS (SELECT l_suppkey AS f, l_orderkey AS id, l_orderkey - l_orderkey % 40 AS s, l_orderkey - l_orderkey % 40 + 3 + l_linenumber * 6 AS e FROM lineitem WHERE l_linenumber <= 6),
+@query("""WITH s AS (SELECT l_suppkey AS f, l_orderkey AS id, l_orderkey - l_orderkey % 40 AS s, l_orderkey - l_orderkey % 40 + 3 + l_linenumber * 6 AS e FROM lineitem),
     d AS (SELECT DISTINCT f, s, e FROM s), q AS (SELECT DISTINCT f, id AS line FROM s)
     SELECT q.f, q.line, min(d.e - d.s) AS size, count(*) AS around FROM q JOIN d ON d.f = q.f AND q.line BETWEEN d.s AND d.e GROUP BY 1, 2""")
 def j24_innermost(spark, sf_dir):
     """The smallest interval around a line, and how many there are; intervals are met in cells of forty lines, not file by file."""
-    l = read(spark, sf_dir, "lineitem").where("l_linenumber <= 6")  # noqa: E741
+    l = read(spark, sf_dir, "lineitem")  # noqa: E741
     s = l.select(F.col("l_suppkey").alias("f"), F.col("l_orderkey").alias("id"), (F.col("l_orderkey") - F.col("l_orderkey") % 40).alias("s"), "l_linenumber")
     d = s.select("f", "s", (F.col("s") + 3 + F.col("l_linenumber") * 6).alias("e")).distinct()
     d = d.withColumn("cell", F.explode(F.sequence(F.floor(F.col("s") / 40), F.floor(F.col("e") / 40))))
@@ -272,19 +272,19 @@ def j32_tool_results(spark, sf_dir):
     return u.join(r, "use_id", "left").select("use_id", (F.col("done") - F.col("at")).alias("took"), "chars")
 
 
-@query(stores_sql("gaps") + """ SELECT o.id, max(p.at) AS earlier FROM gaps o JOIN gaps p ON p.query = o.query AND p.tool = o.tool AND p.session <> o.session AND p.at < o.at - 60 WHERE o.session % 10 = 0 GROUP BY 1""")
+@query(stores_sql("gaps") + """ SELECT o.id, max(p.at) AS earlier FROM gaps o JOIN gaps p ON p.query = o.query AND p.tool = o.tool AND p.session <> o.session AND p.at < o.at - 3600 GROUP BY 1""")
 def j33_recurrence(spark, sf_dir):
-    """The last earlier push of the same topic in another session, more than a minute ago.
+    """The last earlier push of the same topic in another session, more than an hour ago.
 
     Of all earlier rows only the last of two different sessions matter: one of them is another session's.
     """
     g = store(spark, sf_dir, "gaps")
-    w = W.partitionBy("query", "tool").orderBy("at").rangeBetween(W.unboundedPreceding, -61)
+    w = W.partitionBy("query", "tool").orderBy("at").rangeBetween(W.unboundedPreceding, -3601)
     # the last row before the run of the last one's session
     change = g.withColumn("prev", F.lag("session").over(W.partitionBy("query", "tool").orderBy("at", "id")))
     change = change.withColumn("before_run", F.when(F.col("prev") != F.col("session"), F.lag("at").over(W.partitionBy("query", "tool").orderBy("at", "id"))))
     run = change.withColumn("run_before", F.last("before_run", True).over(W.partitionBy("query", "tool").orderBy("at", "id").rowsBetween(W.unboundedPreceding, 0)))
-    seen = run.withColumn("l", F.max(F.struct("at", "session", "run_before")).over(w)).where("session % 10 = 0 and l is not null")
+    seen = run.withColumn("l", F.max(F.struct("at", "session", "run_before")).over(w)).where("l is not null")
     earlier = F.when(F.col("l.session") != F.col("session"), F.col("l.at")).otherwise(F.col("l.run_before"))
     return seen.select("id", earlier.alias("earlier")).where("earlier is not null")
 

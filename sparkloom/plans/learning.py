@@ -256,7 +256,7 @@ def r19_w11_context_packet(spark, sf_dir):
     return out.select("z.rows.section", "z.rows.id", "z.rows.score", "z.rows.cost", F.col("z.took").alias("admitted"))
 
 
-@query("""WITH n AS (SELECT doc_id, generate_subscripts(string_split(text, '. '), 1) AS i, unnest(string_split(text, '. ')) AS note FROM documents WHERE lang = 'en'),
+@query("""WITH n AS (SELECT doc_id, generate_subscripts(string_split(text, '. '), 1) AS i, unnest(string_split(text, '. ')) AS note FROM documents),
     s AS (SELECT *, contains(lower(note), 'than')::INT + contains(lower(note), 'thereat')::INT + contains(lower(note), 'ering')::INT AS score FROM n), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS place FROM s)
     SELECT doc_id, count(*) AS notes, count(*) FILTER (score > 0) AS matched, count(*) FILTER (score > 0 AND place <= 3) AS expanded FROM p GROUP BY 1""")
 def r20_m29_note_tiers(spark, sf_dir):
@@ -264,7 +264,7 @@ def r20_m29_note_tiers(spark, sf_dir):
     terms = ("than", "thereat", "ering")
     notes = F.split("text", r"\. ")
     score = lambda x: sum(F.contains(F.lower(x), F.lit(t)).cast("int") for t in terms)
-    d = read(spark, sf_dir, "documents").where("lang = 'en' and text is not null").select("doc_id", F.transform(notes, score).alias("s"))
+    d = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.transform(notes, score).alias("s"))
     hit = F.size(F.filter("s", lambda x: x > 0)).cast("long")
     return d.select("doc_id", F.size("s").cast("long").alias("notes"), hit.alias("matched"), F.least(hit, F.lit(3).cast("long")).alias("expanded"))
 
@@ -364,10 +364,10 @@ def l18_m20_disputes(spark, sf_dir):
     return s.select("entry", F.coalesce(F.col("raised") > F.coalesce("settled", F.lit(-1)), F.lit(False)).alias("disputed"))
 
 
-@query("WITH q AS (SELECT doc_id AS id, 'label' AS origin FROM labels WHERE toxic = 1 UNION ALL SELECT item_id, 'item' FROM benchmark WHERE item_id % 4 = 0) SELECT id, origin FROM q ORDER BY md5(origin || id), id LIMIT 30")
+@query("WITH q AS (SELECT doc_id AS id, 'label' AS origin FROM labels WHERE toxic = 1 UNION ALL SELECT item_id, 'item' FROM benchmark) SELECT id, origin FROM q ORDER BY md5(origin || id), id LIMIT 30")
 def l20_review_queue(spark, sf_dir):
     """Thirty questions of several sources in an order that a seed fixes."""
-    q = read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"), F.lit("label").alias("origin")).union(read(spark, sf_dir, "benchmark").where("item_id % 4 = 0").select("item_id", F.lit("item")))
+    q = read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"), F.lit("label").alias("origin")).union(read(spark, sf_dir, "benchmark").select("item_id", F.lit("item")))
     return q.orderBy(F.md5(F.concat("origin", F.col("id").cast("string"))), "id").limit(30)
 
 

@@ -245,3 +245,24 @@ _BLOCK = "repeat(' ', CAST(1 + conv_id % 5 AS INT)) || replace(substring(coalesc
 def f30_dedented_turns(spark, sf_dir):
     """Blocks of lines with indents of their own, without what all lines share."""
     return _sql(spark, sf_dir, "conversations", f"conv_id, turn, {_BLOCK} AS b").select("conv_id", "turn", X.dedent(F.col("b")).alias("dedented"))
+
+
+# preference tiers
+
+_TERMS = ("than", "che", "nich", "para")
+_SCORE = " + ".join(f"contains(lower(note), '{t}')::INT" for t in _TERMS)
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, string_split(text, '. ') AS notes FROM conversations WHERE text IS NOT NULL),
+    e AS (SELECT conv_id, turn, unnest(notes) AS note, generate_subscripts(notes, 1) AS i FROM c), s AS (SELECT *, {_SCORE} AS score, trim(replace(note, chr(10), ' '), ' ') AS flat FROM e),
+    p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, i) AS place, instr(flat, '. ') AS stop, substring(flat, 1, 40) AS head FROM s),
+    t AS (SELECT *, score > 0 AND place <= 3 AS whole, CASE WHEN score > 0 AND place <= 3 THEN note WHEN stop BETWEEN 1 AND 40 THEN substring(flat, 1, stop) || ' …' WHEN length(flat) <= 40 THEN flat WHEN contains(head, ' ') THEN rtrim(substring(head, 1, length(head) - instr(reverse(head), ' ')), ' ') || ' …' ELSE head || ' …' END AS shown FROM p)
+    SELECT conv_id, turn, string_agg('- ' || shown, chr(10) ORDER BY i) AS text, count(*) FILTER (NOT whole) AS collapsed FROM t GROUP BY 1, 2""")
+def r20_note_text(spark, sf_dir):
+    """Notes of a text for a hint: the three that match best are whole and in their place, of the others the first clause."""
+    notes = F.split("text", r"\. ")
+    score = lambda x: sum((F.contains(F.lower(x), F.lit(t)).cast("int") for t in _TERMS), F.lit(0))
+    ranked = F.array_sort(F.filter(F.transform(notes, lambda x, i: F.struct((-score(x)).alias("s"), i.alias("i"))), lambda r: r["s"] < 0))
+    c = read(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", notes.alias("notes"), F.transform(F.slice(ranked, 1, 3), lambda r: r["i"]).alias("best"))
+    shown = F.transform("notes", lambda x, i: F.concat(F.lit("- "), F.when(F.array_contains("best", i), x).otherwise(P.first_clause(x, 40))))
+    return c.select("conv_id", "turn", F.array_join(shown, "\n").alias("text"), (F.size("notes") - F.size("best")).cast("long").alias("collapsed"))
