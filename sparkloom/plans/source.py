@@ -1,4 +1,4 @@
-"""Queries over program text made around the tables' addresses: references in code, comments and strings, and shaders in literals."""
+"""Queries over program text made around the tables' addresses, and over shell commands that read it."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions import navigation as N
 from sparkloom.functions import source as S
 from sparkloom.plans.catalog import query
+from sparkloom.plans.stores import store, stores_sql
 from sparkloom.sources.tables import read
 
 _A = "'get_' || l || CAST(page_id % 37 AS VARCHAR(9))"
@@ -56,3 +58,14 @@ _SHADERS = _sql_text(next(t for n, part, t in _PIECES if n == 6 and part == "str
 def e05_shader_literals(spark, sf_dir):
     """Literals that hold shader text, with the line each starts on; breaks inside plain ones become blanks."""
     return _programs(spark, sf_dir).select("page_id", F.explode(S.shader_literals(F.col("text"))).alias("s")).select("page_id", "s.line", "s.text")
+
+
+_CALL = r"'^((?:cd [^ ;&]+(?:; | && ))*)(grep -rn (\"[^\"]*\") ([a-z]+)|sed -n ([1-9][0-9]*),([0-9]+)p ([a-z./]+))$'"
+
+
+@query(stores_sql("calls") + f""", c AS (SELECT id, trim(command) AS c FROM calls), m AS (SELECT id, c, {", ".join(f"regexp_extract(c, {_CALL}, {i}) AS g{i}" for i in (1, 3, 4, 5, 6, 7))} FROM c WHERE regexp_matches(c, {_CALL}))
+    SELECT id, g1 || CASE WHEN g3 <> '' THEN 'nav search --basic -- ' || g3 || ' ' || g4 ELSE 'nav lines ' || g5 || '-' || g6 || ' -- ' || g7 END AS command, CASE WHEN g3 <> '' THEN 'search' ELSE 'read' END AS kinds FROM m WHERE g3 <> '' OR CAST(g6 AS INT) >= CAST(g5 AS INT)""")
+def f32_navigation_calls(spark, sf_dir):
+    """Shell commands that are searches or reads of lines as navigation calls; the others run as they are."""
+    found = store(spark, sf_dir, "calls").select("id", N.rewritten(F.col("command")).alias("r")).where("r is not null")
+    return found.select("id", "r.command", F.array_join("r.kinds", ",").alias("kinds"))
