@@ -26,6 +26,24 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return found
 
 
+def reachable(edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
+    """a, b, reached for each distinct pair: whether b is within depth steps of a (itself in none).
+
+    Searches from all starts run together, a level at a time; a level has a row for each start and node it first sees.
+    """
+    tables = Tables(edges.sparkSession, "reachable")
+    steps = tables.written(edges.select("from_id", "to_id").distinct())
+    pairs = tables.written(pairs.select("a", "b").distinct())
+    level = tables.written(pairs.select(F.col("a").alias("root"), F.col("a").alias("node")).distinct())
+    found = level
+    for _ in range(depth):
+        new = level.join(steps, level.node == steps.from_id).select("root", F.col("to_id").alias("node")).distinct()
+        level = tables.written(new.join(found, ["root", "node"], "left_anti"))
+        found = found.union(level)
+    hit = found.select(F.col("root").alias("a"), F.col("node").alias("b"), F.lit(True).alias("hit"))
+    return pairs.join(hit, ["a", "b"], "left").select("a", "b", F.coalesce("hit", F.lit(False)).alias("reached"))
+
+
 def subgraph(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """The edges that leave nodes nearer than depth to the roots, with the distance of their start; those to nodes seen before too."""
     near = reach(edges, roots, depth - 1) if depth > 1 else roots.select("node", F.lit(0).alias("distance"))

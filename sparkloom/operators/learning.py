@@ -23,7 +23,7 @@ def leaders(items: DataFrame, pairs: DataFrame, key: str, order: str) -> DataFra
     both = pairs.select("a", "b", "cosine").union(pairs.select("b", "a", "cosine"))
     near = both.join(place.select(F.col("k").alias("a"), F.col("o").alias("oa")), "a").join(place.select(F.col("k").alias("b"), F.col("o").alias("ob")), "b")
     earlier = tables.written(near.where("ob < oa").select("a", "b", "ob", "cosine"))  # b comes before a
-    open_, decided = tables.written(place.select("k")), None
+    open_, decided, rounds = tables.written(place.select("k")), None, 0
     while open_.limit(1).count():
         state = open_.withColumn("leads", F.lit(None).cast("boolean"))
         known = state if decided is None else state.unionByName(decided)
@@ -32,7 +32,9 @@ def leaders(items: DataFrame, pairs: DataFrame, key: str, order: str) -> DataFra
         joined = open_.join(verdict.withColumnRenamed("a", "k"), "k", "left")
         follows, waits = F.coalesce("follows", F.lit(False)), F.coalesce("waits", F.lit(False))
         now = tables.written(joined.where(follows | ~waits).select("k", (~follows).alias("leads")))
-        decided = now if decided is None else decided.unionByName(now)
+        decided, rounds = now if decided is None else decided.unionByName(now), rounds + 1
+        if rounds % 8 == 0:  # or a long chain's plan reads a table for each round
+            decided = tables.written(decided)
         open_ = tables.written(open_.join(now, "k", "left_anti"))
     decided = open_.withColumn("leads", F.lit(True)) if decided is None else decided
     followed = earlier.join(decided.where("leads").select(F.col("k").alias("b")), "b", "left_semi").join(decided.where("not leads").select(F.col("k").alias("a")), "a", "left_semi")

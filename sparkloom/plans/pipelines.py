@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sparkloom.operators import graph as G
 from sparkloom.operators import learning as L
 from sparkloom.operators.stages import Pipeline, Stage
-from sparkloom.plans.catalog import _E, query
-from sparkloom.sources.tables import events, read
+from sparkloom.plans.catalog import _E, _G, query
+from sparkloom.plans.stores import store, stores_sql
+from sparkloom.sources.tables import events, graph, read
 from sparkloom.sources.work import files_mark
 from sparkloom.streaming.jobs import shared_folder
 
@@ -195,3 +197,35 @@ def l26_staged_closeout(spark, sf_dir):
     """The seven steps that close sessions, run to the credits, and taken up from there by a second run."""
     tables, _ = _resumed(spark, sf_dir, "closeout", CLOSEOUT, "credits")
     return tables["closed"]
+
+
+# what is asked of the graph and the units, from tables
+
+
+@query(_G + """, q AS (SELECT DISTINCT 'o:' || o_orderkey AS a, CASE o_orderkey % 4 WHEN 0 THEN 'r:' || o_orderkey % 5 WHEN 1 THEN 'n:' || o_orderkey % 25 WHEN 2 THEN 'c:' || o_custkey ELSE 'o:' || o_orderkey END AS b FROM orders UNION SELECT 's:' || s_suppkey, 'r:' || s_suppkey % 6 FROM supplier),
+    p AS (SELECT DISTINCT a AS root, a AS node, 0 AS d FROM q UNION ALL SELECT root, to_id, d + 1 FROM p JOIN g ON from_id = node WHERE d < 4) SELECT a, b, EXISTS (SELECT 1 FROM p WHERE p.root = q.a AND p.node = q.b) AS reached FROM q""")
+def g09_reachable_pairs(spark, sf_dir):
+    """Whether each order reaches a region, nation, customer or itself, and each supplier a region, within four steps."""
+    key = lambda a, c: F.concat(F.lit(a), c.cast("string"))
+    o, s = F.col("o_orderkey"), F.col("s_suppkey")
+    to = F.when(o % 4 == 0, key("r:", o % 5)).when(o % 4 == 1, key("n:", o % 25)).when(o % 4 == 2, key("c:", F.col("o_custkey"))).otherwise(key("o:", o))
+    pairs = read(spark, sf_dir, "orders").select(key("o:", o).alias("a"), to.alias("b")).union(read(spark, sf_dir, "supplier").select(key("s:", s), key("r:", s % 6)))
+    return G.reachable(graph(spark, sf_dir), pairs, 4)
+
+
+@query(_G + """, m AS (SELECT 'o:' || l_orderkey AS from_id, 's:' || l_suppkey AS to_id, CASE l_returnflag WHEN 'A' THEN 'uses' WHEN 'R' THEN 'owns' ELSE 'likes' END AS relation FROM lineitem) SELECT from_id, to_id, relation FROM g UNION SELECT * FROM m WHERE relation IN ('uses', 'owns', 'derived_from', 'implements')""")
+def g05_added_edges(spark, sf_dir):
+    """Edges from the lines of orders added to the graph, if their relation is allowed; each edge once."""
+    relation = F.when(F.col("l_returnflag") == "A", "uses").when(F.col("l_returnflag") == "R", "owns").otherwise("likes")
+    added = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("o:"), F.col("l_orderkey")).alias("from_id"), F.concat(F.lit("s:"), F.col("l_suppkey")).alias("to_id"), relation.alias("relation"))
+    return graph(spark, sf_dir).union(added.where(F.col("relation").isin("uses", "owns", "derived_from", "implements"))).distinct()
+
+
+@query(stores_sql("units", "entries") + """, w AS (SELECT id AS hint, unnest(list_distinct(regexp_extract_all(body, '[A-Za-z0-9_]+'))) AS name FROM entries), n AS (SELECT name, arg_min(summary, id) AS summary FROM units GROUP BY 1), l AS (SELECT hint, string_agg(name || ': ' || summary, chr(10) ORDER BY name) AS l, count(*) AS named FROM w JOIN n USING (name) GROUP BY 1)
+    SELECT hint AS id, l AS added, named FROM l""")
+def m28_entry_hints(spark, sf_dir):
+    """Entries that name units, with the units' summaries."""
+    n = store(spark, sf_dir, "units").groupBy("name").agg(F.min_by("summary", "id").alias("summary"))
+    w = store(spark, sf_dir, "entries").select("id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit("[A-Za-z0-9_]+"), 0))).alias("name")).join(n, "name")
+    lines = F.array_sort(F.collect_list(F.struct("name", F.concat_ws(": ", "name", "summary").alias("l"))))  # the names of one entry
+    return w.groupBy("id").agg(F.array_join(F.transform(lines, lambda x: x["l"]), "\n").alias("added"), F.count("*").alias("named"))

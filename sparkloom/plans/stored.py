@@ -93,3 +93,20 @@ def s27_stored_migration(spark, sf_dir):
     table.release()
     backup = table.read(0).select("doc_id", F.lit(True).alias("first_level"))
     return table.read().join(backup, "doc_id", "left").select("doc_id", "lang", "hash", "tokens", F.coalesce("first_level", F.lit(False)).alias("first_level"))
+
+
+@query("""WITH p AS (SELECT page_id, sha256(coalesce(url, '') || '|v1') AS key, length(html) AS chars FROM pages), d AS (SELECT key, max(page_id) AS put_at, arg_max(chars, page_id) AS chars, count(*) FILTER (page_id % 3 = 0) AS hits FROM p GROUP BY 1),
+    n AS (SELECT count(*) AS n FROM d) SELECT key, put_at, chars, hits FROM d QUALIFY row_number() OVER (ORDER BY put_at DESC) <= (SELECT n - n // 4 FROM n)""")
+def s21_stored_cache(spark, sf_dir):
+    """Answers put in a stored cache by the digest of what was asked and the index version, read, and the oldest quarter evicted."""
+    p = read(spark, sf_dir, "pages").select("page_id", F.sha2(F.concat(F.coalesce("url", F.lit("")), F.lit("|v1")), 256).alias("key"), F.length("html").alias("chars"))
+    put = p.groupBy("key").agg(F.max("page_id").alias("put_at"), F.max_by("chars", "page_id").alias("chars"))  # the last answer put counts
+    table = VersionedTable.create(put.limit(0).withColumn("hits", F.lit(0).cast("bigint")), shared_folder(spark, "cache"), ["key"])
+    fresh = latest(["put_at", "chars"]) | {"hits": F.when(F.col("has_new"), 0).otherwise(F.col("old.hits"))}
+    table.merge(put, fresh, operation="put")
+    got = p.where("page_id % 3 = 0").groupBy("key").agg(F.count("*").alias("n"))
+    table.merge(got, {"hits": F.coalesce("old.hits", F.lit(0)) + F.coalesce("new.n", F.lit(0))}, keep=F.col("has_old"), operation="get")
+    there = table.read()
+    oldest = there.orderBy("put_at").limit(there.count() // 4).select("key")
+    table.merge(oldest, {}, keep=~F.col("has_new"), operation="evict")
+    return table.read()

@@ -151,3 +151,23 @@ def test_debounced_stream(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     got = jobs.append_to(jobs.debounced(jobs.stream_of(spark, str(tmp_path / "in")), "path", "at"), f"file://{tmp_path}/job")
     assert Counter(r.path for r in got.collect()) == {"a": 1, "b": 1}
+
+
+def test_leaders_of_a_long_chain(spark):
+    """Each item is like the one before: rounds as long as the chain, and decided ones are gathered on the way."""
+    from sparkloom.operators import learning as L
+
+    n = 20
+    items = spark.createDataFrame([(i, i) for i in range(n)], "id int, o int")
+    pairs = spark.createDataFrame([(i, i + 1, 0.9) for i in range(n - 1)], "a int, b int, cosine double")
+    got = {r.id: r.leader for r in L.leaders(items, pairs, "id", "o").collect()}
+    assert got == {i: i - i % 2 for i in range(n)}
+
+
+def test_reachable_with_cycles(spark):
+    from sparkloom.operators import graph as G
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "e")], "from_id string, to_id string")
+    pairs = spark.createDataFrame([("a", "a"), ("a", "d"), ("a", "e"), ("b", "e"), ("x", "x"), ("e", "a"), ("a", "d")], "a string, b string")
+    got = {(r.a, r.b): r.reached for r in G.reachable(edges, pairs, 3).collect()}
+    assert got == {("a", "a"): True, ("a", "d"): True, ("a", "e"): False, ("b", "e"): True, ("x", "x"): True, ("e", "a"): False}
