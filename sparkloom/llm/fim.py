@@ -136,7 +136,7 @@ def fill_in_middle(docs: DataFrame, seed: int = 1) -> DataFrame:
         for batch in batches:
             batch = batch.filter(pa.array(~hit(batch)))
             ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            for lo, hi in blocks([len(t) for t in texts], 8 << 20):
+            for lo, hi in blocks([len(t) for t in texts]):
                 yield _cut_rows(ids[lo:hi], texts[lo:hi], [boundary_list(t) for t in texts[lo:hi]], seed, out_arrow)
 
     several = keyed.mapInArrow(lambda batches: (b.filter(pa.array(hit(b))) for b in batches), keyed.schema).drop("low")
@@ -151,9 +151,10 @@ def fill_in_middle(docs: DataFrame, seed: int = 1) -> DataFrame:
     def cut(batches):
         for batch in batches:
             ids, texts, lists = batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()
-            for lo, hi in blocks([len(t) for t in texts], 8 << 20):
+            for lo, hi in blocks([len(t) for t in texts]):
                 yield _cut_rows(ids[lo:hi], texts[lo:hi], lists[lo:hi], seed, out_arrow)
 
-    index = several.select("digest", "text").distinct().mapInArrow(build, index_schema)
+    # written, so that a task never holds the workers of two steps at once
+    index = work.table(several.select("digest", "text").distinct().mapInArrow(build, index_schema), "index")
     joined = several.join(index, ["digest", "text"]).select("doc_id", "text", "boundaries")
     return keyed.mapInArrow(alone, out).unionByName(joined.mapInArrow(cut, out))
