@@ -45,12 +45,17 @@ SECRET_PREFIXES = (
 
 
 def redact(text: Column, most_bytes: int = 8192, reserve: int = 48) -> Column:
-    """Masks key blocks and credentials, keeps their prefix; longer texts are cut with a note. Doing it twice changes nothing."""
+    """Masks key blocks and credentials, keeps their prefix. Doing it twice changes nothing.
+
+    Longer texts are cut before a whole character and end with a note that says how many bytes are gone; the reserve has room for it.
+    """
     out = F.regexp_replace(text, r"(?s)-----BEGIN.*?-----END[^\n]*", "[REDACTED key block]")
     out = F.regexp_replace(out, r"(?<![A-Za-z0-9_-])(" + "|".join(SECRET_PREFIXES) + r")[A-Za-z0-9_-]{12,}", "$1[REDACTED]")
-    kept = most_bytes - reserve
-    cut = F.concat(F.substring(out, 1, kept), F.lit("...["), (F.length(out) - kept).cast("string"), F.lit(" characters truncated]"))
-    return F.when(text.startswith('{"_redacted":'), text).when(F.length(out) > most_bytes, cut).otherwise(out)
+    raw, kept = F.encode(out, "UTF-8"), most_bytes - reserve
+    goes_on = lambda n: F.hex(F.substring(raw, n + 1, 1)).between("80", "BF")  # noqa: E731  the byte behind the first n is inside a character
+    size = F.when(~goes_on(kept), kept).when(~goes_on(kept - 1), kept - 1).when(~goes_on(kept - 2), kept - 2).otherwise(kept - 3)
+    cut = F.concat(F.substr(raw, F.lit(1), size).cast("string"), F.lit("...["), (F.octet_length(out) - size).cast("string"), F.lit(" bytes truncated]"))
+    return F.when(text.startswith('{"_redacted":'), text).when(F.octet_length(out) > most_bytes, cut).otherwise(out)
 
 
 def dedent(text: Column) -> Column:

@@ -82,13 +82,14 @@ _CLEAN = f"regexp_replace(regexp_replace(raw, '(?s)-----BEGIN.*?-----END[^\\n]*'
 
 
 @query(f"WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations), r AS (SELECT {_RAW} FROM c), s AS (SELECT conv_id, turn, {_CLEAN} AS s FROM r)" + """
-    SELECT conv_id, turn, sha256(CASE WHEN strlen(s) > 8192 THEN CASE WHEN length(s) > 8144 THEN substring(s, 1, 8144) ELSE s END || '...[' || (length(s) - 8144) || ' characters truncated]' ELSE s END) AS clean FROM s""")
+    , h AS (SELECT conv_id, turn, s, hex(encode(s)) AS h FROM s), n AS (SELECT *, list_max(list_filter([8141, 8142, 8143, 8144], lambda n: NOT substring(h, 2 * n + 1, 2) BETWEEN '80' AND 'BF')) AS n FROM h)
+    SELECT conv_id, turn, sha256(CASE WHEN strlen(s) > 8192 THEN decode(unhex(substring(h, 1, 2 * n))) || '...[' || (strlen(s) - n) || ' bytes truncated]' ELSE s END) AS clean FROM n""")
 def f12_redacted_turns(spark, sf_dir):
     """Turns with credentials of several kinds among their text, masked twice: what is masked stays as it is; long ones are cut with a note."""
     read(spark, sf_dir, "conversations").createOrReplaceTempView("_conversations_of_queries")
     c = spark.sql(f"SELECT {_RAW} FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM _conversations_of_queries) s")
     once = X.redact(F.col("raw"))
-    return c.select("conv_id", "turn", F.sha2(F.when(F.octet_length(once) > 8192, once).otherwise(X.redact(once)), 256).alias("clean"))
+    return c.select("conv_id", "turn", F.sha2(X.redact(once), 256).alias("clean"))
 
 
 _LOG = "'GET ' || coalesce(url, '') || ' took ' || CAST(page_id AS VARCHAR(20)) || '.5 ms at /srv/d' || CAST(page_id % 9 AS VARCHAR(9)) || '/x.log'"

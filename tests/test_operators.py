@@ -171,3 +171,19 @@ def test_reachable_with_cycles(spark):
     pairs = spark.createDataFrame([("a", "a"), ("a", "d"), ("a", "e"), ("b", "e"), ("x", "x"), ("e", "a"), ("a", "d")], "a string, b string")
     got = {(r.a, r.b): r.reached for r in G.reachable(edges, pairs, 3).collect()}
     assert got == {("a", "a"): True, ("a", "d"): True, ("a", "e"): False, ("b", "e"): True, ("x", "x"): True, ("e", "a"): False}
+
+
+def test_redaction_cuts_whole_characters_once(spark):
+    """Long texts end before a whole character, within the bytes allowed, and stay as they are when done again."""
+    from sparkloom.functions import text as X
+
+    texts = ["x" * (8144 - k) + "é漢🙂"[i] * 3000 for k in range(4) for i in range(3)] + ["y" * 8192, "y" * 8193, "é" * 4096]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.redact(F.col("t")).alias("a")).select("i", "a", X.redact(F.col("a")).alias("b"))
+    for r in df.collect():
+        raw = texts[r.i].encode()
+        assert r.a == r.b and len(r.a.encode()) <= 8192
+        if len(raw) <= 8192:
+            assert r.a == texts[r.i]
+        else:
+            head, note = r.a.split("...[")
+            assert texts[r.i].startswith(head) and 8144 - 4 < len(head.encode()) <= 8144 and note == f"{len(raw) - len(head.encode())} bytes truncated]"
