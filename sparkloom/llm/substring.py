@@ -117,6 +117,7 @@ def repeated_spans(work: Work, docs: DataFrame, window: int = WINDOW, phrase: in
     if n_common > bits // 10:  # the filter is at its largest and lets much pass: leave that to a join
         stretches = stretches.join(common, "a", "left_semi")
     stretches = work.table(stretches, "stretches")
+    work.drop("anchors")
 
     w_schema, w_arrow = arrow_schema("w1 long, w2 long, a long, doc_id long")
 
@@ -140,6 +141,7 @@ def repeated_spans(work: Work, docs: DataFrame, window: int = WINDOW, phrase: in
         firsts.join(passages.where(F.col("k") <= most_passages), "a").groupBy("a").agg(F.collect_list("first").alias("firsts"))
     )
     per_anchor = work.table(stretches.groupBy("a").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo")).join(passages, "a"), "phrases")
+    work.drop("firsts")
     total = per_anchor.agg(F.sum("n")).first()[0] or 0
     share, shards = max(HOT_ROWS, total // HOT_PARTS), max(4 * partitions(spark), -(-total // SHARD_ROWS))
     per_anchor = per_anchor.withColumn("salts", F.ceil(F.col("n") / share).cast("int"))
@@ -158,7 +160,7 @@ def repeated_spans(work: Work, docs: DataFrame, window: int = WINDOW, phrase: in
     once = few.where(F.array_contains("firsts", F.col("doc_id"))).groupBy("a", "skip", "words", "salts").agg(F.min("doc_id").alias("doc_id")).withColumns(nowhere)
     # an anchor's smallest document has no earlier one and loses nothing by it
     inputs = dealt(once, 1).union(dealt(few.where("doc_id > lo"), 2))
-    if passages.where("firsts is null").limit(1).count():
+    if per_anchor.where("firsts is null").limit(1).count():
         # an anchor with very many passages: its windows one by one, each with its smallest document
         single = work.table(many.select(*s_schema.names).mapInArrow(lambda batches: one_by_one(batches, window), s_schema), "single").withColumn("salts", F.lit(WINDOW_PARTS))
         least = single.groupBy("a", "skip", "words", "salts").agg(F.min("doc_id").alias("doc_id")).withColumns(nowhere)
@@ -204,7 +206,7 @@ def repeated_spans(work: Work, docs: DataFrame, window: int = WINDOW, phrase: in
 
     spans = inputs.mapInArrow(locate, o_schema)
     spans = work.table(spans.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
-    work.drop("anchors", "stretches", "firsts", "phrases", "single")
+    work.drop("stretches", "phrases", "single")
     return spans
 
 
