@@ -124,7 +124,7 @@ def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, rate of every row of docs.
 
     size is the number of words in the text (null: 0), taken is copies * size. A source's words miss its
-    target by less than its shortest documents as far as those have room; copies are 3 at most. A text
+    target by about the size of its short documents, as far as those have room; copies are 3 at most. A text
     without words has rate 1 and one copy. Null sources are one source, the last. Which documents of
     equal source and size get the odd copies is decided by a hash of doc_id and the seed, so rows with
     equal doc_id, source and size may differ only as the copies among them do. An empty table
