@@ -9,6 +9,8 @@ from sparkloom.sources.work import Tables
 
 #: Characters of the pieces by which texts and needles meet; shorter needles are their own piece.
 PIECE = 3
+#: Characters of the longest needle that held() looks up whole.
+WHOLE = 16
 
 
 def pieces(text: Column, size: int) -> Column:
@@ -42,6 +44,23 @@ def contained(needles: DataFrame, needle: str, texts: DataFrame, key: str, text:
     return checked.join(asked, "low").select(F.col("needle").alias(needle), F.col("key").alias(key))
 
 
+def held(needles: DataFrame, needle: str, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """needle: each distinct needle that some text holds, in any case; contained() without the texts.
+
+    Needles of up to WHOLE characters are met by the beginnings of the runs of that length at every place of the texts:
+    rows grow with the texts, a row a place and length that occurs, and only needles are kept. Longer ones go by contained().
+    """
+    work = Tables(texts.sparkSession, "held")
+    asked = work.written(needles.select(F.col(needle).alias("needle"), F.lower(needle).alias("low")).where("low <> ''").distinct())
+    lengths = sorted(r[0] for r in asked.select(F.length("low").alias("n")).where(F.col("n") <= WHOLE).distinct().collect())  # WHOLE at most
+    found = contained(asked.where(F.length("low") > WHOLE), "low", texts, key, text).select("low")
+    if lengths:
+        places = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{1,{lengths[-1]}}}))"), F.lit(1)))).alias("run"))
+        runs = places.select(F.explode(F.array_compact(F.array(*[F.when(F.length("run") >= n, F.left("run", F.lit(n))) for n in lengths]))).alias("low"))
+        found = found.union(runs.join(work.written(asked.select("low").distinct()), "low", "left_semi"))
+    return asked.join(found.distinct(), "low", "left_semi").select(F.col("needle").alias(needle))
+
+
 def ending(suffixes: DataFrame, suffix: str, names: DataFrame, key: str, name: str) -> DataFrame:
     """suffix, key of each distinct suffix and each name that ends with it, in any case.
 

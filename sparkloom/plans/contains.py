@@ -18,8 +18,7 @@ def j29_unanswered_asks(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").withColumn("id", F.struct("conv_id", "turn"))
     piece = F.substring("text", (1 + F.col("conv_id") % 5).cast("int"), (1 + (F.col("conv_id") * 7 + F.col("turn")) % 15).cast("int"))
     asks = c.where("role = 'user'").groupBy(piece.alias("ask")).agg(F.count("*").alias("seen")).where("ask is not null")
-    found = C.contained(asks, "ask", c.where("role = 'assistant'"), "id", "text")
-    return asks.join(found.select("ask").distinct(), "ask", "left_anti")
+    return asks.join(C.held(asks, "ask", c.where("role = 'assistant'"), "id", "text"), "ask", "left_anti")
 
 
 @query("""WITH n AS (SELECT DISTINCT right(url, 1 + page_id % 12) AS ending FROM pages WHERE url IS NOT NULL) SELECT ending, count(*) AS pages, min(page_id) AS first FROM n JOIN pages ON ending <> '' AND ends_with(lower(url), lower(ending)) GROUP BY 1""")
