@@ -42,6 +42,23 @@ def leaders(items: DataFrame, pairs: DataFrame, key: str, order: str) -> DataFra
     return decided.join(best, "k", "left").select(F.col("k").alias(key), F.coalesce("leader", "k").alias("leader"))
 
 
+def leaders_of_classes(items: DataFrame, members: DataFrame, pairs: DataFrame, key: str, order: str) -> DataFrame:
+    """leaders() from classes of copies: members (key, rep) and pairs (a, b, cosine) of reps; an item without a class is alone.
+
+    Of a class only the first item in order can lead, so the rounds go over first items; then each item takes the most
+    similar leader before it, its own class's included.
+    """
+    tables = Tables(items.sparkSession, "leaders")
+    all_ = tables.written(items.select(F.col(key).alias("k"), F.col(order).alias("o")).join(members.select(F.col(key).alias("k"), "rep"), "k", "left"))
+    firsts = all_.where("rep is not null").groupBy("rep").agg(F.min("o").alias("o"), F.min_by("k", "o").alias("k"))
+    led = tables.written(leaders(firsts.select("rep", "o"), pairs, "rep", "o").where("leader = rep").select("rep").join(firsts, "rep").select(F.col("rep").alias("by"), F.col("o").alias("ob"), F.col("k").alias("leader")))
+    both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("by"), "cosine").union(pairs.select("b", "a", "cosine"))
+    near = both.join(led, "by").union(led.select("by", F.col("by").alias("rep"), F.lit(1.0), "ob", "leader"))
+    ahead = all_.join(led.select("leader"), all_.k == F.col("leader"), "left_anti").join(near, "rep").where("ob < o")
+    best = ahead.groupBy("k").agg(F.max(F.struct("cosine", (-F.col("ob")).alias("no"), "leader")).alias("m")).select("k", "m.leader")
+    return all_.select("k").join(best, "k", "left").select(F.col("k").alias(key), F.coalesce("leader", "k").alias("leader"))
+
+
 def fidelity(tools: Column) -> tuple[Column, Column]:
     """The score of a set of steps, 1 less what is missing costs, and the missing steps."""
     score, missing = F.lit(1.0), []

@@ -308,9 +308,9 @@ def r23_r13_o06_recall(spark, sf_dir):
 def l01_leader_clusters(spark, sf_dir):
     """Entries gathered around leaders, newest first, at a similarity of 0.55; rounds of joins give what going through them in order gives."""
     e = store(spark, sf_dir, "entries").select("id", "body", "at")
-    pairs = SIM.similar_pairs(SIM.weighted_terms(e, "id", "body"), "id", 0.55)
+    members, pairs = SIM.similar_classes(SIM.weighted_terms(e, "id", "body"), "id", 0.55)
     newest = F.lit(-1_000_000) * F.col("at") + F.col("id")
-    return L.leaders(e.select("id", newest.alias("o")), pairs, "id", "o")
+    return L.leaders_of_classes(e.select("id", newest.alias("o")), members, pairs, "id", "o")
 
 
 @query(_E + """, m AS (SELECT k AS cluster, count(DISTINCT user_id) AS members, avg((event_type = 'purchase')::INT) AS confidence, arg_max(event_type, (n2, event_type)) AS main FROM (SELECT *, count(*) OVER (PARTITION BY k, event_type) AS n2 FROM e) WHERE k IS NOT NULL GROUP BY 1)
