@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sparkloom.functions.prose import common_segments
-
 #: Lines of a unit's body that name types it uses.
 USE_LINES = ("fields:", "methods:", "sig:")
 
@@ -57,9 +55,11 @@ def mentioning(units: DataFrame, changed: DataFrame) -> DataFrame:
 
 def attach(parts: DataFrame, types: DataFrame) -> DataFrame:
     """part, unit: each part (part, name, module) with the type (id, name, module) of its name that shares most leading segments; ties: the last id."""
-    both = parts.join(types.select(F.col("id").alias("unit"), "name", F.col("module").alias("_m")), "name")
-    both = both.withColumn("overlap", common_segments(F.col("module"), F.col("_m")))
-    return both.groupBy("part").agg(F.max(F.struct("overlap", "unit")).alias("m")).select("part", F.col("m.unit").alias("unit"), F.col("m.overlap").alias("overlap"))
+    # a type stands at each beginning of its path, the last id only, so a part meets one row for each of its own beginnings
+    at = lambda df: df.withColumn("_s", F.coalesce(F.split("module", "::"), F.array().cast("array<string>"))).withColumn("overlap", F.explode(F.sequence(F.lit(0), F.size("_s")))).withColumn("_path", F.slice("_s", F.lit(1), F.col("overlap")))
+    last = at(types.select("id", "name", "module")).groupBy("name", "overlap", "_path").agg(F.max("id").alias("unit"))
+    met = at(parts.select("part", "name", "module")).join(last, ["name", "overlap", "_path"])
+    return met.groupBy("part").agg(F.max(F.struct("overlap", "unit")).alias("m")).select("part", F.col("m.unit").alias("unit"), F.col("m.overlap").alias("overlap"))
 
 
 def split_top_level(text: Column, sep: str = ",") -> Column:
