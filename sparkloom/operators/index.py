@@ -1,7 +1,7 @@
-"""A stored inverted index: postings in ranges of terms, with what scores need beside each.
+"""A stored inverted index: postings in runs by term, with what scores need beside each.
 
-A posting is (term, key, field, tf, len, norm). Files hold ranges of terms, so the footers' bounds
-let a query read only its terms; a frequent term spreads over several files by key. Text is read
+A posting is (term, key, field, tf, len, norm). Each task counts whole texts and writes their postings in runs that are
+sorted by term, so nothing is shuffled or spilled and the pages' bounds let a query read only its terms. Text is read
 once, when the index is built; it is built again if the files of its table change.
 """
 
@@ -9,15 +9,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sparkloom.functions.prose import VECTOR_STOP
-from sparkloom.functions.stems import stems
-from sparkloom.sources.work import files_mark, published
+from sparkloom.functions.stems import stem_known, stems
+from sparkloom.sources.work import Tables, files_mark, published
 
 K1, B = 1.2, 0.75
+#: Words of texts that are counted and sorted together; a longer text is a run of its own.
+RUN = 1_000_000
+#: Texts that come in fewer tasks for each core are dealt out before they are counted.
+SPREAD = 1
 
 
 @dataclass
@@ -45,18 +52,18 @@ def build(docs: DataFrame, key: str, fields: list[str], kind: str, stemmed: bool
 
     def make(base: str) -> None:
         split = plain_words if stemmed else words
-        parts = F.array(*[F.struct(F.lit(i).alias("field"), split(F.col(f)).alias("words")) for i, f in enumerate(fields)])
-        rows = docs.select(F.col(key).alias("key"), F.explode(parts).alias("p")).select("key", "p.field", F.explode("p.words").alias("term"))
-        tf = rows.groupBy("key", "field", "term").agg(F.count("*").alias("tf"))
-        if stemmed:
-            tf = tf.select("key", "field", stems(F.col("term")).alias("term"), "tf").groupBy("key", "field", "term").agg(F.sum("tf").alias("tf"))
-        own = W.partitionBy("key")
-        # over a term's fields, tf times the term's total adds up to the square of the total
-        whole = F.sum("tf").over(W.partitionBy("key", "term")) if len(fields) > 1 else F.col("tf")
-        tf = tf.withColumn("whole", whole)
-        counts = F.when((F.octet_length("term") >= 3) & ~F.col("term").isin(*VECTOR_STOP), F.col("tf") * F.col("whole")).otherwise(0)
-        full = tf.select("term", "key", "field", F.col("tf").cast("int").alias("tf"), F.sum("tf").over(own).cast("int").alias("len"), F.sqrt(F.sum(counts).over(own)).alias("norm"))
-        full.repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.parquet(f"{base}/postings")
+        lists = F.array(*[split(F.col(f)) for f in fields])
+        kind = docs.schema[key].dataType.simpleString()
+        rows = docs.select(F.col(key).alias("key"), lists.alias("words"))
+        again = Tables(spark, "repeated").written(docs.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k")))
+        if again.limit(1).count():  # rows of one key are one text
+            same = F.col("key").eqNullSafe(F.col("k"))
+            whole = [F.flatten(F.collect_list(F.col("words")[i])) for i in range(len(fields))]
+            rows = rows.join(again, same, "left_anti").union(rows.join(again, same, "left_semi").groupBy("key").agg(F.array(*whole).alias("words")))
+        if docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism * SPREAD:  # a file that can't be split: its texts are dealt out once
+            rows = rows.repartition(4 * spark.sparkContext.defaultParallelism)
+        counted = rows.mapInArrow(_counts(stemmed), f"term string, key {kind}, field int, tf int, len int, norm double")
+        counted.write.option("parquet.page.row.count.limit", 2000).parquet(f"{base}/postings")
         total = spark.read.parquet(f"{base}/postings").agg(F.sum("tf").alias("total"))
         corpus = docs.agg(F.count("*").alias("n")).crossJoin(total).select("n", F.greatest(F.coalesce(F.col("total"), F.lit(0)) / F.greatest("n", F.lit(1)), F.lit(1.0)).alias("avg_len"))
         corpus.coalesce(1).write.parquet(f"{base}/corpus")
@@ -65,6 +72,67 @@ def build(docs: DataFrame, key: str, fields: list[str], kind: str, stemmed: bool
     return Index(spark.read.parquet(f"{base}/postings"), spark.read.parquet(f"{base}/corpus"))
 
 
+def _counts(stemmed: bool):
+    """Batches (key, a list of words for each field) to postings, in runs sorted by term."""
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for part in _pieces(batch):
+                held.append(part)
+                n += len(part.column(1).flatten().flatten())
+                if n >= RUN:
+                    yield from _sorted_run(held, stemmed)
+                    held, n = [], 0
+        if held:
+            yield from _sorted_run(held, stemmed)
+
+    return run
+
+
+def _pieces(batch: pa.RecordBatch):
+    """Slices of a batch that have about RUN words at most, or one row."""
+    fields = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+    words_ = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column(1).flatten()).to_numpy(zero_copy_only=False))])
+    ends = words_[np.concatenate([[0], np.cumsum(fields)]).astype(np.int64)]
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + RUN, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _sorted_run(parts: list[pa.RecordBatch], stemmed: bool):
+    table = pa.Table.from_batches(parts).combine_chunks()
+    lists = table.column("words").combine_chunks()
+    n_fields = len(lists.flatten()) // max(1, len(lists))
+    texts = pc.list_value_length(lists.flatten()).to_numpy(zero_copy_only=False).astype(np.int64)  # a row and field after the other
+    coded = lists.flatten().flatten().dictionary_encode()
+    terms, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    if not len(codes):
+        return
+    if stemmed:
+        again = pa.array([stem_known(t) for t in terms.to_pylist()], pa.string()).dictionary_encode()
+        terms, codes = again.dictionary, again.indices.to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+    order = pc.array_sort_indices(terms).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    slot = np.repeat(np.arange(len(texts)), texts)
+    found, tf = np.unique(place[codes] * len(texts) + slot, return_counts=True)  # by term, then row and field
+    term, slot = found // len(texts), found % len(texts)
+    row, field = slot // n_fields, slot % n_fields
+    names = terms.take(pa.array(order))
+    seen = (pc.binary_length(names).to_numpy() >= 3) & ~pc.is_in(names, value_set=pa.array(list(VECTOR_STOP))).to_numpy(zero_copy_only=False)
+    _, whole = np.unique(term * len(lists) + row, return_inverse=True)  # a term's count over a text's fields
+    total = np.bincount(whole, weights=tf)
+    squares = np.bincount(row, weights=np.where(seen[term], tf * total[whole], 0), minlength=len(lists))
+    length = np.bincount(row, weights=tf, minlength=len(lists))
+    keys = table.column("key").combine_chunks().take(pa.array(row))
+    columns = [names.take(pa.array(term)), keys, pa.array(field.astype(np.int32)), pa.array(tf.astype(np.int32)), pa.array(length[row].astype(np.int32)), pa.array(np.sqrt(squares)[row])]
+    out = pa.RecordBatch.from_arrays(columns, names=["term", "key", "field", "tf", "len", "norm"])
+    yield from (out.slice(i, 100_000) for i in range(0, len(out), 100_000))
+
+
 def document_frequency(docs: DataFrame, text: str, least: int = 3) -> DataFrame:
     """term, df, idf of the words of so many bytes or more, by one aggregation; no index is needed."""
     terms = docs.select(F.explode(F.array_distinct(words(F.col(text)))).alias("term")).where(F.octet_length("term") >= least)

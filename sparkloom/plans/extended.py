@@ -9,6 +9,7 @@ from sparkloom.functions import text as X
 from sparkloom.functions.prose import token_estimate
 from sparkloom.operators import graph as G
 from sparkloom.plans.catalog import _E, _G, _TOK, QUERY, _documents, query
+from sparkloom.sources.work import Tables
 from sparkloom.sources.tables import events, graph, outcomes, read
 from sparkloom.streaming import jobs as J
 from sparkloom.streaming import sessions as ST
@@ -380,6 +381,7 @@ def r10_tfidf_cosine(spark, sf_dir):
     index = _documents(spark, sf_dir)
     p = index.postings.where(F.octet_length("term") >= 3).select(F.col("key").alias("doc_id"), "term", "tf")
     idf = p.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(index.corpus)).select("term", (F.log(F.col("n") / F.col("df")) + 1).alias("idf"))
+    idf = Tables(spark, "idf").written(idf)  # its size is known then, and a small one goes to the postings instead of these to it
     wanted = F.col("term").isin(*QUERY)
     size = idf.where(wanted).agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("qn"))
     w = p.join(idf, "term").select("doc_id", (F.col("tf") * F.col("idf")).alias("w"), F.when(wanted, F.col("idf")).otherwise(0.0).alias("q"))

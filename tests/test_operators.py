@@ -233,3 +233,28 @@ def test_attach_makes_no_pairs_of_one_name(spark):
     assert sorted(map(tuple, code.attach(p, t).collect())) == want
     joined = code.attach(p, t)._jdf.queryExecution().optimizedPlan().toString()
     assert "overlap" in joined.split("Join Inner, ")[1].split("\n")[0]
+
+
+@pytest.mark.parametrize("run", [5, 1_000_000])
+def test_index_is_built_without_a_shuffle_of_postings(spark, tmp_path, monkeypatch, run):
+    """Rows of one key are one text, in runs of any size; the postings' job has one stage."""
+    monkeypatch.setattr(index, "RUN", run)
+    monkeypatch.setattr(index, "SPREAD", 0)
+    rows = [(i, f"the Ring {'ring ' * (i % 4)}rings éa x", None if i % 5 == 0 else f"the rings of_{i % 3}") for i in range(40)] + [(7, "ring other", "the"), (None, "ring", ""), (None, "ring a", "b")]
+    rows += [(90, "", None), (91, "word " * 50 + "end", "word")]
+    path = str(tmp_path / "docs.parquet")
+    spark.createDataFrame(rows, "id long, a string, b string").repartition(3).write.parquet(path)
+    for stemmed in (False, True):
+        i = index.build(spark.read.parquet(path), "id", ["a", "b"], f"kinds-{stemmed}-{run}", stemmed)
+        counts, split = Counter(), (lambda t: [x for x in t.lower().replace("_", " " if stemmed else "_").split() if x])
+        for k, *texts_ in rows:
+            counts.update((stems.stem(w) if stemmed else w, k, f) for f, t in enumerate(texts_) for w in split(t or ""))
+        size, norm = Counter(), Counter()
+        for (t, k, f), n in counts.items():
+            size[k] += n
+            if len(t.encode()) >= 3 and t not in prose.VECTOR_STOP:
+                norm[k] += n * sum(counts.get((t, k, g), 0) for g in (0, 1))
+        got = i.postings.collect()
+        assert {(r.term, r.key, r.field): (r.tf, r.len, round(r.norm, 9)) for r in got} == {k: (n, size[k[1]], round(math.sqrt(norm[k[1]]), 9)) for k, n in counts.items()} and len(got) == len(counts)
+        for f in spark.read.parquet(path).inputFiles()[:1]:  # one file of texts gives one file of postings: nothing was dealt anew
+            assert len(index.build(spark.read.parquet(f), "id", ["a", "b"], f"one-{stemmed}-{run}", stemmed).postings.inputFiles()) == 1
