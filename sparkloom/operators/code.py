@@ -79,7 +79,8 @@ def facets(units: DataFrame) -> DataFrame:
     """id, facet, key, value: fields, methods, traits and signature of each unit; prose is left out."""
     head, rest = F.regexp_extract("line", r"^([a-z]+):", 1), F.trim(F.regexp_replace("line", r"^[a-z]+:", ""))
     parts = F.when(head == "methods", F.split(rest, r"\s*\|\s*")).when(head == "sig", F.array(rest)).otherwise(split_top_level(rest))
-    rows = units.select("id", F.explode(F.split("body", "\n")).alias("line")).where(head.isin("fields", "methods", "impl", "sig"))
+    # dealt out by id first: equal facets have one id, so nothing else is shuffled, and no task holds a whole file's facets
+    rows = units.select("id", "body").repartition("id").select("id", F.explode(F.split("body", "\n")).alias("line")).where(head.isin("fields", "methods", "impl", "sig"))
     rows = rows.select("id", head.alias("facet"), F.explode(parts).alias("part")).where("part <> ''")
     return rows.select("id", "facet", F.trim(F.regexp_extract("part", r"^([^:]*)", 1)).alias("key"), F.trim(F.regexp_replace("part", r"^[^:]*:?", "")).alias("value")).distinct()
 

@@ -258,3 +258,12 @@ def test_index_is_built_without_a_shuffle_of_postings(spark, tmp_path, monkeypat
         assert {(r.term, r.key, r.field): (r.tf, r.len, round(r.norm, 9)) for r in got} == {k: (n, size[k[1]], round(math.sqrt(norm[k[1]]), 9)) for k, n in counts.items()} and len(got) == len(counts)
         for f in spark.read.parquet(path).inputFiles()[:1]:  # one file of texts gives one file of postings: nothing was dealt anew
             assert len(index.build(spark.read.parquet(f), "id", ["a", "b"], f"one-{stemmed}-{run}", stemmed).postings.inputFiles()) == 1
+
+
+def test_facets_are_dealt_by_id_before_they_are_made(spark):
+    """Equal facets of repeated rows come once, and only bodies are shuffled."""
+    u = spark.createDataFrame([(i % 20, "fields: a: x, b: y\nmethods: m | n | m\ndocs: none") for i in range(60)], "id long, body string")
+    found = code.facets(u)
+    assert found.count() == 20 * 4
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(id#") == plan.count("Exchange hashpartitioning") == 1
