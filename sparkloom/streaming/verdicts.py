@@ -35,17 +35,22 @@ def credits_of_stream(stream: DataFrame) -> DataFrame:
     def run(key, frames, state):
         ids, verdict = state.get if state.exists else ([], None)
         ids, out = list(ids), []
-        for row in pd.concat(list(frames)).sort_values("id").itertuples():
-            if pd.notna(row.passed):
-                now = int(row.passed)
+        # plain lists: sessions are short and many, and a frame's own sorting and rows cost more than the work
+        rows = [r for f in frames for r in zip(f["id"].tolist(), f["entry"].tolist(), f["passed"].tolist(), strict=True)]
+        for _, entry, passed in sorted(rows, key=lambda r: r[0]):
+            if passed is not None and passed == passed:
+                now = int(passed)
                 if verdict is None:
                     out += [(key[0], i, 1, 1 - now) for i in ids]
                 elif verdict != now:
                     out += [(key[0], i, 0, verdict - now) for i in ids]
                 verdict = now
-            elif verdict is None and pd.notna(row.entry) and int(row.entry) not in ids and len(ids) < MOST:
-                ids.append(int(row.entry))
+            elif verdict is None and entry == entry and entry is not None and int(entry) not in ids and len(ids) < MOST:
+                ids.append(int(entry))
         state.update((ids, verdict))
-        yield pd.DataFrame(out, columns=["sess", "entry", "use", "reverted"])
+        if out:
+            yield pd.DataFrame(out, columns=["sess", "entry", "use", "reverted"])
 
-    return stream.select("sess", "id", "entry", "passed").groupBy("sess").applyInPandasWithState(run, _OUT, _STATE, "append", "NoTimeout")
+    # a row that is neither a retrieval nor a verdict changes no state
+    some = stream.select("sess", "id", "entry", "passed").where("entry is not null or passed is not null")
+    return some.groupBy("sess").applyInPandasWithState(run, _OUT, _STATE, "append", "NoTimeout")
