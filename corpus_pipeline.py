@@ -31,7 +31,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (0.8 or more of their shingles are common, in chains), the smallest doc_id stays."""
+    """Of near copies (0.8 or more of their shingles are common, in chains), the smallest doc_id stays.
+
+    Links of fingerprints, as op 6 makes them, and bands of least hashes give candidates; these are compared exactly.
+    """
     small_batches(spark)
     return simhash.keep_one(docs, SHINGLE)
 

@@ -487,6 +487,37 @@ def test_near_stage_similarity(spark):
     assert len({of.get(s, s) for s in names.values()}) == len(want)
 
 
+def test_near_stage_links_fingerprints(spark, monkeypatch):
+    """Near copies at four bits or less are found by their fingerprints alone, chains and repeated words included."""
+    rng = np.random.default_rng(17)
+    rows = []
+    for group in range(12):
+        words = [f"g{group}w{i}" for i in rng.integers(0, 9999, 500)]
+        for at in (0, 250, 499):
+            rows.append((len(rows), " ".join("changed" if j == at else w for j, w in enumerate(words))))
+    rows += [(100, "a b c d e f a b c d e"), (101, "a b c d e f a b c d e f a b c d e f"), (102, "a b c d e f g h"), (103, " "), (104, None)]
+    prints, sets = [brute_print(t, 5) for _, t in rows], _near_classes([t for _, t in rows])
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        same = _near_classes([rows[a][1], rows[b][1]]) == [0, 0]
+        if same and ((prints[a] ^ prints[b]).bit_count() <= 4 or rows[a][0] >= 100):  # equal sets have one name
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    want = {rows[find(i)][0] for i in range(len(rows))}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bands = simhash.shared_bands
+    with monkeypatch.context() as m:
+        m.setattr(simhash, "shared_bands", lambda source, shingle: bands(source, shingle).where("false"))
+        assert {r.doc_id for r in corpus_pipeline.near(spark, df, "").collect()} == want
+    assert len(want) < len(rows) - 12
+    assert {r.doc_id for r in corpus_pipeline.near(spark, df, "").collect()} == {rows[i][0] for i in sets}
+
+
 # 7. Katz
 
 
