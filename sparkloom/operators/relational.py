@@ -35,11 +35,17 @@ def unique_match(calls: DataFrame, targets: DataFrame, name: str, scope: str) ->
     return joined.select(*calls.columns, pick.alias("target")).where("target is not null")
 
 
-def merge_intervals(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """key, start, end of touching or overlapping intervals joined together."""
+def merge_intervals(rows: DataFrame, key: str, start: str, end: str, most: int = 1_000_000) -> DataFrame:
+    """key, start, end of touching or overlapping intervals joined together.
+
+    A task takes about most rows, whatever their number, unless one key has more: more rows are more tasks.
+    """
+    n = rows.count()
+    if n > most:
+        rows = rows.repartition(max(-(-n // most), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
     w = W.partitionBy(key).orderBy(start, end)
     seen = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-    island = F.sum(F.when(seen.isNull() | (F.col(start) > seen + 1), 1).otherwise(0)).over(w)
+    island = F.sum(F.when(seen.isNull() | (F.col(start) > seen + 1), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumn("_island", island).groupBy(key, "_island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n")).drop("_island")
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import boundaries, commands, prose, stems
-from sparkloom.operators import code, graph, index, learning, similarity
+from sparkloom.operators import code, graph, index, learning, relational, similarity
 from sparkloom.sources import files
 from sparkloom.streaming import jobs, verdicts
 
@@ -267,3 +267,25 @@ def test_facets_are_dealt_by_id_before_they_are_made(spark):
     assert found.count() == 20 * 4
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(id#") == plan.count("Exchange hashpartitioning") == 1
+
+
+def test_merged_intervals_are_dealt_by_their_number(spark):
+    """More rows are more tasks, also where only some keys are long; ties are joined row by row, as the SQL's frames do."""
+    rng = np.random.default_rng(16)
+    rows = [(int(k), int(s), int(s + d)) for k, s, d in zip(rng.integers(0, 300, 4000), rng.integers(0, 200, 4000), rng.integers(-3, 9, 4000), strict=True)]
+    rows += [(999, 10, 3), (999, 10, 3), (1000, 5, 20), (1000, 30, 10), (1000, None, 4), (1000, 40, None), (None, 1, 2), (None, 3, 4)]
+    want, order = Counter(), lambda r: tuple((x is not None, x or 0) for x in r)
+    for _, group in itertools.groupby(sorted(rows, key=order), key=lambda r: r[0]):
+        islands, seen = [[]], None
+        for r in group:
+            if seen is None or (r[1] is not None and r[1] > seen + 1):
+                islands.append([])
+            islands[-1].append(r)
+            seen = r[2] if seen is None else max(seen, r[2] if r[2] is not None else seen)
+        for i in filter(None, islands):
+            want[(i[0][0], min((r[1] for r in i if r[1] is not None), default=None), max((r[2] for r in i if r[2] is not None), default=None), len(i))] += 1
+    df = spark.createDataFrame(rows, "key long, s long, e long")
+    assert Counter(map(tuple, relational.merge_intervals(df, "key", "s", "e").collect())) == want
+    dealt = relational.merge_intervals(df, "key", "s", "e", most=100)
+    assert Counter(map(tuple, dealt.collect())) == want
+    assert dealt.rdd.getNumPartitions() == 41 and dealt.rdd.mapPartitions(lambda p: [sum(r.n for r in p)]).max() < 400
