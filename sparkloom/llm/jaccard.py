@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from sparkloom.llm.common import Words, blocks, mix, range_hashes
+from sparkloom.llm.common import WORD_BLOCK_BYTES, Words, blocks, byte_hashes, mix
 
 #: Similarity from which texts are near copies, as a fraction. Sets that alike share no band key once in two million at 4/5 exactly, and rarer above.
 SIMILARITY, BANDS, ROWS = (4, 5), 48, 6
@@ -16,13 +16,13 @@ def shingle_sets(texts: list[bytes], k: int):
 
     A text of k words or fewer is one shingle; one without words has none. names identify the sets, 0 the empty one.
     """
-    for lo, hi in blocks([len(t) for t in texts]):
+    for lo, hi in blocks([len(t) for t in texts], WORD_BLOCK_BYTES):
         words = Words([t.lower() for t in texts[lo:hi]])
         n = np.where(words.counts > 0, np.maximum(words.counts - k + 1, 1), 0)
         doc = np.repeat(np.arange(hi - lo), n)
         at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + words.first[doc]
         last = np.minimum(at + k, words.first[doc + 1]) - 1
-        h = range_hashes(words.array.astype(np.uint64) + np.uint64(1), words.starts[at], words.ends[last], 0xD1B54A32D192ED03)
+        h = byte_hashes(words.array, words.starts[at], words.ends[last], 0xD1B54A32D192ED03)
         order = np.lexsort((h, doc))
         h, doc = h[order], doc[order]
         new = np.ones(len(h), bool)

@@ -1,12 +1,15 @@
 """Limits that are rarely reached: few or very many languages, many levels, bytes that aren't UTF-8, clashing names."""
 
 import hashlib
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, langid, packing, substring, token_counts
-from sparkloom.llm.common import utf8_bytes
+from sparkloom.llm import bpe, common, jaccard, langid, packing, simhash, substring, token_counts
+from sparkloom.llm.common import Words, utf8_bytes
 
 
 def test_one_document_a_language(spark):
@@ -91,3 +94,60 @@ def test_encoding_keeps_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "some words here", "x", 5), (2, "some words here", "y", 6)], "doc_id long, text string, _text_key string, _parts int")
     got = bpe.encode_documents(df, bits=1)
     assert sorted((r.doc_id, r._text_key, r._parts) for r in got.collect()) == [(1, "x", 5), (2, "y", 6)]
+
+
+def _peak_mb(run) -> float:
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def _texts(n: int) -> list[bytes]:
+    rng = np.random.default_rng(5)
+    return [b" ".join(b"w%d" % x for x in rng.integers(0, 50_000, 300)) for _ in range(n)]
+
+
+def test_words_take_bounded_memory(monkeypatch):
+    """Kernels on words take memory by the block, not by the batch, one text or all passages of a shard; hashes are the same in pieces."""
+    texts = _texts(2_000)  # 4 MB
+    one = b" ".join(texts)
+    for most, run in (
+        (60, lambda: [None for _ in jaccard.shingle_sets(texts, 5)]),
+        (130, lambda: [None for _ in jaccard.shingle_sets([one], 5)]),
+        (60, lambda words=Words([one]): words.hashes()),
+    ):
+        assert _peak_mb(run) < most
+    few = Words([one[:3_000], b"", one[3_000:9_000]])
+    whole = few.hashes()
+    sets = [(h.tolist(), names.tolist()) for _, _, h, _, names in jaccard.shingle_sets([one[:3_000], b"", b"a", one[3_000:9_000]], 5)]
+    monkeypatch.setattr(common.byte_hashes, "__defaults__", (100,))
+    assert (few.hashes() == whole).all()
+    assert sets == [(h.tolist(), names.tolist()) for _, _, h, _, names in jaccard.shingle_sets([one[:3_000], b"", b"a", one[3_000:9_000]], 5)]
+
+
+def test_passages_are_cut_in_blocks_of_words(monkeypatch):
+    sizes = []
+
+    class Seen(Words):
+        def __init__(self, texts):
+            sizes.append(sum(map(len, texts)))
+            super().__init__(texts)
+
+    monkeypatch.setattr(substring, "Words", Seen)
+    n = 1_000
+    schema = pa.schema([("a", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("skip", pa.int32()), ("words", pa.binary())])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64())] * 3 + [pa.array([0] * n, pa.int32())] * 2 + [pa.array(_texts(n), pa.binary())], schema=schema)
+    out = list(substring.one_by_one([batch], 50))
+    assert len(sizes) > 3 and max(sizes) <= 1 << 19 and sum(b.num_rows for b in out) == n * 251
+
+
+def test_fingerprints_of_a_pattern_take_bounded_memory():
+    """A pattern's variants are made and matched a few MB at a time, and links stay the same."""
+    f = np.unique(np.random.default_rng(6).integers(0, 1 << 56, 20_000).astype(np.uint64))
+    f = np.concatenate([f, f[:500] ^ np.uint64(9)])
+    assert _peak_mb(lambda: simhash.link_pattern(f, 0, 4)) < 60
+    got, want = (np.unique(simhash.link_pattern(f, 0, 4, block=n), axis=0) for n in (250_000, 2_000_000))
+    assert len(want) == 500 and got.tolist() == want.tolist()
