@@ -215,6 +215,47 @@ def test_copies_meet_as_classes_in_blocks(spark, monkeypatch, block):
     assert sorted(map(tuple, learning.leaders_of_classes(items, members, found.withColumn("cosine", F.round("cosine", 9)), "id", "o").collect())) == sorted(map(tuple, plain))
 
 
+def shuffled(spark, run):
+    """Bytes and rows that the stages of run() write to shuffles."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark._jvm
+
+    def total():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        stages = [stages.apply(i) for i in range(stages.size())]
+        return np.array([sum(s.shuffleWriteBytes() for s in stages), sum(s.shuffleWriteRecords() for s in stages)])
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_blocks_meet_without_a_shuffle(spark, monkeypatch):
+    """Many blocks shuffle no more than few do: a class isn't sent once for every block."""
+    rows = [(i, t.replace("w", "wor") + f" own_{i}") for i, t in texts(9, 150)]
+    terms = similarity.weighted_terms(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    sent = {}
+    for block in (10, 20_000):
+        monkeypatch.setattr(similarity, "BLOCK", block)
+        sent[block] = shuffled(spark, lambda: similarity.similar_classes(terms, "id", 0.3))[0]
+    assert sent[10] < 2 * sent[20_000]
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.25, 0.55, 0.95])
+def test_close_pairs_are_those_of_whole_vectors(threshold, monkeypatch):
+    """What is left out at first loses no pair, whatever the vectors' lengths and however the work is cut."""
+    monkeypatch.setattr(similarity, "_PRODUCTS", 300)
+    rng = np.random.default_rng(4)
+    dense = np.where(rng.random((90, 40)) < np.linspace(0.02, 0.6, 40), rng.random((90, 40)) ** 3, 0)
+    dense[:, 20] += 0.01
+    dense[7], dense[8, :20] = dense[3], dense[4, :20] * 2
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    block = lambda d: similarity.Block(np.nonzero(d)[1] * 1000 + 5, d[np.nonzero(d)], (d != 0).sum(1))
+    found = lambda x, y: {(i, j): c for f in similarity.close_pairs(x, y, threshold) for i, j, c in zip(*f, strict=True)}
+    for got, want, same in ((found(block(dense[:50]), block(dense[50:])), dense[:50] @ dense[50:].T, False), (found(b := block(dense), b), dense @ dense.T, True)):
+        pairs = {(i, j) for i, j in zip(*np.nonzero(want >= threshold), strict=True) if not same or i < j}
+        assert set(got) == pairs and all(math.isclose(c, want[k], rel_tol=1e-9) for k, c in got.items())
+
+
 def test_amounts_as_c_prints_them(spark):
     """Billions as the query's SQL has them, halves as C rounds them; ceilings of exact hundredths."""
     numbers = [0, 999, 1000, 1500, 2500, 3500, 999_500, 1_250_000, 1_350_000, 1_450_000, 1_150_000, 1_750_000, 999_950_000, 1_234_567_890, 60_050_000_000, *range(1_050_000, 9_000_000, 100_000)]
