@@ -256,6 +256,22 @@ def test_close_pairs_are_those_of_whole_vectors(threshold, monkeypatch):
         assert set(got) == pairs and all(math.isclose(c, want[k], rel_tol=1e-9) for k, c in got.items())
 
 
+def test_pairs_are_made_of_the_rows_asked_for(spark):
+    """Pairs of one group among some rows; other pairs of copies are not made on the way."""
+    rows = [(i, t.replace("w", "wor")) for i, t in texts(11, 40)]
+    rows += [(100 + i, rows[3][1]) for i in range(160)]
+    group = {i: "pqrs"[i % 4] for i, _ in rows if i % 5}
+    terms = similarity.weighted_terms(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    of = spark.createDataFrame(list(group.items()), "id long, g string")
+    pairs = similarity.similar_pairs(terms, "id", 0.3, of)
+    got = pairs.collect()
+    want = {k for k, v in brute_pairs(rows).items() if v >= 0.3 and k[0] in group and k[1] in group and group[k[0]] == group[k[1]]}
+    assert {(r.a, r.b) for r in got} == want
+    assert len(got) == len(want)
+    joins = [line for line in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert sum("(g#" in j for j in joins) == 2  # between classes and within one
+
+
 def test_amounts_as_c_prints_them(spark):
     """Billions as the query's SQL has them, halves as C rounds them; ceilings of exact hundredths."""
     numbers = [0, 999, 1000, 1500, 2500, 3500, 999_500, 1_250_000, 1_350_000, 1_450_000, 1_150_000, 1_750_000, 999_950_000, 1_234_567_890, 60_050_000_000, *range(1_050_000, 9_000_000, 100_000)]
