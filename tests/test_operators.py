@@ -272,6 +272,28 @@ def test_pairs_are_made_of_the_rows_asked_for(spark):
     assert sum("(g#" in j for j in joins) == 2  # between classes and within one
 
 
+def test_copies_do_not_meet_older_offers_one_by_one(spark):
+    """Two hundred copies beside a hundred similar classes: no row for each copy and class is made."""
+    docs = spark.createDataFrame([(i, 1000 + i % 150, "k") for i in range(300)], "id long, at long, kind string")
+    members = spark.createDataFrame([(i, 0 if i < 200 else i) for i in range(300)], "id long, rep long")
+    cosine = {i: 0.5 + i * 7 % 100 / 1000 for i in range(200, 300)}
+    pairs = spark.createDataFrame([(0, i, c) for i, c in cosine.items()], "a long, b long, cosine double")
+    near = similarity.nearest_older(members, pairs, docs, "id", "at", "kind")
+    got = {r.id: (r.cosine, r.nearest) for r in near.collect()}
+    at = {i: 1000 + i % 150 for i in range(300)}
+    of = lambda i, j: (1.0 if max(i, j) < 200 else cosine[max(i, j)] if min(i, j) < 200 else 0, -j)
+    want = {i: max((of(i, j) for j in range(300) if at[j] < at[i] and of(i, j)[0]), default=None) for i in range(300)}
+    assert got == {i: (c, -j) for i, w in want.items() if w for c, j in [w]}
+    made, plans = [], [near._jdf.queryExecution().executedPlan()]
+    while plans:
+        p = plans.pop()
+        kids = [p.executedPlan()] if p.nodeName() == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in p.nodeName() else [p.children().apply(i) for i in range(p.children().size())]
+        plans += kids
+        made += [p.metrics().apply("numOutputRows").value()] if "Join" in p.nodeName() and p.metrics().contains("numOutputRows") else []
+    assert made
+    assert max(made) < 200 * 100 / 4
+
+
 def test_amounts_as_c_prints_them(spark):
     """Billions as the query's SQL has them, halves as C rounds them; ceilings of exact hundredths."""
     numbers = [0, 999, 1000, 1500, 2500, 3500, 999_500, 1_250_000, 1_350_000, 1_450_000, 1_150_000, 1_750_000, 999_950_000, 1_234_567_890, 60_050_000_000, *range(1_050_000, 9_000_000, 100_000)]
